@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, html_text, language, packing, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash.near_dedup(spark, table(spark, sf_dir, "documents"))
+
+
+def op4_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -25,10 +33,27 @@ def op6_packing(spark, sf_dir):
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark, sf_dir):
+    return language.identify(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_simhash": op2_simhash,
+    "op4_html_text": op4_html_text,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
+    "op7_language": op7_language,
+    "op8_secrets": op8_secrets,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
