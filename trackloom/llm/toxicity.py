@@ -5,12 +5,13 @@ whatever their label says. A linear classifier over word presence minimises the
 class-prior-corrected risk: the positives' loss times the prior, plus what is
 left of the unlabelled texts' loss once the positives' share is taken off, and
 that rest is kept from going below zero. The prior is the share of toxic rows
-among the labelled training rows.
+among the labelled training rows, or less where the unlabelled texts hold the
+positives' words more rarely than that.
 
 Fitting is numpy on a bounded sample in hash order (``positives`` and
 ``unlabelled`` rows at most, as hashed word sets); the prior and the scores
-cover all rows. The score's scale puts 0.7 where cross-fitted scores split
-positives from unlabelled texts best (recall squared over the share above).
+cover all rows. The score's scale puts 0.7 where cross-fitted scores
+let expect the best F1.
 
 Results for odd rows: a null or empty text has no words and gets the score of
 the bias alone; without a positive to learn from every score is 0. A null doc_id
@@ -37,7 +38,7 @@ HASH_BITS, FEATURES = 20, 400
 #: Standard errors from which a word's difference is no chance find; and words that are used anyway.
 SURE, LEAST_FEATURES = 4.5, 8
 THRESHOLD = 0.7
-STEPS, RATE, DECAY, FOLDS = 250, 0.05, 1e-3, 4
+STEPS, RATE, DECAY, FOLDS, RARE = 250, 0.02, 0.02, 4, 0.01
 
 
 def word_code(word: str) -> int:
@@ -88,9 +89,17 @@ def _log_loss(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.logaddexp(0, -z), -1 / (1 + np.exp(np.clip(z, -60, 60)))
 
 
+def naive_weights(pos: np.ndarray, unl: np.ndarray, prior: float) -> np.ndarray:
+    """Log ratios of each word's share among positives and among negatives, the
+    latter being the unlabelled share less the positives' part of it."""
+    p, u = pos.mean(0), unl.mean(0)
+    return np.log((p + RARE) / (np.maximum(0, u - prior * p) / (1 - prior) + RARE))
+
+
 def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative risk (Adam, whole batches)."""
-    w, b = np.zeros(pos.shape[1]), 0.0
+    """Weights and bias of least non-negative risk (Adam, whole batches), drawn to the naive weights."""
+    first = naive_weights(pos, unl, prior)
+    w, b = first.copy(), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
         zp, zu = pos @ w + b, unl @ w + b
@@ -99,11 +108,10 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = STEPS)
         lu_neg, du_neg = _log_loss(-zu)
         rest = lu_neg.mean() - prior * lp_neg.mean()
         grad_rest = np.append(-(du_neg @ unl) / len(unl) + prior * (dp_neg @ pos) / len(pos), -du_neg.mean() + prior * dp_neg.mean())
-        if rest >= 0:
-            grad = prior * np.append(dp @ pos / len(pos), dp.mean()) + grad_rest
-        else:  # the negative part is below zero: go back up
-            grad = -grad_rest
-        grad[:-1] += DECAY * w
+        grad = prior * np.append(dp @ pos / len(pos), dp.mean())
+        if rest > 0:  # the risk takes max(0, rest): below zero only the positives' part moves it
+            grad += grad_rest
+        grad[:-1] += DECAY * (w - first)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -131,6 +139,10 @@ def _features(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
     return np.sort(best[sure] if sure.sum() >= LEAST_FEATURES else best[:LEAST_FEATURES][z[best[:LEAST_FEATURES]] > 0])
 
 
+def fitted(pos: np.ndarray, unl: np.ndarray, share: float) -> tuple[np.ndarray, float]:
+    return fit_nnpu(pos, unl, prior_among(pos, unl, share))
+
+
 def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> Classifier | None:
     if not pos or not unl:
         return None
@@ -141,25 +153,41 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> Classifie
     for k in range(parts) if parts > 1 else ():
         a, b = out_fold(pos, k), out_fold(unl, k) or unl
         codes = _features(a, b)
-        w, bias = fit_nnpu(_matrix(a, codes), _matrix(b, codes), prior)
+        w, bias = fitted(_matrix(a, codes), _matrix(b, codes), prior)
         p_scores.append(_matrix(in_fold(pos, k), codes) @ w + bias)
         u_scores.append(_matrix(in_fold(unl, k), codes) @ w + bias)
     codes = _features(pos, unl)
-    w, bias = fit_nnpu(_matrix(pos, codes), _matrix(unl, codes), prior)
-    shift = best_cut(np.concatenate(p_scores), np.concatenate(u_scores)) if p_scores else 0.0
+    w, bias = fitted(_matrix(pos, codes), _matrix(unl, codes), prior)
+    shift = best_cut(np.concatenate(p_scores), np.concatenate(u_scores), prior_among(_matrix(pos, codes), _matrix(unl, codes), prior)) if p_scores else 0.0
     return Classifier(codes, w, bias, shift, 1.0)
 
 
-def best_cut(pos: np.ndarray, unl: np.ndarray) -> float:
-    """The logit that splits best, by recall squared over the unlabelled share
-    above; the middle between the two neighbours around it."""
+def prior_among(pos: np.ndarray, unl: np.ndarray, share: float) -> float:
+    """The class prior of the unlabelled texts: the labelled rows' toxic share,
+    unless the words of positives show that fewer are toxic here. A word that only
+    toxic texts hold is among all texts the prior times as frequent as among
+    positives; the median word, by its frequency among positives, is taken."""
+    p, u = pos.mean(0), unl.mean(0)
+    signs = p > u
+    if not signs.any():
+        return share
+    ratio, weight = u[signs] / p[signs], p[signs]
+    order = np.argsort(ratio)
+    middle = np.searchsorted(np.cumsum(weight[order]), weight.sum() / 2)
+    return float(min(share, max(ratio[order][middle], 1 / len(unl))))
+
+
+def best_cut(pos: np.ndarray, unl: np.ndarray, prior: float) -> float:
+    """The logit of the best F1 that positives and unlabelled texts let expect:
+    prior times recall are hits, the unlabelled share above is what is flagged.
+    It lies in the middle between the two scores around it."""
     both = np.unique(np.concatenate([pos, unl]))
     if len(both) < 2:
         return float(both[0]) if len(both) else 0.0
     cuts = (both[1:] + both[:-1]) / 2
     recall = 1 - np.searchsorted(np.sort(pos), cuts) / len(pos)
     above = 1 - np.searchsorted(np.sort(unl), cuts) / len(unl)
-    return float(cuts[np.argmax(recall**2 / np.maximum(above, 0.5 / len(unl)))])
+    return float(cuts[np.argmax(np.minimum(prior * recall, above) / (prior + above))])
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, parts: int = 3, held: int = 1) -> Classifier | None:
