@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a batch that are held as Python objects at once.
 SLICE_ROWS = 256
+#: Rows of an Arrow batch.
+BATCH_ROWS = 4096
 #: Bytes of text that a vectorised kernel works on at once.
 SLICE_BYTES = 4 << 20
 
@@ -42,6 +44,15 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_rows(df: DataFrame) -> DataFrame:
+    """The same table, once its session hands texts to Python in batches of a
+    few megabytes: ten thousand long texts at once would fill an executor."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -75,3 +86,24 @@ def utf8_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Array]]:
+    """Columns of sorted rows, cut so that no group of the first ``keys`` columns is split."""
+    kept: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        if kept is not None:
+            rows = pa.concat_tables([kept, rows])
+        same = np.ones(rows.num_rows, bool)
+        for k in range(keys):
+            column = rows.column(k).to_numpy()
+            same &= column == column[-1]
+        cut = rows.num_rows - int(same.sum())
+        if cut:
+            yield [c.combine_chunks() for c in rows.slice(0, cut).columns]
+        kept = rows.slice(cut)
+    if kept is not None:
+        yield [c.combine_chunks() for c in kept.columns]

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_slices
+from ._common import text_rows, text_slices
 
 #: Words in a generation of a Python worker's cache.
 CACHE_WORDS = 250_000
@@ -338,6 +338,6 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token counts and digests of the ids and of the decoded text of each row."""
     path = path or default_path()
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return text_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         lambda batches: encode_batches(batches, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

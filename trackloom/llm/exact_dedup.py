@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import slices, stored, utf8_of
+from ._common import slices, stored, text_rows, utf8_of
 
 SLOTS = 4
 MAX_KICKS = 500
@@ -198,7 +198,7 @@ def _fold_shard(batches):
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_id, doc_id, digest, points (code points) of each row."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs).select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_digest_batches, "row_id long, doc_id long, digest binary, points long")
 
 

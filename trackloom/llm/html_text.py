@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, texts_of
+from ._common import slices, text_rows, texts_of
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -196,5 +196,5 @@ def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """page_id, url, the main text of each page and its code points."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = text_rows(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extract_batches, "page_id long, url string, text string, n_chars long")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, text_slices
+from ._common import stored, text_rows, text_slices
 from .bpe import Words
 
 #: Words, and n-grams of each length, that the model keeps for each language.
@@ -176,11 +176,11 @@ def train(spark: SparkSession, rows: DataFrame, words: int = WORDS, grams: int =
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", parts: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by words and grams
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, parts) == held).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, parts) == held).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(lambda b: _predict_batches(b, shared.value), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, held: int = 2) -> DataFrame:
     """Learn from all rows out of the held-out fold, and judge every row."""
-    known = docs.filter((fold(id_col, parts) != held) & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    known = text_rows(docs).filter((fold(id_col, parts) != held) & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     return predict(docs, train(spark, known), id_col, text_col, parts, held)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from ._common import stored, text_slices
+from ._common import stored, text_rows, text_slices
 
 LENGTH = 2048
 SEPARATOR = 0
@@ -51,7 +51,7 @@ def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, most: int) -> I
 
 def pieces(docs: DataFrame, path: str | None = None, most: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     path = path or bpe.default_path()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(lambda batches: _piece_batches(batches, path, most), PIECES)
 
 

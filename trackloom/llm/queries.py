@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, language, packing, secrets, simhash, toxicity
+from . import bpe, exact_dedup, html_text, language, nndescent, packing, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_simhash(spark, sf_dir):
     return simhash.near_dedup(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_nndescent(spark, sf_dir):
+    return nndescent.nearest(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op4_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ def op10_toxicity(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
+    "op3_nndescent": op3_nndescent,
     "op4_html_text": op4_html_text,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,

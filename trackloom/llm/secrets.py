@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_slices
+from ._common import text_rows, text_slices
 
 #: The base patterns, with the least length of what they must hold.
 BASE = {
@@ -127,7 +127,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch], path: str, limit: float) ->
 def scan(docs: DataFrame, path: str | None = None, limit: float = MAX_CHARS_A_TOKEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and all spans of each row."""
     path = path or default_path()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(lambda b: _scan_batches(b, path, limit), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
@@ -153,4 +153,4 @@ def redact(docs: DataFrame, path: str | None = None, limit: float = MAX_CHARS_A_
             columns[at] = pa.array(found, texts.type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(kernel, docs.schema)
+    return text_rows(docs).mapInArrow(kernel, docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import text_slices
+from ._common import text_rows, text_slices
 from .bpe import Words
 from .language import fold, words_of
 
@@ -225,12 +225,12 @@ def _score_batches(batches: Iterator[pa.RecordBatch], model: Classifier | None)
 
 def score(docs: DataFrame, model: Classifier | None, parts: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, parts) == held).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, parts) == held).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(lambda b: _score_batches(b, shared.value), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     return score(rows, train(spark, rows, marks))
