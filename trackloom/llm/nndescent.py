@@ -31,13 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ._common import shuffle_parts, stored, whole_groups
 
-NEIGHBOURS, REVERSE, OFFERS = 14, 10, 3
-SEED_TABLES, SEED_BLOCK = 2, 256
-ROUNDS, SETTLED = 4, 0.03
-BEAM, STEPS = 64, (1, 8, 16, 24, 24, 16)
+NEIGHBOURS, REVERSE, OFFERS = 24, 16, 8
+SEED_TABLES, SEED_BLOCK, SEED_KEEP = 6, 1024, 12
+ROUNDS, SETTLED = 5, 0.02
+BEAM, STEPS = 192, (1, 24, 48, 64, 64)
 EVERY, TOP = 50, 5
 FOLD_KEYS = 1 << 15
 
@@ -190,7 +191,7 @@ def build_graph(spark: SparkSession, nodes: DataFrame, count: int, dim: int, k:
     keyed = nodes.select("node", "vec").mapInArrow(lambda b: _seed_keys(b, dim, bits), "table int, code long, place double, node long, vec binary")
     parts = max(1, min(shuffle_parts(spark), SEED_TABLES * count // (4 * SEED_BLOCK)))
     ordered = keyed.repartitionByRange(parts, "table", "code", "place").sortWithinPartitions("table", "code", "place")
-    graph = stored(spark, keep_best(ordered.mapInArrow(lambda b: _seed_batches(b, k), EDGES), k), "graph")
+    graph = stored(spark, keep_best(ordered.mapInArrow(lambda b: _seed_batches(b, min(k, SEED_KEEP)), EDGES), k), "graph")
     for _ in range(rounds):
         worst = graph.groupBy("node").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
         state = nodes.select("node", "vec").join(worst, "node", "left").select(F.col("node").alias("member"), "vec", F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
@@ -283,10 +284,13 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = EVERY, top: in
     count = nodes.count()
     graph = build_graph(spark, nodes, count, dim)
     around = members(graph, REVERSE).join(nodes.select(F.col("node").alias("member"), "vec"), "member").select("center", "member", "vec")
-    lists = stored(spark, around.repartition("center").sortWithinPartitions("center").mapInArrow(_pack_lists, "node long, ids binary, vecs binary"), "lists")
+    lists = around.repartition("center").sortWithinPartitions("center").mapInArrow(_pack_lists, "node long, ids binary, vecs binary")
+    # Kept by node through all steps, so that a step moves its frontier only; what an executor loses is made again.
+    lists = lists.repartition("node").persist(StorageLevel.MEMORY_AND_DISK)
     asked = clean.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), "key").distinct()
     queries = stored(spark, asked.join(nodes, "key").select("query", "node", "vec", F.col("raw").alias("query_raw")), "queries")
-    beams = search(spark, lists, queries)
+    beams = stored(spark, search(spark, lists, queries), "found")
+    lists.unpersist()
     # The beam's best, and every copy that can be among the nearest; scored exactly.
     pairs = beams.join(queries.select("query", "query_raw"), "query").join(nodes.select("node", "ids", "raw"), "node")
     each = pairs.select("query", F.explode("ids").alias("vec_id"), "query_raw", "raw").filter("query <> vec_id")
