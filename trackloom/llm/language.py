@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import stored, text_rows, text_slices
-from .bpe import Words
+from .bpe import CACHE_WORDS
 
 #: Words, and n-grams of each length, that the model keeps for each language.
 WORDS, GRAMS, LONGEST = 30_000, 8_000, 4
@@ -109,7 +109,7 @@ def _most(counts: DataFrame, by: list, limit: int) -> DataFrame:
 class Model:
     """Log frequencies of words and n-grams by language, as small arrays."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]]):
+    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: list[tuple[dict[str, int], np.ndarray]]):
         self.langs, self.words, self.grams = langs, words, grams
 
     @classmethod
@@ -127,23 +127,61 @@ class Model:
             share -= share.mean(1, keepdims=True)
             return dict(zip(names, share.astype(np.float32), strict=True))
 
-        by_size = [table([r for r in grams if len(r[1]) == k]) for k in range(1, LONGEST + 1)]
+        by_size = []
+        for k in range(1, LONGEST + 1):
+            found = table([r for r in grams if len(r[1]) == k])
+            by_size.append(({g: i for i, g in enumerate(found)}, np.stack([*found.values(), np.zeros(len(langs), np.float32)])))
         return cls(langs, table(words), by_size)
 
-    def of_word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """A row of scores by language for each word."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        open_words = []
+        for i, word in enumerate(words):
+            known = self.words.get(word)
+            if known is not None:
+                out[i] = known
+            elif word:
+                open_words.append(i)
         for n in range(LONGEST, 0, -1):
-            table = self.grams[n - 1]
-            found = [table[g] for g in grams_of(word, n) if g in table]
-            if found:
-                return np.mean(found, axis=0) * np.float32(GRAM_WEIGHT)
-        return np.zeros(len(self.langs), np.float32)
+            at, rows = self.grams[n - 1]
+            found, sizes, scored, left = [], [], [], []
+            for i in open_words:
+                own = [at[g] for g in grams_of(words[i], n) if g in at]
+                if own:
+                    found += own
+                    sizes.append(len(own))
+                    scored.append(i)
+                else:
+                    left.append(i)
+            if scored:
+                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                out[scored] = np.add.reduceat(rows[found], starts, axis=0) / np.array(sizes, np.float32)[:, None] * np.float32(GRAM_WEIGHT)
+            open_words = left
+        return out
+
+
+class Scores(dict):
+    """Word scores as bytes, in two generations of bounded size."""
+
+    def __init__(self, model: Model, limit: int = CACHE_WORDS):
+        super().__init__()
+        self.model, self.limit, self.old = model, limit, {}
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        old, new = self.old, [w for w in words if w not in self]
+        moved = {w: old[w] for w in new if w in old}
+        self.update(moved)
+        new = [w for w in new if w not in moved]
+        self.update(zip(new, (r.tobytes() for r in self.model.of_words(new)), strict=True))
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.float32).reshape(len(words), -1)
 
 
 def _predict_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    cache = Words(lambda w: model.of_word(w) if w else np.zeros(len(model.langs), np.float32))
+    cache = Scores(model)
     for batch in text_slices(batches, 2):
         codes, words, ends = words_of(batch.column(2))
         kinds = np.array([bool(w) for w in words], bool)
@@ -152,7 +190,7 @@ def _predict_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterato
         any_letter = letters[ends] > letters[starts]
         langs, scores = np.full(len(ends), UNKNOWN, object), np.zeros(len(ends))
         if model.langs and len(codes):
-            vectors = np.stack(list(map(cache.__getitem__, words)))
+            vectors = cache.rows(words)
             sums = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(vectors[codes], axis=0, dtype=np.float64)])
             total = sums[ends] - sums[starts]
             total -= total.max(1, keepdims=True)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, language, nndescent, packing, secrets, simhash, toxicity
+from . import bpe, exact_dedup, html_text, language, nndescent, packing, passages, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op8_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_passages(spark, sf_dir):
+    return passages.repeated_passages(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_language": op7_language,
     "op8_secrets": op8_secrets,
+    "op9_passages": op9_passages,
     "op10_toxicity": op10_toxicity,
 }
 
