@@ -1,4 +1,702 @@
-"""All queries and their SQL, by name."""
+"""All queries of the engine's own operators, with the same results as DuckDB SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackloom.functions import geometry as geo
+from trackloom.functions import scalars as sc
+from trackloom.operators import filters, graph, journal, lidar, matching, pairs, ranking, stats, tables
+from trackloom.plans.adapters import oracle, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+DIGITS = 6
+
+
+def query(sql: str | None = None, views: str = ""):
+    """Register a query under its function's name, with its oracle over views."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = oracle(sql, *views.split())
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, DIGITS).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+
+
+def cols(*names: str) -> tuple[Column, ...]:
+    return tuple(F.col(n) for n in names)
+
+
+# -- scans and lookups --------------------------------------------------------
+
+
+@query("SELECT camera_id, model, width, height, f, cx, cy, prior_focal FROM cameras", "cameras")
+def s01_cameras(spark, d):
+    return view(spark, d, "cameras")
+
+
+@query("SELECT image_id, name, camera_id, registered, round(lat, 6) AS lat, round(lon, 6) AS lon, round(alt, 6) AS alt FROM images", "images")
+def s02_images(spark, d):
+    return rounded(view(spark, d, "images").select("image_id", "name", "camera_id", "registered", "lat", "lon", "alt"))
+
+
+@query("SELECT src*2147483647+dst AS pair_id, src_idx AS idx1, dst_idx AS idx2 FROM edges WHERE src < dst", "edges")
+def s03_matches(spark, d):
+    e = view(spark, d, "edges").filter("src < dst")
+    return e.select(geo.pair_id(*cols("src", "dst")).alias("pair_id"), F.col("src_idx").alias("idx1"), F.col("dst_idx").alias("idx2"))
+
+
+@query("SELECT pair_id, n_rows, config FROM pairs WHERE n_rows > 0", "pairs")
+def s04_two_view(spark, d):
+    return tables.with_rows(view(spark, d, "pairs")).select("pair_id", "n_rows", "config")
+
+
+@query("SELECT CAST(floor(pair_id / 2147483647) AS BIGINT) AS image_id1, pair_id % 2147483647 AS image_id2, n_rows FROM pairs WHERE n_rows > 0", "pairs")
+def s05_num_inliers(spark, d):
+    a, b = geo.pair_images(F.col("pair_id"))
+    return tables.with_rows(view(spark, d, "pairs")).select(a.alias("image_id1"), b.alias("image_id2"), "n_rows")
+
+
+@query("SELECT -y AS x, -z AS y, x AS z, -ny AS nx, -nz AS ny, nx AS nz FROM (SELECT round(x, 6) AS x, round(y, 6) AS y, z, round(nx, 6) AS nx, ny, round(nz, 6) AS nz FROM lidar) AS t", "lidar")
+def s34_lidar_axes(spark, d):
+    return lidar.swapped_axes(rounded(view(spark, d, "lidar")))
+
+
+@query(
+    """SELECT * FROM (SELECT 'cameras' AS entity, count(*) AS n FROM cameras UNION ALL SELECT 'images', count(*) FROM images
+    UNION ALL SELECT 'matched_pairs', count(*) FROM pairs UNION ALL SELECT 'keypoints', count(*) FROM tracks
+    UNION ALL SELECT 'matches', coalesce(sum(n_rows), 0) FROM pairs UNION ALL SELECT 'most_matches', coalesce(max(n_rows), 0) FROM pairs) AS t""",
+    "cameras images pairs tracks",
+)
+def d05_counts(spark, d):
+    p = view(spark, d, "pairs")
+    one = lambda df, name, agg: df.agg(F.coalesce(agg, F.lit(0)).cast("long").alias("n")).select(F.lit(name).alias("entity"), "n")
+    rows = [one(view(spark, d, t), n, F.count("*")) for t, n in (("cameras", "cameras"), ("images", "images"))]
+    rows += [one(p, "matched_pairs", F.count("*")), one(view(spark, d, "tracks"), "keypoints", F.count("*")), one(p, "matches", F.sum("n_rows")), one(p, "most_matches", F.max("n_rows"))]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
+
+
+@query("SELECT i.image_id, count(t.idx) AS n FROM images AS i LEFT JOIN tracks AS t ON i.image_id = t.image_id GROUP BY i.image_id", "images tracks")
+def d08_rows_for_entry(spark, d):
+    return tables.rows_for(view(spark, d, "tracks"), view(spark, d, "images"), "image_id")
+
+
+@query(
+    """SELECT source, old_id, row_number() OVER (ORDER BY source, old_id) AS new_id, name
+    FROM (SELECT CASE WHEN image_id % 2 = 0 THEN 1 ELSE 2 END AS source, image_id AS old_id, name FROM images) AS t""",
+    "images",
+)
+def d14_db_merge(spark, d):
+    im = view(spark, d, "images")
+    return tables.merged_ids(im.filter("image_id % 2 = 0"), im.filter("image_id % 2 = 1"), "image_id").select("source", "old_id", "new_id", "name")
+
+
+@query(
+    """WITH kept AS (SELECT * FROM pairs WHERE n_rows >= 3 AND config <> 7),
+    touched AS (SELECT image_id1 AS image_id, n_rows FROM kept UNION ALL SELECT image_id2, n_rows FROM kept)
+    SELECT image_id, count(*) AS partners, CAST(sum(n_rows) AS BIGINT) AS correspondences FROM touched GROUP BY image_id""",
+    "pairs",
+)
+def p14_cache_load(spark, d):
+    kept, images = tables.load_filter(view(spark, d, "pairs"), 3, 7)
+    ends = kept.select(F.explode(F.array("image_id1", "image_id2")).alias("image_id"), "n_rows")
+    return ends.join(images, "image_id").groupBy("image_id").agg(F.count("*").alias("partners"), F.sum("n_rows").alias("correspondences"))
+
+
+# -- candidate pairs ----------------------------------------------------------
+
+
+@query(
+    """WITH o AS (SELECT image_id, CAST(floor((row_number() OVER (ORDER BY image_id)-1)/50e0) AS INT) AS blk FROM images)
+    SELECT a.image_id AS image_id1, b.image_id AS image_id2, a.blk AS block1, b.blk AS block2 FROM o AS a JOIN o AS b ON a.image_id < b.image_id""",
+    "images",
+)
+def j01_exhaustive(spark, d):
+    return pairs.exhaustive(view(spark, d, "images"))
+
+
+@query(
+    """WITH o AS (SELECT image_id, row_number() OVER (ORDER BY name) AS rn, count(*) OVER () AS n FROM images),
+    s AS (SELECT i, i AS off FROM range(10) AS r(i) UNION SELECT i, CAST(power(2, i) AS BIGINT) FROM range(10) AS r(i))
+    SELECT DISTINCT least(a.image_id, b.image_id) AS image_id1, greatest(a.image_id, b.image_id) AS image_id2
+    FROM o AS a JOIN s ON a.rn + s.i <= a.n JOIN o AS b ON b.rn = a.rn + s.off WHERE a.image_id <> b.image_id""",
+    "images",
+)
+def j02_sequential(spark, d):
+    return pairs.sequential(view(spark, d, "images"), 10)
+
+
+E = "6378137e0"
+E2 = "(1 - 6356752.314245e0*6356752.314245e0/(6378137e0*6378137e0))"
+ECEF_SQL = f"""WITH n AS (SELECT image_id, radians(lat) AS la, radians(lon) AS lo, alt, {E}/sqrt(1-{E2}*sin(radians(lat))*sin(radians(lat))) AS r FROM images),
+    e AS (SELECT image_id, (r+alt)*cos(la)*cos(lo) AS x, (r+alt)*cos(la)*sin(lo) AS y, (r*(1-{E2})+alt)*sin(la) AS z FROM n)"""
+
+
+def located(spark, d) -> DataFrame:
+    x, y, z = geo.ecef(*cols("lat", "lon", "alt"))
+    return view(spark, d, "images").select("image_id", "lat", "lon", "alt", x.alias("x"), y.alias("y"), z.alias("z"))
+
+
+@query(
+    ECEF_SQL
+    + """, k AS (SELECT a.image_id, b.image_id AS nn_image_id, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) AS d2 FROM e AS a JOIN e AS b ON TRUE),
+    r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY d2, nn_image_id <> image_id, nn_image_id) AS rank FROM k)
+    SELECT image_id, nn_image_id, rank FROM r WHERE rank <= 10 AND nn_image_id <> image_id AND d2 <= 250e0*250e0""",
+    "images",
+)
+def j05_spatial(spark, d):
+    return pairs.within(located(spark, d), "image_id", 250.0, 10).select("image_id", F.col("other").alias("nn_image_id"), "rank")
+
+
+@query(
+    """WITH s AS (SELECT image_id1, image_id2 FROM pairs WHERE (image_id1 * 7 + image_id2 * 3) % 29 = 0),
+    b AS (SELECT image_id1 AS a, image_id2 AS b FROM s UNION ALL SELECT image_id2, image_id1 FROM s)
+    SELECT DISTINCT x.a AS image_id1, y.b AS image_id3 FROM b AS x JOIN b AS y ON x.b = y.a WHERE x.a < y.b
+    AND NOT EXISTS (SELECT 1 FROM s WHERE s.image_id1 = x.a AND s.image_id2 = y.b)""",
+    "pairs",
+)
+def j06_transitive(spark, d):
+    return pairs.transitive(view(spark, d, "pairs").filter("(image_id1 * 7 + image_id2 * 3) % 29 = 0"))
+
+
+@query(
+    """SELECT pair_id, CASE WHEN n_rows % 3 = 0 THEN 'skip' WHEN n_rows % 2 = 0 THEN 'verify' ELSE 'match' END AS route FROM pairs""", "pairs"
+)
+def j07_route(spark, d):
+    p = view(spark, d, "pairs")
+    return pairs.routed(p.select("image_id1", "image_id2").union(p.select("image_id2", "image_id1")), p.filter("n_rows % 3 = 0 OR n_rows % 2 = 0"), p.filter("n_rows % 3 = 0"))
+
+
+# -- descriptor matching and retrieval ---------------------------------------
+
+MATCH_SQL = """WITH x AS (SELECT image_id, idx, descriptor FROM descriptors),
+    s AS (SELECT a.idx AS idx1, b.idx AS idx2, list_sum(list_transform(list_zip(a.descriptor, b.descriptor), lambda p: CAST(p[1] AS DOUBLE)*CAST(p[2] AS DOUBLE))) AS dot
+        FROM x AS a JOIN x AS b ON a.image_id = {a} AND b.image_id = {b}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY idx1 ORDER BY dot DESC, idx2) AS rn FROM s WHERE dot > 0),
+    t AS (SELECT idx1, max(CASE WHEN rn = 1 THEN idx2 END) AS idx2, acos(least(max(CASE WHEN rn = 1 THEN dot END), 1e0)) AS best,
+        acos(least(coalesce(max(CASE WHEN rn = 2 THEN dot END), 0e0), 1e0)) AS second FROM r WHERE rn <= 2 GROUP BY idx1),
+    m AS (SELECT idx1, idx2, best, second FROM t WHERE best <= 1.3e0 AND best < 0.98e0*second)"""
+
+
+def _sides(spark, d):
+    x = view(spark, d, "descriptors").select("image_id", "idx", "descriptor")
+    return (x.filter(F.col("image_id") == i).select(F.lit(1).alias("pair"), "idx", "descriptor") for i in (1, 2))
+
+
+@query(MATCH_SQL.format(a=1, b=2) + " SELECT idx1, idx2, round(best, 6) AS best, round(second, 6) AS second FROM m", "descriptors")
+def j08_ratio_match(spark, d):
+    a, b = _sides(spark, d)
+    return rounded(matching.best_matches(a, b, 0.98, 1.3).select("idx1", "idx2", "best", "second"))
+
+
+@query(
+    MATCH_SQL.format(a=1, b=2)
+    + ", n AS (SELECT * FROM ("
+    + MATCH_SQL.format(a=2, b=1).replace("WITH x AS (SELECT image_id, idx, descriptor FROM descriptors),", "WITH")
+    + " SELECT idx1, idx2 FROM m) AS q) SELECT m.idx1, m.idx2 FROM m JOIN n ON m.idx1 = n.idx2 AND m.idx2 = n.idx1",
+    "descriptors",
+)
+def j09_mutual_best(spark, d):
+    a, b = _sides(spark, d)
+    return matching.mutual_matches(a, b, 0.98, 1.3).select("idx1", "idx2")
+
+
+WORDS_SQL = """WITH w AS (SELECT vec_id AS word_id, descriptor AS centroid FROM descriptors WHERE vec_id < 16),
+    q AS (SELECT d.image_id, d.idx, w.word_id, row_number() OVER (PARTITION BY d.image_id, d.idx ORDER BY
+        list_sum(list_transform(list_zip(d.descriptor, w.centroid), lambda p: (CAST(p[1] AS DOUBLE)-CAST(p[2] AS DOUBLE))*(CAST(p[1] AS DOUBLE)-CAST(p[2] AS DOUBLE)))), w.word_id) AS rn,
+        list_transform(d.descriptor, lambda v: v > 0) AS bits FROM descriptors AS d JOIN w ON TRUE),
+    p AS (SELECT image_id, idx, word_id, bits FROM q WHERE rn = 1),
+    i AS (SELECT word_id, count(DISTINCT image_id) AS df, ln((SELECT count(DISTINCT image_id) FROM p) / count(DISTINCT image_id)) AS idf FROM p GROUP BY word_id)"""
+
+
+def _postings(spark, d) -> DataFrame:
+    x = view(spark, d, "descriptors")
+    words = x.filter("vec_id < 16").select(F.col("vec_id").alias("word_id"), F.col("descriptor").alias("centroid"))
+    return matching.nearest_words(x, words, 1).select("image_id", "idx", "word_id", geo.sign_bits(F.col("descriptor")).alias("sig"))
+
+
+@query(WORDS_SQL + " SELECT image_id, idx, word_id FROM p", "descriptors")
+def r03_assign_words(spark, d):
+    return _postings(spark, d).select("image_id", "idx", "word_id")
+
+
+@query(WORDS_SQL + " SELECT word_id, df, round(idf, 6) AS idf FROM i", "descriptors")
+def g24_word_idf(spark, d):
+    return rounded(matching.idf(_postings(spark, d)))
+
+
+@query(
+    WORDS_SQL + " SELECT p.image_id, round(CASE WHEN sum(idf*idf) > 0 THEN 1/sqrt(sum(idf*idf)) ELSE 0 END, 6) AS norm FROM p JOIN i ON p.word_id = i.word_id GROUP BY p.image_id", "descriptors"
+)
+def g25_norms(spark, d):
+    p = _postings(spark, d)
+    return rounded(matching.image_norms(p, matching.idf(p)))
+
+
+@query(
+    WORDS_SQL
+    + """, n AS (SELECT p.image_id, CASE WHEN sum(idf*idf) > 0 THEN 1/sqrt(sum(idf*idf)) ELSE 0 END AS norm FROM p JOIN i ON p.word_id = i.word_id GROUP BY p.image_id),
+    v AS (SELECT a.image_id AS query_image, a.idx, a.word_id, b.image_id, list_sum(list_transform(list_zip(a.bits, b.bits), lambda t: CAST(t[1] <> t[2] AS INT))) AS h
+        FROM p AS a JOIN p AS b ON a.word_id = b.word_id),
+    s AS (SELECT query_image, idx, word_id, image_id, sum(exp(-(h*h)/256e0))/sqrt(count(*)) AS s FROM v WHERE h <= 24 GROUP BY ALL),
+    t AS (SELECT query_image, image_id, sum(s*idf*idf) AS s FROM s JOIN i ON s.word_id = i.word_id GROUP BY ALL)
+    SELECT query_image, t.image_id, round(s*a.norm*b.norm, 6) AS score FROM t JOIN n AS a ON a.image_id = query_image JOIN n AS b ON b.image_id = t.image_id""",
+    "descriptors",
+)
+def r05_retrieval_score(spark, d):
+    p = _postings(spark, d)
+    w = matching.idf(p)
+    return rounded(matching.image_scores(p, p, w, matching.image_norms(p, w)))
+
+
+# -- aggregates ---------------------------------------------------------------
+
+
+@query(
+    """WITH o AS (SELECT count(*) AS n FROM tracks JOIN images ON tracks.image_id = images.image_id WHERE registered),
+    r AS (SELECT count(*) AS images, count(*) FILTER (WHERE registered) AS registered FROM images), p AS (SELECT count(*) AS points, round(coalesce(avg(error), 0), 6) AS mean_error FROM points3d)
+    SELECT (SELECT count(*) FROM cameras) AS cameras, images, registered, points, o.n AS observations, round(o.n/points, 6) AS mean_track_length, round(o.n/registered, 6) AS mean_obs_per_image, mean_error FROM o, r, p""",
+    "cameras images points3d tracks",
+)
+def g05_model_analyzer(spark, d):
+    return rounded(stats.model_report(*(view(spark, d, v) for v in ("images", "cameras", "points3d", "tracks"))))
+
+
+@query(
+    """WITH l AS (SELECT 'x' AS axis, CAST(x AS FLOAT) AS v FROM points3d UNION ALL SELECT 'y', CAST(y AS FLOAT) FROM points3d UNION ALL SELECT 'z', CAST(z AS FLOAT) FROM points3d),
+    r AS (SELECT axis, CAST(v AS DOUBLE) AS v, row_number() OVER (PARTITION BY axis ORDER BY v)-1 AS rk, count(*) OVER (PARTITION BY axis) AS n FROM l)
+    SELECT axis, round(min(v), 6) AS lo, round(max(v), 6) AS hi, round(avg(v), 6) AS centroid FROM r WHERE rk BETWEEN trunc(0.1e0*(n-1)) AND trunc(0.9e0*(n-1)) GROUP BY axis""",
+    "points3d",
+)
+def g06_bounds_centroid(spark, d):
+    return rounded(stats.trimmed_bounds(view(spark, d, "points3d"), 0.1, 0.9))
+
+
+@query("SELECT image_id, count(*) AS shared FROM tracks WHERE image_id <> 1 AND point3d_id IN (SELECT point3d_id FROM tracks WHERE image_id = 1) GROUP BY image_id", "tracks")
+def g08_shared_observations(spark, d):
+    return stats.shared_with(view(spark, d, "tracks"), 1)
+
+
+@query(
+    "SELECT a.image_id AS image_id1, b.image_id AS image_id2, count(*) AS shared FROM tracks AS a JOIN tracks AS b ON a.point3d_id = b.point3d_id AND a.image_id < b.image_id GROUP BY ALL", "tracks"
+)
+def g09_shared_points(spark, d):
+    return stats.shared_points(view(spark, d, "tracks"))
+
+
+ANGLE_SQL = """WITH j AS (SELECT a.point3d_id, a.image_id AS image_id1, b.image_id AS image_id2,
+        power(a.ox-b.ox,2)+power(a.oy-b.oy,2)+power(a.oz-b.oz,2) AS base, power(a.x-a.ox,2)+power(a.y-a.oy,2)+power(a.z-a.oz,2) AS r1, power(a.x-b.ox,2)+power(a.y-b.oy,2)+power(a.z-b.oz,2) AS r2
+        FROM observed AS a JOIN observed AS b ON a.point3d_id = b.point3d_id AND a.image_id < b.image_id),
+    g AS (SELECT point3d_id, image_id1, image_id2, CASE WHEN r1*r2 = 0 THEN 0 ELSE abs(acos(greatest(-1e0, least(1e0, (r1+r2-base)/(2*sqrt(r1*r2)))))) END AS t FROM j),
+    h AS (SELECT point3d_id, image_id1, image_id2, least(t, pi()-t) AS angle FROM g),
+    pa AS (SELECT image_id1, image_id2, count(*) AS shared, list_sort(list(angle))[CAST(round(0.75e0*(count(*)-1)) AS INT)+1] AS angle FROM h GROUP BY image_id1, image_id2)"""
+
+
+@query(ANGLE_SQL + " SELECT image_id1, image_id2, shared, round(angle, 6) AS angle FROM pa", "observed")
+def g10_pair_angles(spark, d):
+    return rounded(stats.pair_angles(view(spark, d, "observed"), 75))
+
+
+@query(
+    """WITH l AS (SELECT image_id, list_sort(list(depth) FILTER (WHERE depth > 0)) AS v FROM observed GROUP BY image_id)
+    SELECT image_id, CASE WHEN v IS NULL THEN -1 ELSE round(0.75e0*v[CAST(floor(len(v)*0.01e0) AS INT)+1], 6) END AS depth_min,
+        CASE WHEN v IS NULL THEN -1 ELSE round(1.25e0*v[CAST(floor(len(v)*0.99e0) AS INT)+1], 6) END AS depth_max FROM l""",
+    "observed",
+)
+def g11_depth_ranges(spark, d):
+    return rounded(stats.depth_ranges(view(spark, d, "observed")))
+
+
+@query("SELECT src*2147483647+dst AS pair_id, count(*) AS n FROM edges WHERE src < dst GROUP BY src, dst", "edges")
+def g12_corr_counts(spark, d):
+    return view(spark, d, "edges").filter("src < dst").groupBy(geo.pair_id(*cols("src", "dst")).alias("pair_id")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT src AS image_id, count(DISTINCT src_idx) AS observations, count(*) AS correspondences FROM edges GROUP BY src", "edges")
+def g13_observations(spark, d):
+    return view(spark, d, "edges").groupBy(F.col("src").alias("image_id")).agg(F.count_distinct("src_idx").alias("observations"), F.count("*").alias("correspondences"))
+
+
+@query(
+    """WITH p AS (SELECT image_id, idx, CASE WHEN point3d_id % 3 = 0 THEN NULL ELSE point3d_id END AS pt FROM tracks)
+    SELECT src*2147483647+dst AS pair_id, count(*) AS total_corrs, count(*) FILTER (WHERE a.pt = b.pt) AS tri_corrs
+    FROM edges JOIN p AS a ON a.image_id = src AND a.idx = src_idx JOIN p AS b ON b.image_id = dst AND b.idx = dst_idx WHERE src < dst GROUP BY src, dst""",
+    "edges",
+)
+def g14_pair_stats(spark, d):
+    p = view(spark, d, "tracks").withColumn("point3d_id", F.when(F.col("point3d_id") % 3 != 0, F.col("point3d_id")))
+    return stats.pair_stats(view(spark, d, "edges"), p)
+
+
+@query(
+    """WITH s AS (SELECT p.point3d_id, x, y, z, n FROM points3d AS p JOIN (SELECT point3d_id, count(*) AS n FROM tracks GROUP BY point3d_id) AS t ON p.point3d_id = t.point3d_id)
+    SELECT a.point3d_id AS point3d_id1, b.point3d_id AS point3d_id2, round((a.x*a.n+b.x*b.n)/(a.n+b.n), 6) AS x, round((a.y*a.n+b.y*b.n)/(a.n+b.n), 6) AS y,
+    round((a.z*a.n+b.z*b.n)/(a.n+b.n), 6) AS z, a.n+b.n AS track_len FROM s AS a JOIN s AS b ON b.point3d_id = a.point3d_id+1 WHERE a.point3d_id % 2 = 0""",
+    "points3d tracks",
+)
+def g16_merge_points(spark, d):
+    p = view(spark, d, "points3d")
+    partners = p.filter("point3d_id % 2 = 0").select(F.col("point3d_id").alias("point3d_id1"), (F.col("point3d_id") + 1).alias("point3d_id2"))
+    return rounded(stats.merged_points(p, view(spark, d, "tracks"), partners))
+
+
+@query(
+    """WITH v AS (SELECT list_sort(list(error)) AS v FROM points3d WHERE error IS NOT NULL)
+    SELECT v[1] AS min, v[len(v)] AS max, round(list_avg(v), 6) AS mean, round(list_median(v), 6) AS median, v[CAST(floor(0.9e0*len(v)) AS INT)+1] AS p90, v[CAST(floor(0.99e0*len(v)) AS INT)+1] AS p99 FROM v""",
+    "points3d",
+)
+def g17_error_stats(spark, d):
+    return rounded(stats.error_stats(view(spark, d, "points3d"), "error"))
+
+
+@query("SELECT event_type AS ba_kind, count(*) AS calls, round(sum(value), 6) AS wall_sum, round(max(value), 6) AS wall_max FROM events GROUP BY event_type")
+def g21_telemetry(spark, d):
+    return rounded(stats.telemetry(view(spark, d, "events"), "event_type", "value"))
+
+
+@query(
+    """SELECT event_type AS stage, count(*) AS calls, round(sum(value), 6) AS wall, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95,
+    round(max(value), 6) AS longest, count(*) FILTER (WHERE value = 0) AS zero_yield FROM events GROUP BY event_type"""
+)
+def g22_stage_profile(spark, d):
+    return rounded(stats.stage_profile(view(spark, d, "events").select(F.col("event_type").alias("stage"), "value")))
+
+
+@query(
+    """WITH r AS (SELECT ln(l_extendedprice/(l_quantity*1000)) AS r FROM lineitem WHERE l_linenumber = 1), s AS (SELECT median(r) AS s, count(*) FILTER (WHERE r < 0) AS f, count(*) AS n FROM r),
+    m AS (SELECT median(abs(r.r-s.s))*1.4826e0 AS noise FROM r, s) SELECT round(s, 6) AS signal, f AS faster, n AS pairs, round(noise, 6) AS noise, (-s > noise AND f*6 >= n*5) AS passed FROM s, m"""
+)
+def g23_paired_gate(spark, d):
+    li = view(spark, d, "lineitem").filter("l_linenumber = 1").select((F.col("l_quantity") * 1000).alias("a"), F.col("l_extendedprice").alias("b"))
+    return rounded(stats.paired_gate(li))
+
+
+@query(
+    "SELECT CAST(floor(x) AS BIGINT) AS kx, CAST(floor(y) AS BIGINT) AS ky, CAST(floor(z) AS BIGINT) AS kz, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM points3d GROUP BY 1, 2, 3",
+    "points3d",
+)
+def g27_voxel(spark, d):
+    return rounded(stats.voxels(view(spark, d, "points3d"), 1.0))
+
+
+@query("SELECT CAST(round(x) AS BIGINT) AS kx, CAST(round(y) AS BIGINT) AS ky, CAST(round(z) AS BIGINT) AS kz, count(*) AS n FROM points3d GROUP BY 1, 2, 3", "points3d")
+def g28_submap(spark, d):
+    return stats.submap(view(spark, d, "points3d"))
+
+
+@query(
+    """WITH v AS (SELECT image_id1, image_id2, ln(1+n_rows)/max(ln(1+n_rows)) OVER () AS value FROM pairs)
+    SELECT image_id1 AS i, image_id2 AS j, round(value, 6) AS value FROM v UNION ALL SELECT image_id2, image_id1, round(value, 6) FROM v""",
+    "pairs",
+)
+def g31_match_matrix(spark, d):
+    return rounded(stats.match_matrix(view(spark, d, "pairs")))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT image_id, l, greatest(0, least((1<<l)-1, CAST(floor(u*(1<<l)/1000) AS BIGINT))) AS cx, greatest(0, least((1<<l)-1, CAST(floor(v*(1<<l)/800) AS BIGINT))) AS cy
+        FROM points2d, range(1, 7) AS r(l) WHERE u IS NOT NULL AND abs(u) < 1e6 AND abs(v) < 1e6)
+    SELECT image_id, CAST(sum(CAST(power(4, l) AS BIGINT)) AS BIGINT) AS score FROM c GROUP BY image_id""",
+    "points2d",
+)
+def g34_visibility_score(spark, d):
+    return stats.visibility_score(view(spark, d, "points2d").filter("u IS NOT NULL AND abs(u) < 1e6 AND abs(v) < 1e6"), 1000, 800).select("image_id", F.col("score").cast("long").alias("score"))
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-zà-ÿ]+')) AS word FROM documents)
+    SELECT word, count(*) AS df, round(ln((SELECT count(DISTINCT doc_id) FROM documents)/count(*)), 6) AS idf FROM w WHERE word <> '' GROUP BY word"""
+)
+def g24_text_idf(spark, d):
+    return rounded(stats.word_idf(view(spark, d, "documents")))
+
+
+# -- rankings -----------------------------------------------------------------
+
+
+@query("SELECT image_id, name, row_number() OVER (ORDER BY name) AS rank FROM images", "images")
+def w01_by_name(spark, d):
+    from pyspark.sql import Window
+
+    return view(spark, d, "images").select("image_id", "name", F.row_number().over(Window.orderBy("name")).alias("rank"))
+
+
+@query(
+    """WITH c AS (SELECT src AS image_id, count(*) AS n FROM edges GROUP BY src)
+    SELECT c.image_id, n, row_number() OVER (ORDER BY prior_focal DESC, n DESC, c.image_id) AS rank FROM c JOIN images AS i ON c.image_id = i.image_id JOIN cameras AS m ON i.camera_id = m.camera_id WHERE NOT registered""",
+    "edges images cameras",
+)
+def w02_first_image(spark, d):
+    corrs = view(spark, d, "edges").groupBy(F.col("src").alias("image_id")).agg(F.count("*").alias("n"))
+    return ranking.first_images(view(spark, d, "images"), view(spark, d, "cameras"), corrs)
+
+
+@query(
+    """WITH v AS (SELECT e.src AS image_id, count(DISTINCT e.src_idx) AS visible FROM edges AS e JOIN images AS o ON e.dst = o.image_id WHERE o.registered GROUP BY e.src)
+    SELECT i.image_id, visible, CAST(i.image_id % 2 AS INT) AS late, row_number() OVER (ORDER BY i.image_id % 2, visible DESC, i.image_id) AS rank FROM images AS i JOIN v ON i.image_id = v.image_id WHERE NOT registered""",
+    "edges images",
+)
+def w04_next_images(spark, d):
+    im = view(spark, d, "images")
+    seen = view(spark, d, "edges").join(im.filter("registered").select(F.col("image_id").alias("dst")), "dst", "left_semi")
+    visible = seen.groupBy(F.col("src").alias("image_id")).agg(F.count_distinct("src_idx").alias("visible"))
+    return ranking.next_images(im, visible, im.filter("image_id % 2 = 1"))
+
+
+@query(
+    ANGLE_SQL
+    + """, b AS (SELECT image_id1 AS image_id, image_id2 AS other_id, shared, angle FROM pa WHERE degrees(angle) >= 1 UNION ALL SELECT image_id2, image_id1, shared, angle FROM pa WHERE degrees(angle) >= 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY shared DESC, other_id) AS rank FROM b)
+    SELECT image_id, other_id, shared, round(angle, 6) AS angle, rank FROM r WHERE rank <= 5""",
+    "observed",
+)
+def w06_max_overlap(spark, d):
+    return rounded(ranking.max_overlap(view(spark, d, "observed"), 5, 1.0))
+
+
+@query("SELECT point3d_id, global_opt_num, round(greatest(0.2e0, 1.5e0-global_opt_num*0.1e0), 6) AS search_range FROM points3d", "points3d")
+def w18_search_range(spark, d):
+    return rounded(ranking.search_range(view(spark, d, "points3d").select("point3d_id", "global_opt_num"), 0.2, 1.5, 0.1))
+
+
+# -- graph and tracks ---------------------------------------------------------
+
+
+@query(
+    """WITH g AS (SELECT src, src_idx, count(*) AS n, min(dst) AS dst, min(dst_idx) AS dst_idx FROM edges GROUP BY src, src_idx)
+    SELECT a.src AS image_id, a.src_idx AS idx FROM g AS a JOIN g AS b ON a.dst = b.src AND a.dst_idx = b.src_idx WHERE a.n = 1 AND b.n = 1""",
+    "edges",
+)
+def u09_two_view_obs(spark, d):
+    return graph.two_view_observations(view(spark, d, "edges"))
+
+
+@query("SELECT dst AS image_id, dst_idx AS idx, 1 AS depth FROM edges WHERE src = 2 AND src_idx = 0", "edges")
+def u08_transitive(spark, d):
+    return graph.transitive_correspondences(view(spark, d, "edges"), 2, 0, 3)
+
+
+@query(
+    """WITH p AS (SELECT image_id, idx, CASE WHEN point3d_id % 3 = 0 THEN NULL ELSE point3d_id END AS pt FROM tracks),
+    s AS (SELECT src, dst, count(*) AS total_corrs, count(*) FILTER (WHERE a.pt = b.pt) AS tri_corrs FROM edges JOIN p AS a ON a.image_id = src AND a.idx = src_idx JOIN p AS b ON b.image_id = dst AND b.idx = dst_idx WHERE src < dst GROUP BY src, dst)
+    SELECT src AS image_id1, dst AS image_id2, total_corrs, tri_corrs FROM s JOIN images AS x ON x.image_id = src JOIN images AS y ON y.image_id = dst WHERE x.registered AND y.registered AND tri_corrs < 0.5e0*total_corrs""",
+    "edges images",
+)
+def u17_retriangulation(spark, d):
+    return graph.retriangulation_pairs(g14_pair_stats(spark, d), view(spark, d, "images"), 0.5).select("image_id1", "image_id2", "total_corrs", "tri_corrs")
+
+
+@query("SELECT src*2147483647+dst AS pair_id, src_idx AS idx1, dst_idx AS idx2 FROM edges WHERE src < dst AND point3d_id % 4 <> 0", "edges")
+def u02_outlier_matches(spark, d):
+    e = view(spark, d, "edges").filter("src < dst").select(geo.pair_id(*cols("src", "dst")).alias("pair_id"), F.col("src_idx").alias("idx1"), F.col("dst_idx").alias("idx2"), "point3d_id")
+    return graph.outlier_matches(e.drop("point3d_id"), e.filter("point3d_id % 4 = 0"))
+
+
+@query(
+    """SELECT u.idx, p.point3d_id FROM tracks AS u JOIN edges AS e ON e.src = u.image_id AND e.src_idx = u.idx JOIN images AS o ON o.image_id = e.dst JOIN tracks AS p ON p.image_id = e.dst AND p.idx = e.dst_idx
+    WHERE u.image_id = (SELECT min(image_id) FROM images WHERE NOT registered) AND o.registered GROUP BY u.idx, p.point3d_id""",
+    "edges images",
+)
+def j17_2d3d(spark, d):
+    im, t = view(spark, d, "images"), view(spark, d, "tracks")
+    new = im.filter("NOT registered").agg(F.min("image_id").alias("src"))
+    e = view(spark, d, "edges").join(F.broadcast(new), "src").join(im.filter("registered").select(F.col("image_id").alias("dst")), "dst", "left_semi")
+    points = t.select(F.col("image_id").alias("dst"), F.col("idx").alias("dst_idx"), F.col("point3d_id").alias("point"))
+    return e.select("src_idx", "dst", "dst_idx").join(points, ["dst", "dst_idx"]).select(F.col("src_idx").alias("idx"), F.col("point").alias("point3d_id")).distinct()
+
+
+# -- filters ------------------------------------------------------------------
+
+
+@query(
+    """WITH e AS (SELECT point3d_id, CASE WHEN depth < 2.220446049250313e-16 THEN 1.7976931348623157e308 ELSE power((7*point3d_id+13*image_id)%21-10, 2)+power((5*point3d_id+3*image_id)%21-10, 2) END AS e2 FROM observed),
+    s AS (SELECT point3d_id, count(*) AS len, count(*) FILTER (WHERE e2 > 64) AS bad, sum(CASE WHEN e2 <= 64 THEN sqrt(e2) END) AS err FROM e GROUP BY point3d_id)
+    SELECT point3d_id, CASE WHEN len < 2 OR bad >= len-1 THEN 0 ELSE len-bad END AS kept_len, CASE WHEN len < 2 OR bad >= len-1 THEN len ELSE bad END AS deleted, (len < 2 OR bad >= len-1) AS dropped,
+    CASE WHEN len < 2 OR bad >= len-1 THEN NULL ELSE round(err/(len-bad), 6) END AS error FROM s""",
+    "observed",
+)
+def p01_reproj_filter(spark, d):
+    o = view(spark, d, "observed")
+    noise = lambda a, b: ((F.col("point3d_id") * a + F.col("image_id") * b) % 21 - 10).cast("double")
+    rows = o.select("point3d_id", noise(7, 13).alias("u"), noise(5, 3).alias("v"), F.lit(0.0).alias("pu"), F.lit(0.0).alias("pv"), "depth")
+    return rounded(filters.reprojection_filter(rows, 8.0))
+
+
+@query(
+    ANGLE_SQL
+    + """, b AS (SELECT point3d_id, max(degrees(angle)) AS a FROM h GROUP BY point3d_id)
+    SELECT DISTINCT o.point3d_id, round(coalesce(a, 0), 6) AS max_angle, coalesce(a, -1) >= 10 AS keep FROM observed AS o LEFT JOIN b ON o.point3d_id = b.point3d_id""",
+    "observed",
+)
+def p02_angle_filter(spark, d):
+    return rounded(filters.angle_filter(view(spark, d, "observed"), 10.0))
+
+
+@query("SELECT image_id, idx FROM observed WHERE depth < 2.220446049250313e-16", "observed")
+def p03_negative_depth(spark, d):
+    return filters.behind_camera(view(spark, d, "observed"))
+
+
+@query(
+    """SELECT i.image_id, CASE WHEN i.image_id NOT IN (SELECT image_id FROM tracks) THEN 'no_points' ELSE 'bogus_camera' END AS reason FROM images AS i JOIN cameras AS c ON i.camera_id = c.camera_id
+    WHERE registered AND (i.image_id NOT IN (SELECT image_id FROM tracks) OR f/1000 < 0.6e0 OR f/1000 > 0.9e0)""",
+    "images cameras tracks",
+)
+def p06_filter_images(spark, d):
+    return filters.image_filter(view(spark, d, "images"), view(spark, d, "cameras"), view(spark, d, "tracks"), 0.6, 0.9)
+
+
+@query(
+    "SELECT p.point3d_id, count(t.image_id) AS images FROM points3d AS p LEFT JOIN tracks AS t ON p.point3d_id = t.point3d_id WHERE x BETWEEN -2 AND 2 AND y BETWEEN -2 AND 2 AND z BETWEEN 5 AND 40 GROUP BY p.point3d_id",
+    "points3d tracks",
+)
+def p10_crop(spark, d):
+    return filters.crop(view(spark, d, "points3d"), view(spark, d, "tracks"), (-2, -2, 5), (2, 2, 40))
+
+
+@query(
+    """WITH k AS (SELECT * FROM tracks WHERE image_id % 5 <> 0), t AS (SELECT DISTINCT point3d_id FROM tracks WHERE image_id % 5 = 0), n AS (SELECT point3d_id FROM k GROUP BY point3d_id HAVING count(*) >= 2)
+    SELECT point3d_id, image_id, idx FROM k WHERE point3d_id NOT IN (SELECT point3d_id FROM t) OR point3d_id IN (SELECT point3d_id FROM n)""",
+    "tracks",
+)
+def p12_deregister(spark, d):
+    return filters.deregister(view(spark, d, "tracks"), view(spark, d, "images").filter("image_id % 5 = 0")).select("point3d_id", "image_id", "idx")
+
+
+@query("SELECT point3d_id, count(*) AS track_length, CASE WHEN count(*) < 4 THEN 'PROJECTION' ELSE 'KDTREE' END AS route FROM tracks GROUP BY point3d_id", "tracks")
+def p19_lidar_route(spark, d):
+    lengths = view(spark, d, "tracks").groupBy("point3d_id").agg(F.count("*").alias("track_length"))
+    return filters.route_by_length(lengths, 1)
+
+
+# -- LiDAR --------------------------------------------------------------------
+
+NEAR_SQL = """WITH k AS (SELECT p.point3d_id, p.global_opt_num, l.lidar_id, l.nx, l.ny, l.nz, sqrt(power(p.x-l.x,2)+power(p.y-l.y,2)+power(p.z-l.z,2)) AS dist FROM points3d AS p JOIN lidar AS l
+        ON l.x BETWEEN p.x-1.5e0 AND p.x+1.5e0 AND l.y BETWEEN p.y-1.5e0 AND p.y+1.5e0 AND l.z BETWEEN p.z-1.5e0 AND p.z+1.5e0),
+    m AS (SELECT *, row_number() OVER (PARTITION BY point3d_id ORDER BY dist, lidar_id) AS rn FROM k WHERE dist <= 1.5e0)"""
+
+
+@query(NEAR_SQL + " SELECT point3d_id, lidar_id, round(dist, 6) AS dist FROM m WHERE rn = 1", "points3d lidar")
+def j19_lidar_nn(spark, d):
+    return rounded(lidar.nearest_within(view(spark, d, "points3d").select("point3d_id", "x", "y", "z"), view(spark, d, "lidar"), 1.5).select("point3d_id", "lidar_id", "dist"))
+
+
+@query(
+    NEAR_SQL
+    + """ SELECT point3d_id, lidar_id, CASE WHEN abs(ny) > 10*abs(nx) AND abs(ny) > 10*abs(nz) THEN 'IcpGround' ELSE 'Icp' END AS type, round(dist, 6) AS dist
+    FROM m WHERE rn = 1 AND dist <= greatest(0.2e0, 1.5e0-global_opt_num*0.1e0)""",
+    "points3d lidar",
+)
+def l08_closest_point(spark, d):
+    return rounded(lidar.closest_matches(view(spark, d, "points3d"), view(spark, d, "lidar"), 1.5, 0.2, 0.1))
+
+
+# -- journal and model comparison --------------------------------------------
+
+
+@query(
+    """WITH n AS (SELECT count(*) AS newest FROM events), c AS (SELECT unnest([0, 1, 100, 4500, 4999, 5000, 9000, 10000, 100000]) AS cursor)
+    SELECT CAST(cursor AS BIGINT) AS cursor, (cursor = 0 OR cursor > newest OR cursor+1 < greatest(1, newest-500+1)) AS gap,
+    CAST(CASE WHEN cursor = 0 OR cursor > newest OR cursor+1 < greatest(1, newest-500+1) THEN 0 ELSE newest-cursor END AS BIGINT) AS batches FROM n, c"""
+)
+def m21_journal_read(spark, d):
+    cursors = spark.createDataFrame([(c,) for c in (0, 1, 100, 4500, 4999, 5000, 9000, 10000, 100000)], "cursor long")
+    revisions = view(spark, d, "events").agg(F.count("*").alias("revision"))  # revisions are 1..n
+    return journal.read_since(revisions, cursors, 500)
+
+
+@query(
+    """WITH b AS (SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey % 3 < 2), n AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice*2 END AS value, TRUE AS t FROM orders WHERE o_orderkey % 3 > 0)
+    SELECT coalesce(b.key, n.key) AS key, round(coalesce(n.value, b.value), 6) AS value, CASE WHEN b.key IS NULL OR t IS NULL THEN 0 ELSE 1 END AS generation FROM b FULL JOIN n ON b.key = n.key WHERE NOT (t IS NOT NULL AND n.value IS NULL)"""
+)
+def m23_merge_delta(spark, d):
+    o = view(spark, d, "orders")
+    base = o.filter("o_orderkey % 3 < 2").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
+    delta = o.filter("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice") * 2).alias("value"))
+    return rounded(journal.merge_delta(base, delta, "key"))
+
+
+@query(
+    """SELECT point3d_id, CASE WHEN point3d_id % 10 = 0 THEN NULL ELSE round(sqrt(power(1e-1*(point3d_id%5), 2)*3), 6) END AS distance FROM points3d""", "points3d"
+)
+def m26_compare_models(spark, d):
+    p = view(spark, d, "points3d")
+    off = F.col("point3d_id") % 5 * 0.1
+    moved = p.filter("point3d_id % 10 <> 0").select("point3d_id", *((F.col(c) + off).alias(c) for c in "xyz"))
+    return rounded(journal.compare_points(p, moved))
+
+
+# -- scalar families ----------------------------------------------------------
+
+
+@query("SELECT image_id1, image_id2, image_id1*2147483647+image_id2 AS pair_id, CAST(floor((image_id1*2147483647+image_id2)/2147483647) AS BIGINT) AS first, (image_id1*2147483647+image_id2)%2147483647 AS second FROM pairs", "pairs")
+def f40_pair_ids(spark, d):
+    p = view(spark, d, "pairs")
+    a, b = geo.pair_images(F.col("pair_id"))
+    return p.select("image_id1", "image_id2", geo.pair_id(*cols("image_id2", "image_id1")).alias("pair_id"), a.alias("first"), b.alias("second"))
+
+
+@query("SELECT image_id, round(-((1-2*qz*qz)*tx+2*qw*qz*ty), 6)+0e0 AS ox, round(-(-2*qw*qz*tx+(1-2*qz*qz)*ty), 6)+0e0 AS oy, round(-tz, 6)+0e0 AS oz FROM images", "images")
+def f45_centers(spark, d):
+    c = geo.center(cols("qw", "qx", "qy", "qz"), cols("tx", "ty", "tz"))
+    return view(spark, d, "images").select("image_id", *((F.round(x, DIGITS) + 0.0).alias(n) for x, n in zip(c, ("ox", "oy", "oz"), strict=True)))
+
+
+@query("SELECT point3d_id, image_id, round(f*px/depth+cx, 6) AS u, round(f*py/depth+cy, 6) AS v FROM observed WHERE depth > 0", "observed")
+def f48_projection(spark, d):
+    o, im, p = view(spark, d, "observed").filter("depth > 0"), view(spark, d, "images"), view(spark, d, "points3d").select("point3d_id", *(F.col(c).alias(f"w{c}") for c in "xyz"))
+    rows = o.select("point3d_id", "image_id", "f", "cx", "cy").join(im.select("image_id", "qw", "qx", "qy", "qz", "tx", "ty", "tz"), "image_id").join(p, "point3d_id")
+    u, v = geo.project(geo.to_camera(cols("qw", "qx", "qy", "qz"), cols("tx", "ty", "tz"), cols("wx", "wy", "wz")), *cols("f", "cx", "cy"))
+    return rounded(rows.select("point3d_id", "image_id", u.alias("u"), v.alias("v")))
+
+
+@query(ECEF_SQL + " SELECT image_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM e", "images")
+def f58_ecef(spark, d):
+    return located(spark, d).select("image_id", *(F.round(c, 4).alias(c) for c in "xyz"))
+
+
+@query("SELECT image_id, round(lat, 6) AS lat, round(lon, 6) AS lon, round(alt, 3)+0e0 AS alt FROM images", "images")
+def f59_geodetic(spark, d):
+    la, lo, al = geo.geodetic(*cols("x", "y", "z"))
+    return located(spark, d).select("image_id", F.round(la, 6).alias("lat"), F.round(lo, 6).alias("lon"), (F.round(al, 3) + 0.0).alias("alt"))
+
+
+@query(
+    """SELECT event_id, CAST(sign(value-50) AS INT) AS s, round(greatest(10e0, least(value, 90e0)), 6) AS clipped, round(1/(1+exp(-(value-50))), 6) AS sig, round(radians(value), 6) AS rad,
+    round((2e0*value+3e0)*value-1e0, 6) AS poly FROM events"""
+)
+def f01_math(spark, d):
+    v = F.col("value")
+    return rounded(
+        view(spark, d, "events").select("event_id", sc.sign_of(v - 50).alias("s"), sc.clip(v, 10.0, 90.0).alias("clipped"), sc.sigmoid(v - 50).alias("sig"), F.radians(v).alias("rad"), sc.horner(v, [2.0, 3.0, -1.0]).alias("poly"))
+    )
+
+
+@query(
+    """SELECT p_partkey, replace(p_name, 'a', 'oo') AS replaced, CASE WHEN contains(p_name, ' ') THEN list_last(string_split(p_name, ' ')) ELSE '' END AS after, upper(p_name) AS up, trim(p_name) AS trimmed,
+    starts_with(p_type, 'S') AS is_s, p_brand || '/' || p_type AS joined FROM part"""
+)
+def f20_strings(spark, d):
+    n = F.col("p_name")
+    return view(spark, d, "part").select(
+        "p_partkey", F.replace(n, F.lit("a"), F.lit("oo")).alias("replaced"), sc.text_after(n, " ").alias("after"), F.upper(n).alias("up"), F.trim(n).alias("trimmed"),
+        F.startswith("p_type", F.lit("S")).alias("is_s"), F.concat_ws("/", "p_brand", "p_type").alias("joined"),
+    )
+
+
+@query("SELECT h, round(CASE WHEN h <= 24 THEN exp(-(h*h)/256e0) ELSE 0 END, 6) AS weight FROM range(65) AS r(h)")
+def f75_hamming(spark, d):
+    return rounded(spark.range(65).select(F.col("id").alias("h"), geo.hamming_weight(F.col("id").cast("double")).alias("weight")))
