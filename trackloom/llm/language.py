@@ -222,3 +222,19 @@ def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     """Learn from all rows out of the held-out fold, and judge every row."""
     known = text_rows(docs).filter((fold(id_col, parts) != held) & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     return predict(docs, train(spark, known), id_col, text_col, parts, held)
+
+
+def keep_known(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, held: int = 2) -> DataFrame:
+    """The rows, as they are, whose text has a language at all."""
+    known = text_rows(docs).filter((fold(id_col, parts) != held) & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    shared = spark.sparkContext.broadcast(train(spark, known))
+    at = docs.columns.index(text_col)
+
+    def kernel(batches):
+        for batch in text_slices(batches, at):
+            nothing = pa.nulls(batch.num_rows, pa.bool_())
+            asked = pa.RecordBatch.from_arrays([nothing, nothing, batch.column(at)], ["doc_id", "held_out", "text"])
+            judged = pa.Table.from_batches(list(_predict_batches(iter([asked]), shared.value)))
+            yield batch.filter(pc.not_equal(judged.column("lang_pred").combine_chunks(), UNKNOWN))
+
+    return docs.mapInArrow(kernel, docs.schema)

@@ -141,16 +141,21 @@ def masked(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, path: str | None = None, limit: float = MAX_CHARS_A_TOKEN, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """The same rows and columns, with the spans of each text masked."""
+def redact(docs: DataFrame, path: str | None = None, limit: float = MAX_CHARS_A_TOKEN, text_col: str = "text", count_col: str = "n_chars", mark: str = "[secret]") -> DataFrame:
+    """The same rows and columns, with the spans of each text masked, and the
+    code points of such a text counted anew where a column holds them."""
     path, at = path or default_path(), docs.columns.index(text_col)
+    count_at = docs.columns.index(count_col) if count_col in docs.columns else None
 
     def kernel(batches):
         for batch in text_slices(batches, at):
             texts = batch.column(at)
-            found = [masked(texts[i].as_py(), spans, mark) if spans else texts[i].as_py() for i, (_, spans) in enumerate(_scan(texts, path, limit))]
+            new = {i: masked(texts[i].as_py(), spans, mark) for i, (_, spans) in enumerate(_scan(texts, path, limit)) if spans}
             columns = list(batch.columns)
-            columns[at] = pa.array(found, texts.type)
+            if new:
+                columns[at] = pa.array([new.get(i, x) for i, x in enumerate(texts.to_pylist())], texts.type)
+                if count_at is not None:
+                    columns[count_at] = pa.array([len(new[i]) if i in new else n for i, n in enumerate(columns[count_at].to_pylist())], columns[count_at].type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return text_rows(docs).mapInArrow(kernel, docs.schema)
