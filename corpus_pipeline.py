@@ -1,29 +1,73 @@
-"""The corpus pipeline: language ID, exact dedup, near-dedup, secret scan, packing."""
+"""The corpus pipeline: language ID, exact dedup, near-dedup, secret scan, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; all but the last return the columns of documents. Only decisions are
+joined: the texts move in the two dedup stages, once each.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import exact_dedup, packing
+from trackloom.llm import exact_dedup, language, packing, secrets, simhash
 from trackloom.llm._common import stored
 
+KEY, ID = "_text_key", "_kept_id"
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter have no language, and go."""
+    return language.keep_known(spark, docs)
+
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    kept = exact_dedup.exact_dedup(spark, docs).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One document of each group of equal texts stays. Of rows that repeat both
+    doc_id and text, one stays."""
+    found = stored(spark, exact_dedup.exact_dedup(spark, docs), "decisions")
+    kept = found.filter("kept").select(F.col("doc_id").alias(ID), "text_sha256")
+    blanks = exact_dedup.BLANKS.decode()
+    keyed = docs.withColumn(KEY, F.sha2(F.translate(F.coalesce("text", F.lit("")), blanks, ""), 256))
+    staying = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(ID)) & (F.col(KEY) == F.col("text_sha256")), "left_semi")
+    return single(found.groupBy("doc_id", "text_sha256").count(), staying, {"doc_id": "doc_id", "text_sha256": KEY}).select(docs.columns)
+
+
+def single(counts: DataFrame, docs: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """docs with one row of each key that is counted more than once; other rows as they are."""
+    twice = counts.filter("count > 1").select(*(F.col(c).alias(f"_twice_{i}") for i, c in enumerate(keys)))
+    if twice.isEmpty():
+        return docs
+    same = [F.col(c).eqNullSafe(F.col(f"_twice_{i}")) for i, c in enumerate(keys.values())]
+    return docs.join(twice, same, "left_anti").unionByName(docs.join(twice, same, "left_semi").dropDuplicates(list(keys.values())))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each near-duplicate component stays."""
+    found = stored(spark, simhash.near_dedup(spark, docs), "decisions").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.select(F.col("doc_id").alias(ID)).distinct()
+    staying = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(ID)), "left_semi")
+    return single(found.groupBy("doc_id").count(), staying, {"doc_id": "doc_id"})
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, with its secrets masked."""
+    return secrets.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each document's pieces in the training sequences."""
     return packing.pack(spark, docs)
 
 
 STAGES = [
+    ("language_id", known_language),
     ("exact_dedup", drop_copies),
-    ("packing", pack_sequences),
+    ("simhash_near_dedup", drop_near_copies),
+    ("secret_scan", mask_secrets),
+    ("best_fit_packing", pack_sequences),
 ]
 
+#: Fingerprints and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
