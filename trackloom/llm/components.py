@@ -31,7 +31,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """node, root (the component's smallest node) of every node that has an edge."""
+    """node, root: the smallest node of its component, for every other node with an edge."""
     current = stored(spark, edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "edges")
     state = None
     for _ in range(MAX_ROUNDS):
