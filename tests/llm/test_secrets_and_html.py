@@ -1,0 +1,102 @@
+import hashlib
+import re
+
+import pytest
+from conftest import DATA
+
+from trackloom.llm import html_text, queries, secrets
+
+#: The base patterns as given, for brute force.
+GIVEN = {
+    "assign": (re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
+    "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
+    "hex": (re.compile(r"[0-9a-f]+"), 0, 16),
+}
+
+
+def brute(text):
+    found = [(m.start(), k, m.end()) for k, (p, g, least) in GIVEN.items() for m in p.finditer(text or "") if len(m[g]) >= least]
+    found.sort(key=lambda s: (s[0], list(GIVEN).index(s[1])))
+    return [f"{k}:{a}:{b}" for a, k, b in found]
+
+
+def check(found, texts):
+    for r in found:
+        base = brute(texts[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s.startswith(k) for s in base) for k in GIVEN]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s and not s.startswith("random")] == base
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_query(spark, sf):
+    d = f"{DATA}/{sf}"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    found = queries.op8_secrets(spark, d).collect()
+    assert len(found) == len(texts)
+    check(found, texts)
+
+
+RANDOM = "qX7vR2kLp9ZtB4mWc8Yd1NfGh3Js"
+
+
+def test_odd_rows(spark):
+    texts = dict(enumerate([
+        None, "", "token=short", "é TOKEN = \"abcdefghijkl\" x", "Api_Key:'0123456789abcdef0123'", "AKIAABCDEFGHIJKLMN AKIASHORT", "f" * 200_000,
+        f"see {RANDOM} there", f"password={RANDOM}", "d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "HTTPServerRequestHandlerFactory2", "secret = = x", "ſecret=abcdefghijklmn toKen=abcdefghijklmn",
+    ]))
+    docs = spark.createDataFrame([(i, t, "c") for i, t in texts.items()], "doc_id long, text string, spans string")
+    found = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    check(found.values(), texts)
+    assert "random:4:32" in found[7].spans and "random" not in "".join(found[i].spans for i in texts if i != 7)
+    assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_redaction_keeps_all_else(spark):
+    docs = spark.createDataFrame([(1, f"a token={RANDOM} b", 3), (2, "clean é", 7), (3, None, None)], "doc_id long, text string, n_chars long")
+    found = {r.doc_id: r for r in secrets.redact(docs).collect()}
+    assert found[1].text == "a [secret] b" and found[1].n_chars == 12 and found[2].text == "clean é" and found[2].n_chars == 7 and found[3].text is None
+
+
+def template(page):
+    """The article of this template's pages, by its own marks."""
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    import html
+
+    blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body))
+    return "\n".join(b for b in blocks if b)
+
+
+def test_pages(spark):
+    d = f"{DATA}/sf0.01"
+    pages = {r.page_id: r for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    found = queries.op4_html_text(spark, d).collect()
+    assert len(found) == len(pages)
+    for r in found:
+        assert r.text == template(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+LONG = "This is the main text of the page and it is long enough for the rules to see that it has stop words."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("", ""),
+        ("plain &amp; simple", "plain & simple"),
+        (f"<header>Site</header><div class='sidebar'>{LONG}</div><div id=content class='has-sidebar'><h2>Title</h2><p>{LONG}</p><p>Short.</p></div><p><a href=x>more of this</a></p>", f"Title\n{LONG}\nShort."),
+        (f"<article><header class='entry-header'><h1>T</h1></header><p>{LONG}<div class='ad-box'>Buy</div><form>Mail <input></form><p>End &lt;b&gt;</article><section id=comments><p>{LONG}</p></section>", f"T\n{LONG}\nEnd <b>"),
+        (f"<main><script>var a='<p>x</p>'</script><!-- <p>no</p> --><p>a  \n b<br>c</p><p style='display: none'>hid</p><p>{LONG}", f"a b c\n{LONG}"),
+        (f"<p title='a > b'>{LONG}</p><footer>(c)</footer></div></div>", LONG),
+        ("<article><p>Only this</article>", "Only this"),
+        (f"<nav><p>{LONG}</p></nav>", ""),
+    ],
+)
+def test_rules(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_odd_pages(spark):
+    pages = spark.createDataFrame([(1, "u", None, "x"), (1, None, "<p>" * 50_000, "x"), (2, "u", "<p>a</p>" * 20_000, "x")], "page_id long, url string, html string, text string")
+    found = html_text.extract(pages).collect()
+    assert sorted(r.n_chars for r in found) == [0, 0, 39_999] and html_text.extract(pages.limit(0)).count() == 0

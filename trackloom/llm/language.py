@@ -124,7 +124,7 @@ class Model:
                 counts[names[w], at[lang]] = n
             # By shares in each language; how far each is above their mean counts.
             share = np.log((counts + SMOOTH) / (counts.sum(0) + SMOOTH * max(1, len(names))))
-            share -= share.mean(1, keepdims=True)
+            share -= share.sum(1, keepdims=True) / max(1, len(langs))
             return dict(zip(names, share.astype(np.float32), strict=True))
 
         by_size = []
