@@ -73,7 +73,7 @@ def split_any(text: Column, delimiters: str) -> Column:
 
 def csv_to_doubles(text: Column) -> Column:
     """Numbers of a list split at , or ;. Empty items are dropped; one bad item empties the list."""
-    items = F.filter(F.transform(F.split(text, "[,;]"), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(text, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
     numbers = F.transform(items, lambda x: x.try_cast("double"))
     return F.when(F.exists(numbers, lambda x: x.isNull()), F.array().cast("array<double>")).otherwise(numbers)
 

@@ -2,40 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as geo
 from trackloom.functions import scalars as sc
 from trackloom.operators import filters, graph, journal, lidar, matching, pairs, ranking, stats, tables
-from trackloom.plans.adapters import oracle, view
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-DIGITS = 6
-
-
-def query(sql: str | None = None, views: str = ""):
-    """Register a query under its function's name, with its oracle over views."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = oracle(sql, *views.split())
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, DIGITS).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
-
-
-def cols(*names: str) -> tuple[Column, ...]:
-    return tuple(F.col(n) for n in names)
-
+from trackloom.plans.adapters import view
+from trackloom.plans.base import DIGITS, ORACLES, QUERIES, cols, query, rounded
 
 # -- scans and lookups --------------------------------------------------------
 
@@ -700,3 +674,8 @@ def f20_strings(spark, d):
 @query("SELECT h, round(CASE WHEN h <= 24 THEN exp(-(h*h)/256e0) ELSE 0 END, 6) AS weight FROM range(65) AS r(h)")
 def f75_hamming(spark, d):
     return rounded(spark.range(65).select(F.col("id").alias("h"), geo.hamming_weight(F.col("id").cast("double")).alias("weight")))
+
+
+from trackloom.plans import estimation, mapping, records, scalars  # noqa: E402, F401  they register their queries
+
+__all__ = ["ORACLES", "QUERIES"]
