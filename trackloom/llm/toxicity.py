@@ -61,11 +61,15 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["key", "codes"])
 
 
-def _sampled(rows: DataFrame, limit: int) -> list[np.ndarray]:
-    """Word sets of at most ``limit`` rows in hash order."""
-    keys = rows.select(F.xxhash64("doc_id").alias("key"), "text")
-    chosen = keys.orderBy("key").limit(limit)
-    return [np.asarray(r.codes, np.int64) for r in chosen.mapInArrow(_word_sets, "key long, codes array<int>").collect()]
+def _sampled(docs: DataFrame, ids: DataFrame, limit: int) -> list[np.ndarray]:
+    """Word sets of the texts of at most ``limit`` ids in hash order.
+
+    Ids are chosen first, so the texts of the chosen alone are looked at and none
+    is shuffled; the chosen ids are broadcast, ``limit`` longs at most."""
+    key = F.xxhash64("doc_id")
+    chosen = ids.select("doc_id").distinct().orderBy(key, "doc_id").limit(limit)
+    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(key.alias("key"), "text")
+    return [np.asarray(r.codes, np.int64) for r in rows.mapInArrow(_word_sets, "key long, codes array<int>").limit(limit).collect()]
 
 
 class Classifier:
@@ -197,8 +201,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, positives: in
     prior = marked.agg(F.avg("toxic")).first()[0]
     if not prior:
         return None
-    toxic = open_docs.join(marked.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    return fit(_sampled(toxic, positives), _sampled(open_docs, unlabelled), min(prior, 0.95))
+    toxic = open_docs.select("doc_id").join(marked.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    return fit(_sampled(open_docs, toxic, positives), _sampled(open_docs, open_docs, unlabelled), min(prior, 0.95))
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model: Classifier | None) -> Iterator[pa.RecordBatch]:
