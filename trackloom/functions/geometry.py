@@ -16,7 +16,7 @@ Vector = tuple[Column, ...]
 
 
 def pair_id(a: Column, b: Column) -> Column:
-    return F.least(a, b) * MAX_IMAGES + F.greatest(a, b)
+    return F.least(a, b).cast("long") * MAX_IMAGES + F.greatest(a, b)
 
 
 def pair_images(pair: Column) -> tuple[Column, Column]:

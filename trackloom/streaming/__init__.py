@@ -1 +1 @@
-
+"""Structured Streaming over journals and events."""
