@@ -19,6 +19,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 
 from ._common import text_rows, text_slices
 
-#: Words in a generation of a Python worker's cache.
+#: Words in a generation of an encoder's cache (about 200 bytes each), and of other caches.
+ENCODED_WORDS = 600_000
 CACHE_WORDS = 250_000
 NO_RANK = 1 << 40
 
@@ -67,6 +69,13 @@ def newer_words(text: str) -> list[str]:
     return [w for w, _ in split.pre_tokenize_str(rules.normalize_str(text))]
 
 
+def distinct_pieces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The pieces between blanks of all texts end to end, dictionary-encoded, and where each text ends."""
+    lists = pc.ascii_split_whitespace(texts)
+    bounds = lists.offsets.to_numpy()
+    return lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode(), bounds[1:] - bounds[0]
+
+
 class Words(dict):
     """A cache that computes what it lacks. A full cache becomes the old
     generation, from which words in use are taken over; so memory is bounded
@@ -86,11 +95,23 @@ class Words(dict):
         self[key] = value
         return value
 
+    def many(self, keys: list, compute_all) -> list:
+        """The values of many keys; those that are lacking are computed together."""
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        lacking = [k for k in keys if k not in self]
+        old = self.old
+        self.update((k, old[k]) for k in lacking if k in old)
+        lacking = list(dict.fromkeys(k for k in lacking if k not in old))
+        self.update(zip(lacking, compute_all(lacking), strict=True))
+        return list(map(self.__getitem__, keys))
+
 
 class WordBpe:
     """Encoder and decoder for one tokenizer file."""
 
-    def __init__(self, path: str, cache: int = CACHE_WORDS):
+    def __init__(self, path: str, cache: int = ENCODED_WORDS):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         model = data["model"]
@@ -116,115 +137,132 @@ class WordBpe:
             made = vocab[name]
             symbols[made] = symbols[a] + symbols[b]
             self.parts[made], self.rank[made], self.pairs[a, b] = (a, b), rank, rank
+        self.ends = Words(self._spines, 1 << 17)
         self.width = [0] * size
         self.automaton = ahocorasick.Automaton()
+        whole = set()  # tokens whose own text merges to them; others never come up
         for i, s in symbols.items():
             self.width[i] = len(s)
-            self.automaton.add_word(s, i)
+            if i not in self.parts or (self.parts[i][0] in whole and self.parts[i][1] in whole and self._border_lasts(*self.parts[i], full=False)):
+                whole.add(i)
+                self.automaton.add_word(s, i)
         self.automaton.make_automaton()
+        by_text = {symbols[i]: i for i in whole}
+        self.widths = np.array(self.width, np.int64)
+        #: The longest token that is a proper prefix of each token; -1 if there is none.
+        self.shorter = [-1] * size
+        for s, i in by_text.items():
+            self.shorter[i] = next((by_text[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in by_text), -1)
 
         # Decoding: each token and the blank after it lie in one block, at known offsets.
         self.token_block = OffsetTable([(self.names.get(i, "") + " ").encode() for i in range(size)])
         self.number_block = OffsetTable([f"{i} ".encode() for i in range(size)])
 
-        self.ends = Words(self._spines, 1 << 17)
         self.fits = Words(self._compatible, 1 << 20)
-        self.words = Words(self._encode_word, cache)
-        self.chunks = Words(self._encode_chunk, cache)
-        self.plain = Words(self._encode_lowered, cache)
+        self.words = Words(self._encode_word, min(cache, CACHE_WORDS))
+        self.chunks = Words(self._encode_chunk, min(cache, CACHE_WORDS))
+        self.plain = Words(None, cache)
 
     # -- pair compatibility -------------------------------------------------
 
-    def _spines(self, token: int) -> tuple[list[int], list[int]]:
-        """The tokens at a token's right and left edge, smallest first."""
-        right, left = [token], [token]
-        while right[-1] in self.parts:
-            right.append(self.parts[right[-1]][1])
-        while left[-1] in self.parts:
-            left.append(self.parts[left[-1]][0])
-        return right[::-1], left[::-1]
+    def _spines(self, token: int) -> tuple[tuple[list[int], list[int]], tuple[list[int], list[int]]]:
+        """The tokens at a token's right and left edge, smallest first, and the
+        rank at which each grows into the next."""
+        out = []
+        for side in (1, 0):
+            edge = [token]
+            while edge[-1] in self.parts:
+                edge.append(self.parts[edge[-1]][side])
+            out.append((edge[::-1], [*(self.rank[t] for t in edge[-2::-1]), NO_RANK]))
+        return out[0], out[1]
+
+    def _compatible(self, pair: int) -> bool:
+        """Whether merging leaves the border between two tokens alone. pair: left << 16 | right."""
+        return self._border_lasts(pair >> 16, pair & 0xFFFF, full=True)
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
-        """Whether merging leaves the border between two tokens alone.
+    def _border_lasts(self, left: int, right: int, full: bool) -> bool:
+        """Whether the border lasts until both tokens are whole, and (``full``) beyond.
 
         Both edges grow in order of rank; the border would vanish if at some
         time the two edge tokens form a merge of a lower rank than the next
         growth on either side (of equal ranks the leftmost merge comes first).
         """
-        a, b = self.ends[pair[0]][0], self.ends[pair[1]][1]
+        a, grow_a = self.ends[left][0]
+        b, grow_b = self.ends[right][1]
         i = j = 0
+        find = self.pairs.get
         while True:
-            grow_a = self.rank[a[i + 1]] if i + 1 < len(a) else NO_RANK
-            grow_b = self.rank[b[j + 1]] if j + 1 < len(b) else NO_RANK
-            border = self.pairs.get((a[i], b[j]), NO_RANK)
-            if border < grow_a and border <= grow_b:
-                return False
-            if grow_a == grow_b == NO_RANK:
-                return True
-            if grow_a <= grow_b:
+            x, y = grow_a[i], grow_b[j]
+            border = find((a[i], b[j]))
+            if x <= y:
+                if x == NO_RANK:
+                    return not full or border is None
+                if border is not None and border < x:
+                    return False
                 i += 1
             else:
+                if border is not None and border <= y:
+                    return False
                 j += 1
 
     # -- encoding -----------------------------------------------------------
 
     def _encode_word(self, word: str) -> bytes:
-        raw = word.encode()
-        text = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
-        n = len(text)
-        width, fits = self.width, self.fits
-        at: list[list[int]] = [[] for _ in range(n)]
-        for end, token in self.automaton.iter(text):
-            at[end - width[token] + 1].append(token)
-        if at[0] and width[at[0][-1]] == n:  # the word is one token; that token is its merge
-            if self._whole(at[0][-1]):
-                return np.array([at[0][-1]], np.int32).tobytes()
-        tokens: list[int] = []
-        tried: list[int] = []
-        closed = bytearray(n + 1)
-        pos, k = 0, len(at[0]) - 1
+        return self._encode_words([word])[0]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of many words, each as bytes of int32.
+
+        The automaton runs once over all words end to end: no token reaches over
+        a word's last symbol. Words whose longest tokens all fit their neighbours
+        are done; the others go on one by one.
+        """
+        if not words:
+            return []
+        raw = [w.encode() for w in words]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        symbols = np.frombuffer(b"".join(raw), np.uint8).astype("<u4")
+        symbols[ends - 1] += 256
+        text = symbols.tobytes().decode("utf-32-le")
+        tokens = np.array([t for _, t in self.automaton.iter_long(text)], np.int64)
+        owner = np.searchsorted(ends, np.cumsum(self.widths[tokens]))
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        pairs, which = np.unique(tokens[inner] << 16 | tokens[inner + 1], return_inverse=True)
+        fit = np.fromiter(map(self.fits.__getitem__, pairs.tolist()), bool, len(pairs))
+        last = np.cumsum(np.bincount(owner, minlength=len(words)))
+        bounds, data = [0, *(last * 4).tolist()], tokens.astype("<i4").tobytes()
+        out = [data[a:b] for a, b in zip(bounds, bounds[1:])]  # noqa: B905, RUF007
+        for i in np.unique(owner[inner[~fit[which]]]).tolist():
+            out[i] = self._shorten(text[ends[i] - len(raw[i]) : ends[i]], tokens[bounds[i] // 4 : bounds[i + 1] // 4].tolist())
+        return out
+
+    def _shorten(self, text: str, greedy: list[int]) -> bytes:
+        """One word from its longest tokens: where one does not fit the token before,
+        the next shorter one is tried; where none does, the token before is shortened."""
+        width, fits, shorter, find = self.width, self.fits, self.shorter, self.automaton.iter_long
+        longest, n = {}, 0
+        for token in greedy:
+            longest[n] = token
+            n += width[token]
+        tokens, closed, pos, last = [], set(), 0, -1
         while pos < n:
-            here = at[pos]
-            while k >= 0:
-                token = here[k]
-                if not closed[pos + width[token]] and (not tokens or fits[tokens[-1], token]):
-                    break
-                k -= 1
-            if k >= 0:
-                tokens.append(token)
-                tried.append(k)
-                pos += width[token]
-                k = len(at[pos]) - 1 if pos < n else 0
-            else:
-                closed[pos] = 1
-                pos -= width[tokens.pop()]
-                k = tried.pop() - 1
-        return np.array(tokens, np.int32).tobytes()
-
-    def _whole(self, token: int) -> bool:
-        """Whether a token's own text merges back to it: its two parts fit
-        nowhere but in their merge, so its parts' parts must be whole too."""
-        if token not in self.parts:
-            return True
-        a, b = self.parts[token]
-        return self._whole(a) and self._whole(b) and self._first_border(a, b)
-
-    def _first_border(self, a: int, b: int) -> bool:
-        """Whether both parts are complete before their border merges."""
-        left, right = self.ends[a][0], self.ends[b][1]
-        i = j = 0
-        while True:
-            grow_a = self.rank[left[i + 1]] if i + 1 < len(left) else NO_RANK
-            grow_b = self.rank[right[j + 1]] if j + 1 < len(right) else NO_RANK
-            if grow_a == grow_b == NO_RANK:
-                return True
-            border = self.pairs.get((left[i], right[j]), NO_RANK)
-            if border < grow_a and border <= grow_b:
-                return False
-            if grow_a <= grow_b:
-                i += 1
-            else:
-                j += 1
+            token = longest.get(pos)
+            if token is None:
+                token = longest[pos] = next(find(text, pos))[1]
+            while True:
+                if token >= 0:
+                    if pos + width[token] not in closed and (last < 0 or fits[last << 16 | token]):
+                        break
+                    token = shorter[token]
+                else:
+                    closed.add(pos)
+                    token = tokens.pop()
+                    pos -= width[token]
+                    token, last = shorter[token], tokens[-1] if tokens else -1
+            tokens.append(token)
+            pos += width[token]
+            last = token
+        return array("i", tokens).tobytes()
 
     def _encode_plain(self, text: str) -> bytes:
         """Normalise, split and encode a text without special tokens or blanks."""
@@ -237,11 +275,18 @@ class WordBpe:
             return self.words[text]
         return b"".join([self.words[w] for w in SPLIT.findall(text)])
 
-    def _encode_lowered(self, text: str) -> bytes:
-        """The same for a lowered Latin-1 text."""
-        if PLAIN_WORD.match(text):
-            return self._encode_word(text)
-        return b"".join([self._encode_word(w) for w in SPLIT.findall(text)])
+    def _encode_lowered(self, pieces: list[str]) -> list[bytes]:
+        """The same for many pieces of lowered Latin-1 text."""
+        words, counts = [], []
+        for piece in pieces:
+            own = [piece] if PLAIN_WORD.match(piece) else SPLIT.findall(piece)
+            words += own
+            counts.append(len(own))
+        done, at, out = self._encode_words(words), 0, []
+        for n in counts:
+            out.append(done[at] if n == 1 else b"".join(done[at : at + n]))
+            at += n
+        return out
 
     def _encode_chunk(self, chunk: str) -> bytes:
         if self.special_split is not None and "<|" in chunk:
@@ -264,24 +309,29 @@ class WordBpe:
         texts = texts.fill_null("")
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
         if not odd.any():
-            return self._encode_pieces(pc.replace_substring_regex(pc.utf8_lower(texts), CUT, r" \1 "), self.plain)
+            return self._encode_pieces(texts, self._tables_of_latin)
         mask = pa.array(odd)
         simple = self.encode_column(texts.filter(pc.invert(mask)))
-        other = self._encode_pieces(texts.filter(mask), self.chunks)
+        other = self._encode_pieces(texts.filter(mask), lambda d: OffsetTable(list(map(self.chunks.__getitem__, d.to_pylist())), np.int32))
         sizes, starts = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for own, (ids, ends), base in ((~odd, simple, 0), (odd, other, len(simple[0]))):
             sizes[own] = np.diff(ends, prepend=0)
             starts[own] = ends - sizes[own] + base
-        both, ends = np.concatenate([simple[0], other[0]]), np.cumsum(sizes)
-        return both[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)], ends
-
-    def _encode_pieces(self, texts: pa.Array, cache: Words) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.ascii_split_whitespace(texts)
-        bounds = lists.offsets.to_numpy()
-        pieces = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        table = OffsetTable(list(map(cache.__getitem__, pieces.dictionary.to_pylist())), np.int32)
-        ids, ends = table.join(pieces.indices.to_numpy())
-        return ids, np.concatenate([[0], ends])[bounds[1:] - bounds[0]]
+        return OffsetTable.over(np.concatenate([simple[0], other[0]]), starts, sizes).join(np.arange(len(texts)))
+
+    def _encode_pieces(self, texts: pa.Array, table_of) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by the distinct pieces between blanks; ``table_of`` gives theirs."""
+        pieces, ends = distinct_pieces(texts)
+        ids, upto = table_of(pieces.dictionary).join(pieces.indices.to_numpy())
+        return ids, np.concatenate([[0], upto])[ends]
+
+    def _tables_of_latin(self, pieces: pa.Array) -> OffsetTable:
+        """Distinct pieces are lowered and cut into words, and distinct words encoded."""
+        words, ends = distinct_pieces(pc.replace_substring_regex(pc.utf8_lower(pieces), CUT, r" \1 "))
+        table = OffsetTable(self.plain.many(words.dictionary.to_pylist(), self._encode_lowered), np.int32)
+        ids, upto = table.join(words.indices.to_numpy())
+        bounds = np.concatenate([[0], upto])[np.concatenate([[0], ends])]
+        return OffsetTable.over(ids, bounds[:-1], np.diff(bounds))
 
     # -- decoding -----------------------------------------------------------
 
@@ -298,6 +348,12 @@ class OffsetTable:
         self.sizes = np.fromiter(map(len, items), np.int64, len(items)) // np.dtype(kind).itemsize
         self.starts = np.cumsum(self.sizes) - self.sizes
 
+    @classmethod
+    def over(cls, block: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> OffsetTable:
+        own = cls.__new__(cls)
+        own.block, own.starts, own.sizes = block, starts, sizes
+        return own
+
     def join(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The joined items, and where each ends in them."""
         sizes = self.sizes[ids]
