@@ -6,8 +6,8 @@ words. A word that the model lacks is scored by the longest character n-grams
 of it (with word borders) that the model knows: four letters, then three, two,
 one. N-gram counts come from the word counts, weighted by them.
 
-The model is bounded: the ``words`` most frequent words of each language and the
-``grams`` most frequent n-grams of each language and length. Counting itself
+The model is bounded: ``words`` words of each language and ``grams`` n-grams of each
+language and length, by frequency down to a count at which all still fit. Counting itself
 covers every training row.
 
 Results for odd rows: a null text, and one without a letter, is ``und`` with
@@ -101,9 +101,17 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _counted(counts)
 
 
-def _most(counts: DataFrame, by: list, limit: int) -> DataFrame:
-    order = Window.partitionBy("lang", *by).orderBy(F.desc("n"), "word")
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("lang", "word", "n")
+def _most(counts: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """The most frequent words of each language, ``limit`` at most.
+
+    How many words have each count is a small table; the count from which all
+    words still fit is found there, so no language's words meet in one task.
+    """
+    keys = ["lang", *by]
+    falling = Window.partitionBy(*keys).orderBy(F.desc("n"))
+    sizes = counts.groupBy(*keys, "n").agg(F.count("*").alias("words")).withColumn("upto", F.sum("words").over(falling))
+    cuts = sizes.filter(F.col("upto") <= limit).groupBy(*keys).agg(F.min("n").alias("cut"))
+    return counts.join(cuts, keys).filter("n >= cut").select("lang", "word", "n")
 
 
 class Model:
@@ -208,7 +216,8 @@ def train(spark: SparkSession, rows: DataFrame, words: int = WORDS, grams: int =
     counts = stored(spark, partial.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     letters = counts.mapInArrow(_count_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     pairs = lambda df: [tuple(r) for r in df.collect()]  # noqa: E731  bounded by the model's size
-    return Model.fit(pairs(_most(counts, [], words)), pairs(_most(letters, [F.length("word")], grams)))
+    sized = letters.withColumn("size", F.length("word"))
+    return Model.fit(pairs(_most(counts, [], words)), pairs(_most(sized, ["size"], grams)))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", parts: int = 4, held: int = 2) -> DataFrame:
