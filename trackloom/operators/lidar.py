@@ -6,11 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import is_ground
+from trackloom.operators.rounds import cut
 
 
-def nearest_within(points: DataFrame, lidar: DataFrame, radius: float) -> DataFrame:
+def nearest_within(points: DataFrame, lidar: DataFrame, radius: float, steps: int = 3) -> DataFrame:
     """The nearest LiDAR point of each point within a radius.
 
+    Small radii go first: what is found within one is the nearest, so only points
+    without a match go on to the next, and dense clouds cost few comparisons.
+    """
+    rest, found = points.select("point3d_id", "x", "y", "z"), None
+    for step in reversed(range(steps)):
+        near = cut(_nearest(rest, lidar, radius / 2**step)) if step else _nearest(rest, lidar, radius)
+        found = near if found is None else found.unionByName(near)
+        rest = rest.join(near.select("point3d_id"), "point3d_id", "left_anti") if step else rest
+    return found
+
+
+def _nearest(points: DataFrame, lidar: DataFrame, radius: float) -> DataFrame:
+    """One pass of a fixed radius.
+
     LiDAR points are dealt to grid cells of the radius's size; each point asks its
     27 cells, so neither side is broadcast and a cell is a splittable join key.
     Points without a normal, or with a NaN, are no candidates.
