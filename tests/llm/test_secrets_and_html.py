@@ -100,3 +100,20 @@ def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, None, "<p>" * 50_000, "x"), (2, "u", "<p>a</p>" * 20_000, "x")], "page_id long, url string, html string, text string")
     found = html_text.extract(pages).collect()
     assert sorted(r.n_chars for r in found) == [0, 0, 39_999] and html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_random_strings_without_both_cases_or_digits():
+    rnd = __import__("random").Random(3)
+    encoding = secrets.vocabulary(secrets.default_path())
+    made = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for letters in (low + "0123456789", up + "234567", low + up + "0123456789"):
+        keys = [made(letters, rnd.randint(20, 40)) for _ in range(300)]
+        assert sum(secrets.random_spans(f"x {k} y", [], encoding) == [(2, 2 + len(k), "random")] for k in keys) >= 297
+        caught = 0
+        for k in keys:
+            text = f"/downloads/production/settings/{k[:20]}"
+            caught += any(a <= 31 and b == len(text) for a, b, _ in secrets.random_spans(text, [], encoding))
+        assert caught >= 295
+    for name in ("internationalization_of_applications", "src/main/java/org/apache/spark/sql", "MAXIMUM_CONNECTION_TIMEOUT_SECONDS", "2024-01-15T10-30-00-000", "a/b/c/d/e/f/g/h/i/j/k/l", "-" * 40, "acgtacgtacgtttgacatgcatgca", "Rechtsschutzversicherungsgesellschaften"):
+        assert not secrets.random_spans(name, [], encoding), name

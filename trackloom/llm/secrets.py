@@ -3,9 +3,9 @@
 Fixed patterns find assignments, access keys and hex runs. Beyond them, runs of
 key-like characters that a byte-level vocabulary encodes with few characters a
 token are random strings: prose and names cost about four characters a token
-there, random keys about two. Known digests (hex of a digest's length),
-UUIDs, numbers and names without digits or without both letter cases are left
-out.
+there, random keys about two. Each part between / = - _ is measured, and the run
+as a whole. Known digests (hex of a digest's length), UUIDs, numbers, runs of a
+few characters and identifiers (mostly dictionary-like parts) are left out.
 
 A linear-time pattern first tells which texts can hold a kind at all; only
 those are searched for places. Places count code points.
@@ -49,8 +49,15 @@ HEX = re.compile(r"[0-9a-fA-F]+\Z")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 #: Lengths of hex digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGESTS = {32, 40, 56, 64, 96, 128}
+PART = re.compile(r"[^/=_-]+")
+NAME = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
+LEAST_PART = 20
 #: Fewer characters a token than this: random.
 MAX_CHARS_A_TOKEN = 2.2
+#: Fewer different characters than this: a repetition or a small alphabet. Share of letters in words that are one token: an identifier.
+LEAST_DISTINCT, NAME_SHARE = 8, 0.5
+#: Share of a run that lies in key-like parts (digits among letters) from which it is a key in groups.
+GROUP_SHARE = 0.8
 
 
 @lru_cache(maxsize=2)
@@ -69,13 +76,28 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def _kinds(run: str) -> tuple[bool, bool, bool]:
+    return any("0" <= c <= "9" for c in run), any("a" <= c <= "z" for c in run), any("A" <= c <= "Z" for c in run)
+
+
+def is_name(run: str, encoding) -> bool:
+    """Whether dictionary-like words hold most of a run's characters."""
+    return sum(len(w) for w in NAME.findall(run) if len(encoding.encode_ordinary(w)) == 1 or len(encoding.encode_ordinary(f" {w.lower()}")) == 1) >= NAME_SHARE * len(run)
+
+
 def is_random(run: str, encoding, limit: float = MAX_CHARS_A_TOKEN) -> bool:
     """Whether a run of key-like characters is random by its token efficiency."""
     if UUID.match(run) or (HEX.match(run) and len(run) in DIGESTS):
         return False
-    if not (any("0" <= c <= "9" for c in run) and any("a" <= c <= "z" for c in run) and any("A" <= c <= "Z" for c in run)):
+    digit, lower, upper = _kinds(run)
+    if not (lower or upper) or len(run) >= limit * len(encoding.encode_ordinary(run)):
         return False
-    return len(run) / len(encoding.encode_ordinary(run)) < limit
+    if digit and lower and upper:
+        return True
+    parts = PART.findall(run)
+    if len(parts) > 1 and sum(len(x) for x in parts if len(x) >= 4 and sum(_kinds(x)) > 1 and _kinds(x)[0]) < GROUP_SHARE * sum(map(len, parts)):
+        return False
+    return len(set(run)) >= LEAST_DISTINCT and not is_name(run, encoding)
 
 
 def base_spans(text: str, kinds=tuple(BASE)) -> list[tuple[int, int, str]]:
@@ -87,12 +109,20 @@ def base_spans(text: str, kinds=tuple(BASE)) -> list[tuple[int, int, str]]:
 
 
 def random_spans(text: str, base: list[tuple[int, int, str]], encoding, limit: float = MAX_CHARS_A_TOKEN) -> list[tuple[int, int, str]]:
-    """Random runs that no base span touches."""
-    return [
-        (m.start(), m.end(), "random")
-        for m in RUN.finditer(text)
-        if not any(a < m.end() and m.start() < b for a, b, _ in base) and is_random(m[0], encoding, limit)
-    ]
+    """Random runs, or else random parts of them, that no base span touches."""
+    found = []
+    for m in RUN.finditer(text):
+        near = [(a, b) for a, b, _ in base if a < m.end() and m.start() < b]
+        if not near and is_random(m[0], encoding, limit):
+            found.append((m.start(), m.end(), "random"))
+            continue
+        if UUID.match(m[0]):
+            continue
+        for part in PART.finditer(text, m.start(), m.end()):
+            a, b = part.span()
+            if b - a >= LEAST_PART and b - a < m.end() - m.start() and not any(x < b and a < y for x, y in near) and is_random(part[0], encoding, limit):
+                found.append((a, b, "random"))
+    return found
 
 
 def _scan(texts: pa.Array, path: str, limit: float) -> Iterator[tuple[list, list]]:
