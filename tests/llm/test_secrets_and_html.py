@@ -117,3 +117,21 @@ def test_random_strings_without_both_cases_or_digits():
         assert caught >= 295
     for name in ("internationalization_of_applications", "src/main/java/org/apache/spark/sql", "MAXIMUM_CONNECTION_TIMEOUT_SECONDS", "2024-01-15T10-30-00-000", "a/b/c/d/e/f/g/h/i/j/k/l", "-" * 40, "acgtacgtacgtttgacatgcatgca", "Rechtsschutzversicherungsgesellschaften"):
         assert not secrets.random_spans(name, [], encoding), name
+
+
+RUSSIAN = "Это основной текст страницы, и он достаточно длинный, чтобы правила его увидели и оставили."
+POLISH = "Wczoraj wieczorem nad miastem przeszła gwałtowna burza, która zerwała dachy kilkunastu domów."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='content'><p>{LONG}</p><p>{LONG}</p></div><aside><article><p>Teaser</p></article></aside>", f"{LONG}\n{LONG}"),
+        (f"<div class='content'><p>{LONG}</p></div><div class='comments'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<div class='content'><p>{LONG}</p><p>{LONG}</p></div><article><h3>Card</h3><a href=x>Read this card</a></article>", f"{LONG}\n{LONG}\nCard"),
+        (f"<nav>Menu</nav><div><p>{RUSSIAN}</p><p>{RUSSIAN}</p></div><footer>(c)</footer>", f"{RUSSIAN}\n{RUSSIAN}"),
+        (f"<nav>Menu</nav><div><p>{POLISH}</p></div><footer>(c)</footer>", POLISH),
+    ],
+)
+def test_pages_without_an_article_of_their_own(page, want):
+    assert html_text.main_text(page) == want

@@ -3,11 +3,14 @@
 A page is cut into blocks at block-level tags; what scripts, styles and comments
 hold is no text. Pass one decides what it can: blocks in boilerplate containers
 (by element, role, class or id) and link-heavy blocks are bad; blocks that are
-long enough and rich in stop words are good; long blocks without stop words and
-short ones stay undecided. Pass two gives undecided blocks the label of their
-nearest decided neighbours within the same region (the article, if the page
-marks one, or the rest); of two neighbours as near, a good one wins, and a region
-with none is kept if it is the article or the page has no article.
+long enough and rich in stop words are good, as are long ones in scripts that no
+stop word is written in; long blocks without stop words and short ones stay
+undecided. If no block is good, the stop words say nothing of the page's language
+and the long undecided blocks are good. Pass two gives undecided blocks the label
+of their nearest decided neighbours; of two neighbours as near, a good one wins.
+If articles outside boilerplate hold at least as much good text as the rest of
+the page, nothing beside them is main text and what is undecided in them is kept;
+otherwise the page is one region.
 
 Results for odd rows: a null or empty page, or one without text, gives the
 empty string; unclosed and stray tags are borne; repeated rows are extracted
@@ -57,6 +60,8 @@ STOP_WORDS = set(
     "il di che è per non sono della con del si lo gli nel o e os as do da em um uma não het een van niet op te zijn voor met ook".split()
 )
 WORD = re.compile(r"[^\W\d_]+")
+#: The last of the Latin letters; stop words say nothing of what is written in others.
+LAST_LATIN = "\u024f"
 #: Characters and share of stop words from which a block is good; share of link text from which it is bad.
 LONG, STOP_SHARE, LINK_SHARE = 40, 0.1, 0.5
 
@@ -94,7 +99,9 @@ class Block:
         if len(self.text) < LONG:
             return OPEN
         words = WORD.findall(self.text.lower())
-        return GOOD if words and sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words) else OPEN
+        if words and sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words):
+            return GOOD
+        return GOOD if 2 * sum(len(w) for w in words if w[0] > LAST_LATIN) > sum(map(len, words)) else OPEN
 
 
 def blocks_of(page: str) -> tuple[list[Block], bool]:
@@ -150,7 +157,7 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
             _, boiler, article = stack[-1] if stack else ("", False, False)
-            if tag in ("article", "main"):
+            if tag in ("article", "main") and not boiler:
                 article = has_article = True
             boiler = boiler or tag in BOILER_TAGS or (tag == "header" and not article)
             if len(m["attrs"]) > 1 and tag not in ("html", "body", "article", "main"):
@@ -164,22 +171,27 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
 
 def settle(blocks: list[Block], has_article: bool) -> None:
     """Pass two: undecided blocks take the label of their nearest decided neighbours in their region."""
-    for region in (True, False):
-        own = [b for b in blocks if b.in_article == region]
-        labels = [b.label for b in own]
-        if region != has_article:  # beside a marked article nothing is main text
-            for b in own:
+    if not any(b.label == GOOD for b in blocks):
+        for b in blocks:
+            if b.label == OPEN and len(b.text) >= LONG and WORD.search(b.text):
+                b.label = GOOD
+    good = {region: sum(len(b.text) for b in blocks if b.label == GOOD and b.in_article == region) for region in (True, False)}
+    gated = has_article and good[True] >= good[False] and any(b.in_article and b.label != BAD for b in blocks)
+    own = [b for b in blocks if b.in_article or not gated]
+    if gated:  # beside the article nothing is main text
+        for b in blocks:
+            if not b.in_article:
                 b.label = BAD
+    labels = [b.label for b in own]
+    decided = [i for i, x in enumerate(labels) if x != OPEN and not (gated and x == BAD)]
+    k = 0
+    for i, b in enumerate(own):
+        if labels[i] != OPEN:
             continue
-        decided = [i for i, x in enumerate(labels) if x != OPEN and not (region and x == BAD)]
-        k = 0
-        for i, b in enumerate(own):
-            if labels[i] != OPEN:
-                continue
-            while k < len(decided) and decided[k] < i:
-                k += 1
-            near = [(abs(decided[j] - i), -labels[decided[j]]) for j in (k - 1, k) if 0 <= j < len(decided)]
-            b.label = -min(near)[1] if near else GOOD
+        while k < len(decided) and decided[k] < i:
+            k += 1
+        near = [(abs(decided[j] - i), -labels[decided[j]]) for j in (k - 1, k) if 0 <= j < len(decided)]
+        b.label = -min(near)[1] if near else GOOD
 
 
 def main_text(page: str) -> str:
