@@ -42,11 +42,18 @@ def single(counts: DataFrame, docs: DataFrame, keys: dict[str, str]) -> DataFram
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate component stays."""
-    found = stored(spark, simhash.near_dedup(spark, docs), "decisions").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.select(F.col("doc_id").alias(ID)).distinct()
-    staying = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(ID)), "left_semi")
-    return single(found.groupBy("doc_id").count(), staying, {"doc_id": "doc_id"})
+    """The first document of each near-duplicate component stays. Where a doc_id
+    is null or repeated, the fingerprint tells its rows apart."""
+    found, prints = simhash.grouped(spark, docs)
+    kept = stored(spark, prints.filter("first").select(F.col("least").alias(ID), F.col("print").alias("_kept_print")), "decisions")
+    vague = stored(spark, found.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_vague_id")), "vague")
+    if vague.isEmpty():
+        return docs.join(kept, F.col("doc_id") == F.col(ID), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("_vague_id"))
+    plain = docs.join(vague, same, "left_anti").join(kept, F.col("doc_id") == F.col(ID), "left_semi")
+    told = simhash.with_print(docs.join(vague, same, "left_semi"), KEY)
+    staying = told.join(kept, F.col("doc_id").eqNullSafe(F.col(ID)) & (F.col(KEY) == F.col("_kept_print")), "left_semi")
+    return plain.unionByName(staying.dropDuplicates(["doc_id", KEY]).select(docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

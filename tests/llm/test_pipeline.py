@@ -61,3 +61,10 @@ def test_repeated_and_odd_rows(spark):
 
 def test_mask_of_touching_spans():
     assert secrets.masked("abcdefgh", [(1, 3, "hex"), (2, 5, "assign"), (6, 7, "hex")], "#") == "a#f#h"
+
+
+def test_rows_are_told_apart_by_their_texts(spark):
+    texts = [(None, "alpha beta gamma delta one"), (None, "a river runs through the old town"), (None, "seven small ships sailed at dawn"), (4, "first text of the repeated name"), (4, "quite other words stand under it"), (9, "clean and alone in this table")]
+    docs = spark.createDataFrame([*texts, (9, "clean and  alone in this table"), (None, "clean  and alone in this table")], "doc_id long, text string")
+    found = [(r.doc_id, " ".join(r.text.split())) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(found, key=str) == sorted(texts, key=str)

@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._common import stored, text_rows, text_slices, utf8_of
 from .components import components
@@ -231,14 +232,35 @@ def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
     return dealt.mapInArrow(lambda b: _link_batches(b, most), "a long, b long")
 
 
+def grouped(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """doc_id and print of each row; and of each print its component_id, its
+    smallest doc_id (least) and whether it is the component's first.
+
+    A print is its own node: rows that share a doc_id, or have none, link
+    through their texts only.
+    """
+    found = stored(spark, fingerprints(docs, id_col, text_col), "prints")
+    distinct = stored(spark, found.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
+    named = components(spark, links(distinct.select("print", F.col("print").alias("node")))).withColumnRenamed("node", "print")
+    roots = stored(spark, distinct.join(named, "print", "left").select("print", F.coalesce("root", "print").alias("root"), "least"), "roots")
+    first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "print")).alias("first")
+    names = roots.groupBy("root").agg(F.min("least").alias("component_id"), first)
+    return found, roots.join(names, "root").select("print", "component_id", "least", (F.col("print") == F.col("first.print")).alias("first"))
+
+
+def with_print(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """The same rows with the fingerprint of each text."""
+    at = docs.columns.index(text_col)
+
+    def kernel(batches):
+        for batch in text_slices(batches, at):
+            prints = _signed([fingerprint(t) for t in utf8_of(batch.column(at))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, name])
+
+    return text_rows(docs).mapInArrow(kernel, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint and component_id of each row of ``docs``."""
-    found = stored(spark, fingerprints(docs, id_col, text_col), "prints")
-    distinct = stored(spark, found.groupBy("print").agg(F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1)).alias("node")), "distinct")
-    named = components(spark, links(distinct))
-    roots = distinct.join(named, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
-    return found.join(roots, "print").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("root") < (1 << 63) - 1, F.col("root")).alias("component_id"),
-    )
+    found, prints = grouped(spark, docs, id_col, text_col)
+    return found.join(prints, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
