@@ -80,3 +80,14 @@ def test_toxicity_of_odd_rows(spark):
     none = toxicity.toxicity(spark, docs, labels.filter("toxic = 0")).collect()
     assert len(none) == 304 and all(r.score == 0 and r.predicted == 0 for r in none)
     assert toxicity.toxicity(spark, docs.limit(0), labels).count() == 0
+
+
+def test_words_cut_in_one_language_keep_their_counts_there(spark):
+    # "shared" is under the large language's cut and in the small one's model.
+    rows = [("large", " ".join(f"big{chr(97 + i)}x" for i in range(20) for _ in range(50)) + " shared" * 40), ("small", "tiny little shared")]
+    rows.append(("single", " ".join(f"one{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10))))
+    model = language.train(spark, spark.createDataFrame(rows, "lang string, text string"), words=20, grams=2000)
+    assert model.langs == ["large", "single", "small"]
+    scores = dict(zip(model.langs, model.words["shared"].tolist(), strict=True))
+    assert scores["large"] > scores["single"]
+    assert 5 <= sum(w.startswith("one") for w in model.words) <= 40

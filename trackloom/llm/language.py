@@ -6,9 +6,9 @@ words. A word that the model lacks is scored by the longest character n-grams
 of it (with word borders) that the model knows: four letters, then three, two,
 one. N-gram counts come from the word counts, weighted by them.
 
-The model is bounded: ``words`` words of each language and ``grams`` n-grams of each
-language and length, by frequency down to a count at which all still fit. Counting itself
-covers every training row.
+The model is bounded: the ``words`` most frequent words of each language and ``grams``
+n-grams of each language and length are chosen, and what one language chooses keeps its
+counts in all. Counting itself covers every training row.
 
 Results for odd rows: a null text, and one without a letter, is ``und`` with
 score 0; so is everything if no row has a language to learn from. A null doc_id
@@ -102,16 +102,21 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _most(counts: DataFrame, by: list[str], limit: int) -> DataFrame:
-    """The most frequent words of each language, ``limit`` at most.
+    """The counts, in every language, of the words that are among the ``limit`` or
+    so most frequent of any.
 
     How many words have each count is a small table; the count from which all
-    words still fit is found there, so no language's words meet in one task.
+    words still fit is found there, so no language's words meet in one task. Of
+    the words with the next count a share by hash fills what is left.
     """
     keys = ["lang", *by]
     falling = Window.partitionBy(*keys).orderBy(F.desc("n"))
     sizes = counts.groupBy(*keys, "n").agg(F.count("*").alias("words")).withColumn("upto", F.sum("words").over(falling))
-    cuts = sizes.filter(F.col("upto") <= limit).groupBy(*keys).agg(F.min("n").alias("cut"))
-    return counts.join(cuts, keys).filter("n >= cut").select("lang", "word", "n")
+    share = F.when(F.col("upto") <= limit, 1.0).otherwise((limit - F.col("upto") + F.col("words")) / F.col("words"))
+    cuts = sizes.select(*keys, "n", share.alias("share")).filter("share > 0")
+    at = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) / (1 << 20)
+    chosen = counts.join(cuts, [*keys, "n"]).filter(at < F.col("share")).select("word").distinct()
+    return counts.join(chosen, "word", "left_semi").select("lang", "word", "n")
 
 
 class Model:
@@ -121,8 +126,8 @@ class Model:
         self.langs, self.words, self.grams = langs, words, grams
 
     @classmethod
-    def fit(cls, words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]]) -> Model:
-        langs = sorted({x[0] for x in words})
+    def fit(cls, words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]], langs: list[str] | None = None) -> Model:
+        langs = sorted(langs or {x[0] for x in words})
         at = {x: i for i, x in enumerate(langs)}
 
         def table(rows):
@@ -216,8 +221,9 @@ def train(spark: SparkSession, rows: DataFrame, words: int = WORDS, grams: int =
     counts = stored(spark, partial.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     letters = counts.mapInArrow(_count_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     pairs = lambda df: [tuple(r) for r in df.collect()]  # noqa: E731  bounded by the model's size
-    sized = letters.withColumn("size", F.length("word"))
-    return Model.fit(pairs(_most(counts, [], words)), pairs(_most(sized, ["size"], grams)))
+    sized = stored(spark, letters.withColumn("size", F.length("word")), "grams")
+    langs = [r[0] for r in counts.select("lang").distinct().collect()]
+    return Model.fit(pairs(_most(counts, [], words)), pairs(_most(sized, ["size"], grams)), langs)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", parts: int = 4, held: int = 2) -> DataFrame:
