@@ -1,8 +1,11 @@
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from trackloom.llm import language, queries, toxicity
 
@@ -17,14 +20,80 @@ def test_held_out_languages(spark):
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in held]) >= 0.98
 
 
-def test_unseen_words_back_off():
-    rows = [("x", "hello", 50), ("y", "monde", 50)]
-    grams = [(lang, g, n) for lang, w, n in rows for k in range(1, 5) for g in language.grams_of(w, k)]
-    model = language.Model.fit(rows, grams)
-    scores = model.of_words(["hello", "hellos", "mondes", "zzz", ""])
-    assert scores[0].argmax() == 0 and scores[1].argmax() == 0 and scores[2].argmax() == 1
-    assert not scores[3].any() and not scores[4].any()
-    assert abs(scores[1]).max() < abs(scores[0]).max()
+def brute_languages(rows, parts=4, held=2):
+    """(lang_pred, score) of (doc_id, text, lang) rows by plain dictionaries, without a core."""
+    split = lambda t: [w for w in re.split(r"[\W\d_]+", (t or "").lower()) if w]
+    out_of_fold = [r for r in rows if r[2] is not None and (r[0] is None or zlib.crc32(str(r[0]).encode()) % parts != held)]
+    words = {}
+    for _, text, lang in out_of_fold:
+        for w in split(text):
+            words.setdefault(lang, Counter())[w] += 1
+    langs = sorted(words)
+    grams = [{lang: Counter() for lang in langs} for _ in range(5)]
+    for lang in langs:
+        for w, n in words[lang].items():
+            for k in range(1, 5):
+                for g in language.grams_of(w, k):
+                    grams[k][lang][g] += n
+
+    def excess(tables, w):
+        total = [sum(tables[x].values()) for x in langs]
+        return np.array([np.log1p(tables[x][w] * (max(total) + language.DAMP) / language.SMOOTH / (t + language.DAMP)) for x, t in zip(langs, total, strict=True)])
+
+    def of_word(w):
+        if any(w in words[x] for x in langs):
+            return excess(words, w)
+        for k in range(4, 0, -1):
+            own = [g for g in language.grams_of(w, k) if any(g in grams[k][x] for x in langs)]
+            if own:
+                return np.mean([excess(grams[k], g) for g in own], axis=0) * language.GRAM_WEIGHT
+        return np.zeros(len(langs))
+
+    out = []
+    for _, text, _ in rows:
+        found = split(text)
+        if not found or not langs:
+            out.append(("und", 0.0))
+            continue
+        total = sum((of_word(w) for w in found), np.zeros(len(langs)))
+        odds = np.exp(total - total.max())
+        out.append((langs[int(odds.argmax())], float((odds / odds.sum()).max())))
+    return out
+
+
+def test_predictions_against_brute_force(spark):
+    rnd = random.Random(4)
+    stems = {"aa": "ka lo mi ta".split(), "bb": "ka ru sel dom".split(), "cc": "\u043c\u0438 lo pra sel".split()}
+    word = lambda lang: "".join(rnd.choice(stems[lang]) for _ in range(rnd.choice([1, 2, 2, 3, 4])))
+    rows = [(i, " ".join(word(lang) for _ in range(rnd.choice([1, 2, 3, 8, 30, 200]))), lang if i % 9 else None) for i in range(300) for lang in [rnd.choices("aa bb cc".split(), [20, 5, 1])[0]]]
+    rows += [(900, "kal om zzz qqq", None), (901, "12 - !", "aa"), (902, "\u4e00\u4e8c", None), (None, "sel sel dom", "bb"), (5, "ru", "bb")]
+    want = Counter((r[0], p, round(s, 7)) for r, (p, s) in zip(rows, brute_languages(rows), strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for core in (1 << 18, 20, 0):
+        assert Counter((r.doc_id, r.lang_pred, round(r.score, 7)) for r in language.identify(spark, docs, core=core).collect()) == want
+
+
+def test_gram_counts():
+    words = ["a", "ab", "abca", "\u4e00\u4e8c", "\U0001f600x"]
+    n = np.array([1, 2, 3, 4, 5])
+    want = Counter()
+    for w, times in zip(words, n.tolist(), strict=True):
+        for k in range(1, 5):
+            for g in language.grams_of(w, k):
+                want[g] += times
+    found = Counter()
+    for grams, total in language.gram_counts(words, n):
+        found.update(dict(zip(grams, total.tolist(), strict=True)))
+    assert found == want
+
+
+def test_many_equally_rare_words(spark):
+    # No prefix of a language's words is more frequent than the rest; nothing is cut.
+    spell = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}")
+    rows = [(i, " ".join("x" + spell(40 * i + j) for j in range(40)), "x") for i in range(800)] + [(800 + i, " ".join("y" + spell(40 * i + j) for j in range(40)), "y") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.identify(spark, docs, core=100).collect()
+    assert all(r.lang_pred == ("x" if r.doc_id < 800 else "y") for r in found)
 
 
 def test_languages_of_odd_rows(spark):
@@ -43,6 +112,7 @@ def test_keep_known_keeps_rows_as_they_are(spark):
     docs = spark.createDataFrame([(1, "the cat", "en", "s", 7), (2, "...", "en", "s", 3), (3, "dog", None, "s", 3), (3, None, None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = language.keep_known(spark, docs)
     assert kept.columns == docs.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "the cat"), (3, "dog")]
+    assert sorted(r.doc_id for r in language.keep_known(spark, docs.withColumn("lang", F.lit(None).cast("string"))).collect()) == [1, 3]  # nothing to learn from
 
 
 def test_held_out_toxicity(spark):
@@ -80,14 +150,3 @@ def test_toxicity_of_odd_rows(spark):
     none = toxicity.toxicity(spark, docs, labels.filter("toxic = 0")).collect()
     assert len(none) == 304 and all(r.score == 0 and r.predicted == 0 for r in none)
     assert toxicity.toxicity(spark, docs.limit(0), labels).count() == 0
-
-
-def test_words_cut_in_one_language_keep_their_counts_there(spark):
-    # "shared" is under the large language's cut and in the small one's model.
-    rows = [("large", " ".join(f"big{chr(97 + i)}x" for i in range(20) for _ in range(50)) + " shared" * 40), ("small", "tiny little shared")]
-    rows.append(("single", " ".join(f"one{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10))))
-    model = language.train(spark, spark.createDataFrame(rows, "lang string, text string"), words=20, grams=2000)
-    assert model.langs == ["large", "single", "small"]
-    scores = dict(zip(model.langs, model.words["shared"].tolist(), strict=True))
-    assert scores["large"] > scores["single"]
-    assert 5 <= sum(w.startswith("one") for w in model.words) <= 40

@@ -51,7 +51,8 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text) -> key, codes of the distinct words."""
     cache = Words(word_code)
     for batch in text_slices(batches):
-        codes, words, ends = words_of(batch.column(1))
+        codes, found, ends = words_of(batch.column(1))
+        words = found.to_pylist()
         table = np.array([cache[w] if w else -1 for w in words], np.int64)
         sets, at = [], 0
         for end in ends.tolist():
@@ -211,7 +212,8 @@ def _score_batches(batches: Iterator[pa.RecordBatch], model: Classifier | None)
         if model is None:
             scores = np.zeros(batch.num_rows)
         else:
-            codes, words, ends = words_of(batch.column(2))
+            codes, found, ends = words_of(batch.column(2))
+            words = found.to_pylist()
             weights = np.array([cache[w] for w in words])
             logits = np.zeros(len(ends))
             hot = np.flatnonzero(weights)
