@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from conftest import DATA
 
@@ -54,26 +55,66 @@ def planted(rng, n):
     return np.unique(np.concatenate([*chain, np.array(crowd, np.uint64)]))
 
 
-def test_links_keep_all_components(spark):
-    prints = planted(np.random.default_rng(3), 120)
-    rows = [(int(np.int64(np.uint64(p).view(np.int64))), i) for i, p in enumerate(prints)]
-    edges = simhash.links(spark.createDataFrame(rows, "print long, node long"))
-    found = {r.node: r.root for r in components.components(spark, edges).collect()}
-    want = brute_components([(i, int(p)) for i, p in enumerate(prints)])
-    assert {i: found.get(i, i) for i in want} == want
+def signed(p):
+    return int(np.uint64(p).view(np.int64))
+
+
+def found_roots(spark, prints):
+    edges = simhash.links(spark, spark.createDataFrame([(signed(p),) for p in prints], "print long"))
+    root = {r.node: r.root for r in components.components(spark, edges).collect()}
+    groups = {}
+    for i, p in enumerate(prints):
+        groups.setdefault(root.get(signed(p), signed(p)), []).append(i)
+    return {i: min(g) for g in groups.values() for i in g}
 
 
-def test_crowded_buckets_link_alike(monkeypatch):
-    prints = planted(np.random.default_rng(4), 30)
-    free = sum(1 << i for i in range(22))
-    own = np.unique(prints & np.uint64(free))
-    a, b = simhash.crowd_links(own, free)
-    forest, want = simhash.Forest(len(own)), simhash.Forest(len(own))
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        forest.link(i, j)
-    for i, j in zip(*np.nonzero(np.bitwise_count(own[:, None] ^ own) <= 2), strict=True):
-        want.link(int(i), int(j))
-    assert [forest.root(i) for i in range(len(own))] == [want.root(i) for i in range(len(own))]
+def test_links_keep_all_components(spark, monkeypatch):
+    prints = planted(np.random.default_rng(3), 120)
+    want = brute_components([(i, int(p)) for i, p in enumerate(prints)])
+    assert found_roots(spark, prints) == want
+    rows = prints[:400]
+    batch = lambda x: pa.RecordBatch.from_arrays(list(x.columns), x.schema.names)
+    dealt = pa.Table.from_batches(simhash._cell_rows([pa.RecordBatch.from_arrays([pa.array(rows.view(np.int64))], ["print"])])).sort_by([("choice", "ascending"), ("cell", "ascending"), ("near", "ascending")])
+    for crowd, size in ((1, 7), (5, 3), (1024, 50)):  # cells that go on over batches, and crowded ones
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        out = pa.Table.from_batches(simhash._link_batches(map(batch, dealt.to_batches(max_chunksize=size))), schema=pa.schema([("a", pa.int64()), ("b", pa.int64())])).to_pylist()
+        crowded = {r["a"] for r in out if r["b"] is None}
+        pairs = [(r["a"], r["b"]) for r in out if r["b"] is not None]
+        around = {}
+        for p in crowded:
+            for x in [0, *(1 << i for i in range(64))]:
+                around.setdefault(int(np.int64(p).view(np.uint64)) ^ x, []).append(p)
+        pairs += [(p, min(g)) for g in around.values() for p in g]
+        up = {signed(p): signed(p) for p in rows}
+
+        def root(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a, b in pairs:
+            up[root(a)] = root(b)
+        own = brute_components([(i, int(p)) for i, p in enumerate(rows)])
+        assert all((own[i] == own[j]) == (root(signed(rows[i])) == root(signed(rows[j]))) for i in range(len(rows)) for j in range(0, i, 7))
+
+
+def test_coordinates_of_close_prints():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 63, 500, np.uint64)
+    y = x ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
+    a, b = simhash.coordinates(x), simhash.coordinates(y)
+    assert a.min() >= 0 and a.max() <= 2 and np.abs(a - b).sum(1).max() <= 2
+    assert (simhash.cells(x) == simhash.cells(y)).any(0).all()
+
+
+def test_crowd_links(spark):
+    rng = np.random.default_rng(4)
+    prints = np.unique(np.concatenate([rng.integers(0, 1 << 12, 60, np.uint64), np.uint64(1 << 63) | rng.integers(0, 1 << 9, 40, np.uint64)]))
+    edges = simhash.crowd_links(spark.createDataFrame([(signed(p),) for p in prints], "a long"))
+    root = {r.node: r.root for r in components.components(spark, edges).collect()}
+    own = brute_components([(i, int(p)) for i, p in enumerate(prints)])
+    names = [root.get(signed(p), signed(p)) for p in prints]
+    assert all((own[i] == own[j]) == (names[i] == names[j]) for i in range(len(prints)) for j in range(i))
 
 
 def test_odd_rows(spark):
@@ -91,3 +132,9 @@ def test_long_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 400)] + [(1000, 1001)], "a long, b long")
     found = {r.node: r.root for r in components.components(spark, edges).collect()}
     assert found == {i: 1 for i in range(2, 401)} | {1001: 1000}
+
+
+def test_components_around_a_hub(spark):
+    edges = spark.createDataFrame([(5000, i) for i in range(600)] + [(700 + i, 5000 + i) for i in range(50)], "a long, b long")
+    found = {r.node: r.root for r in components.components(spark, edges).collect()}
+    assert found == {i: 0 for i in range(1, 600)} | {5000: 0, 700: 0} | {5000 + i: 700 + i for i in range(1, 50)}

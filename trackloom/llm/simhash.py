@@ -1,26 +1,30 @@
 """Operator 2: SimHash near-dedup with pivot distance tables.
 
 Every distinct fingerprint gets a table of its Hamming distances to many
-reference fingerprints (pivots). By the triangle inequality two fingerprints
-within ``most`` bits differ by ``most`` at most in every coordinate, so a pair
-is discarded when its greatest coordinate difference is larger, and the pairs
-that survive are verified.
-
-Pairs that can link are brought together by pivots too: distances to the 65
-references 0 and 2^i give the bits themselves, and a pair within two bits agrees
-in at least four of six bands of them. For each choice of four bands, rows with
-equal bands form a bucket. A bucket has 22 free bits, so at most 2^22 distinct
-fingerprints whatever the corpus; equal fingerprints are one row. Within a
-bucket rows are ordered by their first distance and only compared within a
-window of ``most`` in it; a bucket over ``CROWD`` is instead linked through the
-one-bit neighbours in its free bits, which is exact and linear. Each bucket
-gives a spanning forest of its links, not all of its pairs.
+reference fingerprints (pivots). By the triangle inequality fingerprints within
+``MOST`` bits differ by that at most in every distance.
+
+A pivot and its copies with one block of bits turned over make this sharper: the
+difference of the two distances says how many bits of that block differ from the
+pivot. These block coordinates of a pair within two bits differ by two in all, so
+they are equal in at least four of six bands of blocks. For each choice of four
+bands, fingerprints with equal coordinates form a cell; every pair that can link
+meets in one. A random pivot's distance orders the rows of a cell, which are compared
+within a window of two in it; pairs whose greatest difference over all pivots is
+larger are discarded, and the survivors are verified.
+
+A cell of more than ``CROWD`` fingerprints is not held: its fingerprints are linked
+through their one-bit neighbours, by an aggregation over all of them. Two
+fingerprints within two bits have a common neighbour within one bit of both, and
+all around one neighbour are within two bits of each other, so linking each to the
+least one at every neighbour connects exactly what links. Links are spanning
+forests, not all pairs.
 
 Results for odd rows: a null or empty text has fingerprint zero and is linked
 like any other; with one or two words the whole sequence is the only shingle;
 equal texts, and repeated rows, share a fingerprint and a component; an empty
 table gives no rows. A null doc_id takes part, but gives no component its name
-while another document can.
+while another document can. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -41,9 +45,10 @@ from .components import components
 WORDS, SEED, BITS = 3, 42, 64
 MOST = 2
 PIVOTS = 16
-BANDS = (11, 11, 11, 11, 10, 10)
-#: Rows of a bucket from which one-bit neighbours replace comparisons.
-CROWD = 512
+#: Blocks of neighbouring bits, and how many of them make each band.
+BLOCKS, BANDS = 32, (6, 6, 5, 5, 5, 5)
+#: Rows of a cell that are held and compared at most.
+CROWD = 1024
 
 
 def bit_counts(digests: list[bytes]) -> np.ndarray:
@@ -90,53 +95,53 @@ def pivots(count: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(20_011).integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_masks() -> list[int]:
-    """For each choice of two bands that may differ, the mask of all others."""
-    bands, at = [], 0
+def block_pivots() -> np.ndarray:
+    """One reference fingerprint, and its copies with one block turned over each."""
+    size = BITS // BLOCKS
+    masks = [((1 << size) - 1) << size * k for k in range(BLOCKS)]
+    return pivots(1)[0] ^ np.array([0, *masks], np.uint64)
+
+
+def coordinates(prints: np.ndarray) -> np.ndarray:
+    """How many bits of each block differ from the reference, from the distances to the block pivots."""
+    table = np.bitwise_count(prints[:, None] ^ block_pivots()).astype(np.int16)
+    return (table[:, :1] - table[:, 1:] + BITS // BLOCKS) // 2
+
+
+def cells(prints: np.ndarray) -> np.ndarray:
+    """(choices, rows): the cell of each fingerprint for each choice of bands that must agree."""
+    found = coordinates(prints).astype(np.int64)
+    base, codes, widths, at = BITS // BLOCKS + 1, [], [], 0
     for size in BANDS:
-        bands.append(((1 << size) - 1) << at)
+        codes.append(found[:, at : at + size] @ base ** np.arange(size))
+        widths.append(base**size)
         at += size
-    every = (1 << BITS) - 1
-    return [every ^ a ^ b for a, b in combinations(bands, 2)]
+    out = []
+    for choice in combinations(range(len(BANDS)), len(BANDS) - MOST):
+        code = np.zeros(len(prints), np.int64)
+        for band in choice:
+            code = code * widths[band] + codes[band]
+        out.append(code)
+    return np.array(out)
+
+
+ROWS = "choice int, cell long, near int, print long"
 
 
-def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(print, node) -> a row for each choice of bands, with the distance to the first pivot."""
-    masks, first = np.array(band_masks(), np.uint64), pivots(1)[0]
+def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """print -> a row for each choice of bands, with the distance to a random pivot."""
+    first = pivots(2)[1]
     for batch in batches:
         prints = batch.column(0).to_numpy().view(np.uint64)
-        n = len(prints)
+        found = cells(prints)
+        near = np.bitwise_count(prints ^ first).astype(np.int32)
+        k, n = found.shape
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.arange(len(masks), dtype=np.int32), n)),
-                pa.array((masks[:, None] & prints).ravel().view(np.int64)),
-                pa.array(np.tile(np.bitwise_count(prints ^ first).astype(np.int32), len(masks))),
-                pa.array(np.tile(prints.view(np.int64), len(masks))),
-                pa.array(np.tile(batch.column(1).to_numpy(), len(masks))),
-            ],
-            ["choice", "band", "near", "print", "node"],
+            [pa.array(np.repeat(np.arange(k, dtype=np.int32), n)), pa.array(found.ravel()), pa.array(np.tile(near, k)), pa.array(np.tile(prints.view(np.int64), k))], ["choice", "cell", "near", "print"]
         )
 
 
-class Forest:
-    """Union-find over the rows of one bucket; roots are the least rows."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return i
-
-    def link(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-
-
-def linked_pairs(prints: np.ndarray, near: np.ndarray, group: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+def linked_pairs(prints: np.ndarray, near: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs of the same group that link. Rows are sorted by group and near."""
     table = np.bitwise_count(prints[:, None] ^ pivots()).astype(np.int8)
     rows = np.arange(len(prints) - 1)
@@ -144,92 +149,96 @@ def linked_pairs(prints: np.ndarray, near: np.ndarray, group: np.ndarray, most:
     for lag in range(1, len(prints)):
         rows = rows[rows + lag < len(prints)]
         other = rows + lag
-        rows = rows[(group[rows] == group[other]) & (near[other] - near[rows] <= most)]
+        rows = rows[(group[rows] == group[other]) & (near[other] - near[rows] <= MOST)]
         if not len(rows):
             break
         other = rows + lag
-        close = np.abs(table[rows] - table[other]).max(1) <= most
+        close = np.abs(table[rows] - table[other]).max(1) <= MOST
         a, b = rows[close], other[close]
-        sure = np.bitwise_count(prints[a] ^ prints[b]) <= most
+        sure = np.bitwise_count(prints[a] ^ prints[b]) <= MOST
         left.append(a[sure])
         right.append(b[sure])
     return (np.concatenate(left), np.concatenate(right)) if left else (rows[:0], rows[:0])
 
 
-def crowd_links(prints: np.ndarray, free: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that connect all rows within two bits, for rows that differ in the free bits only.
+def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least row that each of n rows is connected with."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, left, root[right])
+        np.minimum.at(new, right, root[left])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
-    Two rows within two bits have a common neighbour within one bit of both, and
-    all rows around one neighbour are within two bits of each other: so linking
-    each row to the first one at each neighbour connects exactly what links.
-    """
-    order = np.argsort(prints)
-    sorted_prints, left, right = prints[order], [], []
-    around = np.concatenate([[np.uint64(0)], np.uint64(1) << np.flatnonzero([(free >> i) & 1 for i in range(BITS)]).astype(np.uint64)])
-    firsts = np.unique(np.concatenate([prints ^ x for x in around]))  # bounded: rows times 23
-    owner = np.full(len(firsts), len(prints), np.int64)
-    for x in around:
-        np.minimum.at(owner, np.searchsorted(firsts, sorted_prints ^ x), order)
-    for x in around:
-        own = owner[np.searchsorted(firsts, sorted_prints ^ x)]
-        other = own != order
-        left.append(own[other])
-        right.append(order[other])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _edges(nodes: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-    """A spanning forest of the given pairs, as node pairs."""
-    touched = np.unique(np.concatenate([left, right]))
-    forest = Forest(len(touched))
-    for i, j in zip(np.searchsorted(touched, left).tolist(), np.searchsorted(touched, right).tolist(), strict=True):
-        forest.link(i, j)
-    roots = np.array([forest.root(i) for i in range(len(touched))], np.int64)
-    own = np.flatnonzero(roots != np.arange(len(touched)))
-    return pa.RecordBatch.from_arrays([pa.array(nodes[touched[own]]), pa.array(nodes[touched[roots[own]]])], ["a", "b"])
-
-
-def _link_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by choice, band and near; the last bucket of a batch waits for the next."""
-    masks = band_masks()
-
-    def work(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        choice, band, near, prints, nodes = rows
-        prints = prints.view(np.uint64)
-        starts = np.flatnonzero(np.concatenate([[True], (choice[1:] != choice[:-1]) | (band[1:] != band[:-1])]))
+
+EDGES = "a long, b long"
+
+
+def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by choice, cell and near -> links, and the fingerprints of crowded cells (without b).
+    Of a cell that goes on in the next batch, CROWD rows are held at most."""
+
+    def work(choice, cell, near, prints) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(choice) != 0) | (np.diff(cell) != 0)]))
         sizes = np.diff(np.append(starts, len(choice)))
         group = np.repeat(np.arange(len(starts)), sizes)
         few = np.flatnonzero(((sizes > 1) & (sizes <= CROWD))[group])
         if len(few):
-            a, b = linked_pairs(prints[few], near[few], group[few], most)
-            yield _edges(nodes, few[a], few[b])
-        for k in np.flatnonzero(sizes > CROWD):
-            own = slice(starts[k], starts[k] + sizes[k])
-            yield _edges(nodes[own], *crowd_links(prints[own], (1 << BITS) - 1 ^ masks[choice[starts[k]]]))
+            a, b = linked_pairs(prints[few].view(np.uint64), near[few], group[few])
+            touched = np.unique(np.concatenate([a, b]))
+            root = forest(len(touched), np.searchsorted(touched, a), np.searchsorted(touched, b))
+            own = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array(prints[few[touched[own]]]), pa.array(prints[few[touched[root[own]]]])], ["a", "b"])
+        yield from crowd(prints[(sizes > CROWD)[group]])
+
+    def crowd(prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(prints):
+            yield pa.RecordBatch.from_arrays([pa.array(prints), pa.nulls(len(prints), pa.int64())], ["a", "b"])
 
     kept: list[np.ndarray] | None = None
+    wide = None  # the crowded cell that the last batch ended in
     for batch in batches:
-        if not batch.num_rows:
-            continue
         rows = [c.to_numpy() for c in batch.columns]
+        if wide is not None:
+            go_on = (rows[0] == wide[0]) & (rows[1] == wide[1])
+            yield from crowd(rows[3][go_on])
+            rows = [x[~go_on] for x in rows]
+        if not len(rows[0]):
+            continue
+        wide = None
         if kept is not None:
             rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
         last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
         cut = int(last[-1]) + 1 if len(last) else 0
         if cut:
-            yield from work([x[:cut] for x in rows])
+            yield from work(*(x[:cut] for x in rows))
         kept = [x[cut:] for x in rows]
+        if len(kept[0]) > CROWD:
+            wide = kept[0][0], kept[1][0]
+            yield from crowd(kept[3])
+            kept = None
     if kept is not None:
-        yield from work(kept)
+        yield from work(*kept)
+
+
+def crowd_links(prints: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the fingerprints (a) of crowded cells within two bits of each other."""
+    bits = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    around = prints.select("a").distinct().select("a", F.explode(bits).alias("bit")).select("a", F.col("a").bitwiseXOR(F.col("bit")).alias("at"))
+    return around.groupBy("at").agg(F.min("a").alias("b"), F.collect_list("a").alias("all")).filter("size(all) > 1").select(F.explode("all").alias("a"), "b").filter("a <> b").distinct()
 
 
-def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
-    """Edges (a, b) that connect the nodes of fingerprints within ``most`` (2 at most) bits."""
-    if most > 2:
-        raise ValueError("six bands hold for two differing bits at most")
-    rows = distinct.select("print", "node").mapInArrow(_bucket_rows, "choice int, band long, near int, print long, node long")
-    dealt = rows.repartition("choice", "band").sortWithinPartitions("choice", "band", "near", "print")
-    return dealt.mapInArrow(lambda b: _link_batches(b, most), "a long, b long")
+def links(spark: SparkSession, prints: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the distinct fingerprints (print) within ``MOST`` bits."""
+    rows = prints.select("print").mapInArrow(_cell_rows, ROWS)
+    dealt = rows.repartition("choice", "cell").sortWithinPartitions("choice", "cell", "near", "print")
+    found = stored(spark, dealt.mapInArrow(_link_batches, EDGES), "links")
+    crowded = found.filter("b IS NULL")
+    pairs = found.filter("b IS NOT NULL")
+    return pairs if crowded.isEmpty() else pairs.union(crowd_links(crowded))
 
 
 def grouped(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -241,7 +250,7 @@ def grouped(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     """
     found = stored(spark, fingerprints(docs, id_col, text_col), "prints")
     distinct = stored(spark, found.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
-    named = components(spark, links(distinct.select("print", F.col("print").alias("node")))).withColumnRenamed("node", "print")
+    named = components(spark, links(spark, distinct)).withColumnRenamed("node", "print")
     roots = stored(spark, distinct.join(named, "print", "left").select("print", F.coalesce("root", "print").alias("root"), "least"), "roots")
     first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "print")).alias("first")
     names = roots.groupBy("root").agg(F.min("least").alias("component_id"), first)
