@@ -140,6 +140,35 @@ def test_risk_falls_and_negatives_stay_low():
     assert ((neg @ w + b) > cut).mean() < 0.06 < 0.75 < ((hidden @ w + b) > cut).mean()
 
 
+def test_the_fit_makes_the_result():
+    """Without a step there is no classifier; with steps, held-out texts are told apart."""
+    rng = np.random.default_rng(2)
+    made = lambda n, toxic: [np.flatnonzero(rng.random(300) < np.where(np.arange(300) < 12, 0.25 if toxic else 0.01, 0.1)) for _ in range(n)]
+    pos, unl, held = made(250, True), made(1800, False) + made(200, True), (made(900, False), made(100, True))
+    cut = lambda model: [(model.scores(toxicity._matrix(x, model.codes) @ model.weights) >= toxicity.THRESHOLD).mean() for x in held]
+    blank, fitted = (toxicity.fit(pos, unl, 0.1, steps) for steps in (0, toxicity.STEPS))
+    assert not blank.weights.any() and len(set(cut(blank))) == 1
+    low, high = cut(fitted)
+    assert low < 0.03 and high > 0.75
+
+
+def test_the_rest_is_kept_from_going_below_zero():
+    """Few positives and many words: the plain corrected risk runs below zero, the non-negative one stays and does better."""
+    rng = np.random.default_rng(5)
+    made = lambda n, p: (rng.random((n, 120)) < np.where(np.arange(120) < 8, p, 0.2)).astype(np.float32)
+    pos, unl = made(40, 0.6), np.concatenate([made(240, 0.1), made(60, 0.6)])
+    held = np.concatenate([made(1600, 0.1), made(400, 0.6)])
+    truth = np.arange(2000) >= 1600
+
+    def rest_and_error(non_negative):
+        w, b = toxicity.fit_nnpu(pos, unl, 0.2, 400, 0, non_negative)
+        loss = lambda x: np.logaddexp(0, x @ w + b).mean()
+        return loss(unl) - 0.2 * loss(pos), ((held @ w + b > 0) != truth).mean()
+
+    (rest, error), (plain_rest, plain_error) = rest_and_error(True), rest_and_error(False)
+    assert plain_rest < -0.1 < rest and error < plain_error
+
+
 def test_toxicity_of_odd_rows(spark):
     rnd = random.Random(3)
     rows = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(30)) + (" vile" if i % 4 == 0 else "")) for i in range(300)]

@@ -1,21 +1,25 @@
 """Operator 10: toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are positives; texts of the training folds are unlabelled
-whatever their label says. A linear classifier over word presence minimises the
-class-prior-corrected risk: the positives' loss times the prior, plus what is
-left of the unlabelled texts' loss once the positives' share is taken off, and
-that rest is kept from going below zero. The prior is the share of toxic rows
-among the labelled training rows, or less where the unlabelled texts hold the
-positives' words more rarely than that.
-
-Fitting is numpy on a bounded sample in hash order (``positives`` and
-``unlabelled`` rows at most, as hashed word sets); the prior and the scores
-cover all rows. The score's scale puts 0.7 where cross-fitted scores
-let expect the best F1.
+Confirmed toxic texts are positives; the texts of the labelled rows of the training
+folds, toxic or not, are unlabelled: what their label says is not used. Where labels
+name toxic texts only, all training texts are. A linear classifier over word
+presence starts from nothing and minimises the class-prior-corrected risk: the
+positives' loss times the prior, plus what is left of the unlabelled texts' loss once
+the positives' share is taken off. Where that rest falls below zero, which only
+fitting too closely can do, a step is taken back up it instead. The prior is the share
+of toxic rows among the labelled training rows, or less where the unlabelled texts
+hold the positives' words more rarely than that.
+
+Fitting is numpy on a sample in hash order, of ``positives`` and ``unlabelled``
+labelled rows at most, as sets of words hashed to HASH_BITS bits; of these the
+FEATURES that differ most are used. The prior covers all labels and the scores all
+rows. The score's scale puts 0.7 where cross-fitted scores let expect the best F1.
 
 Results for odd rows: a null or empty text has no words and gets the score of
 the bias alone; without a positive to learn from every score is 0. A null doc_id
-is not held out. Repeated rows are scored each; an empty table gives no rows.
+is not held out. Repeated rows are scored each, alike; texts of the same words
+tie; of rows that repeat a doc_id in labels, one toxic row makes it toxic. An empty
+table gives no rows. Other columns of the inputs are not looked at.
 """
 
 from __future__ import annotations
@@ -35,10 +39,10 @@ from .language import fold, words_of
 POSITIVES, UNLABELLED = 4_000, 8_000
 #: Words are numbers below 2^HASH_BITS; the classifier uses the FEATURES that differ most.
 HASH_BITS, FEATURES = 20, 400
-#: Standard errors from which a word's difference is no chance find; and words that are used anyway.
-SURE, LEAST_FEATURES = 4.5, 8
+#: Standard errors from which a word's difference is no chance find; and words that are used where there is none such.
+SURE, LEAST_FEATURES = 3.0, 8
 THRESHOLD = 0.7
-STEPS, RATE, DECAY, FOLDS, RARE = 250, 0.02, 0.02, 4, 0.01
+STEPS, RATE, DECAY, FOLDS = 300, 0.05, 0.005, 4
 
 
 def word_code(word: str) -> int:
@@ -48,10 +52,10 @@ def word_code(word: str) -> int:
 
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) -> key, codes of the distinct words."""
+    """(key, mark, text) -> key, mark, codes of the distinct words."""
     cache = Words(word_code)
-    for batch in text_slices(batches):
-        codes, found, ends = words_of(batch.column(1))
+    for batch in text_slices(batches, 2):
+        codes, found, ends = words_of(batch.column(2))
         words = found.to_pylist()
         table = np.array([cache[w] if w else -1 for w in words], np.int64)
         sets, at = [], 0
@@ -59,7 +63,7 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.unique(table[codes[at:end]]) if end > at else np.empty(0, np.int64)
             sets.append(own[own >= 0].astype(np.int32))
             at = end
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["key", "codes"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.list_(pa.int32()))], ["key", "mark", "codes"])
 
 
 def _sampled(docs: DataFrame, ids: DataFrame, limit: int) -> list[np.ndarray]:
@@ -69,8 +73,9 @@ def _sampled(docs: DataFrame, ids: DataFrame, limit: int) -> list[np.ndarray]:
     is shuffled; the chosen ids are broadcast, ``limit`` longs at most."""
     key = F.xxhash64("doc_id")
     chosen = ids.select("doc_id").distinct().orderBy(key, "doc_id").limit(limit)
-    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(key.alias("key"), "text")
-    return [np.asarray(r.codes, np.int64) for r in rows.mapInArrow(_word_sets, "key long, codes array<int>").limit(limit).collect()]
+    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(key.alias("key"), F.xxhash64("text").alias("mark"), "text")
+    sets = rows.mapInArrow(_word_sets, "key long, mark long, codes array<int>").orderBy("key", "mark").limit(limit)
+    return [np.asarray(r.codes, np.int64) for r in sets.collect()]
 
 
 class Classifier:
@@ -94,17 +99,9 @@ def _log_loss(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.logaddexp(0, -z), -1 / (1 + np.exp(np.clip(z, -60, 60)))
 
 
-def naive_weights(pos: np.ndarray, unl: np.ndarray, prior: float) -> np.ndarray:
-    """Log ratios of each word's share among positives and among negatives, the
-    latter being the unlabelled share less the positives' part of it."""
-    p, u = pos.mean(0), unl.mean(0)
-    return np.log((p + RARE) / (np.maximum(0, u - prior * p) / (1 - prior) + RARE))
-
-
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative risk (Adam, whole batches), drawn to the naive weights."""
-    first = naive_weights(pos, unl, prior)
-    w, b = first.copy(), float(np.log(prior / (1 - prior)))
+def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = STEPS, decay: float = DECAY, non_negative: bool = True) -> tuple[np.ndarray, float]:
+    """Weights and bias of least non-negative risk, from zero (Adam, whole batches)."""
+    w, b = np.zeros(pos.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
         zp, zu = pos @ w + b, unl @ w + b
@@ -113,10 +110,10 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = STEPS)
         lu_neg, du_neg = _log_loss(-zu)
         rest = lu_neg.mean() - prior * lp_neg.mean()
         grad_rest = np.append(-(du_neg @ unl) / len(unl) + prior * (dp_neg @ pos) / len(pos), -du_neg.mean() + prior * dp_neg.mean())
-        grad = prior * np.append(dp @ pos / len(pos), dp.mean())
-        if rest > 0:  # the risk takes max(0, rest): below zero only the positives' part moves it
-            grad += grad_rest
-        grad[:-1] += DECAY * (w - first)
+        grad = prior * np.append(dp @ pos / len(pos), dp.mean()) + grad_rest
+        if rest < 0 and non_negative:
+            grad = -grad_rest
+        grad[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -141,14 +138,11 @@ def _features(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
     z[p + u < 2] = 0
     best = np.argsort(-z, kind="stable")[:FEATURES]
     sure = z[best] >= SURE
-    return np.sort(best[sure] if sure.sum() >= LEAST_FEATURES else best[:LEAST_FEATURES][z[best[:LEAST_FEATURES]] > 0])
-
-
-def fitted(pos: np.ndarray, unl: np.ndarray, share: float) -> tuple[np.ndarray, float]:
-    return fit_nnpu(pos, unl, prior_among(pos, unl, share))
+    return np.sort(best[sure] if sure.any() else best[:LEAST_FEATURES][z[best[:LEAST_FEATURES]] > 0])
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> Classifier | None:
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = STEPS) -> Classifier | None:
+    fitted = lambda p, u: fit_nnpu(p, u, prior_among(p, u, prior), steps)
     if not pos or not unl:
         return None
     parts = min(FOLDS, len(pos))
@@ -158,11 +152,11 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> Classifie
     for k in range(parts) if parts > 1 else ():
         a, b = out_fold(pos, k), out_fold(unl, k) or unl
         codes = _features(a, b)
-        w, bias = fitted(_matrix(a, codes), _matrix(b, codes), prior)
+        w, bias = fitted(_matrix(a, codes), _matrix(b, codes))
         p_scores.append(_matrix(in_fold(pos, k), codes) @ w + bias)
         u_scores.append(_matrix(in_fold(unl, k), codes) @ w + bias)
     codes = _features(pos, unl)
-    w, bias = fitted(_matrix(pos, codes), _matrix(unl, codes), prior)
+    w, bias = fitted(_matrix(pos, codes), _matrix(unl, codes))
     shift = best_cut(np.concatenate(p_scores), np.concatenate(u_scores), prior_among(_matrix(pos, codes), _matrix(unl, codes), prior)) if p_scores else 0.0
     return Classifier(codes, w, bias, shift, 1.0)
 
@@ -202,8 +196,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, positives: in
     prior = marked.agg(F.avg("toxic")).first()[0]
     if not prior:
         return None
-    toxic = open_docs.select("doc_id").join(marked.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    return fit(_sampled(open_docs, toxic, positives), _sampled(open_docs, open_docs, unlabelled), min(prior, 0.95))
+    ids = lambda rows: open_docs.select("doc_id").join(rows.select("doc_id"), "doc_id", "left_semi")
+    return fit(_sampled(open_docs, ids(marked.filter("toxic = 1")), positives), _sampled(open_docs, ids(marked) if prior < 1 else open_docs, unlabelled), min(prior, 0.95))
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model: Classifier | None) -> Iterator[pa.RecordBatch]:
