@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import exact_dedup, language, packing, secrets, simhash
-from trackloom.llm._common import stored
+from trackloom.llm._common import forget, stored
 
 KEY, ID = "_text_key", "_kept_id"
+LEAST_SHARE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter have no language, and go."""
-    return language.keep_known(spark, docs)
+    """Documents go that have no letter, or whose words tell no language from the
+    others: the best one's share is under ``LEAST_SHARE``. Where no document says its
+    language there is nothing to learn from, and only those without a letter go."""
+    return language.keep_known(spark, docs, LEAST_SHARE)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,10 +82,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again; what the next one has read is deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(spark, docs, name)
+            if before is not None:
+                forget(spark, before)
+            before = docs
     return docs

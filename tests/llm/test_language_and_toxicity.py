@@ -2,6 +2,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 from conftest import DATA
@@ -36,10 +37,13 @@ def brute_languages(rows, parts=4, held=2):
                 for g in language.grams_of(w, k):
                     grams[k][lang][g] += n
 
+    sums = {id(t): [sum(t[x].values()) for x in langs] for t in (words, *grams[1:])}
+
     def excess(tables, w):
-        total = [sum(tables[x].values()) for x in langs]
+        total = sums[id(tables)]
         return np.array([np.log1p(tables[x][w] * (max(total) + language.DAMP) / language.SMOOTH / (t + language.DAMP)) for x, t in zip(langs, total, strict=True)])
 
+    @lru_cache(None)
     def of_word(w):
         if any(w in words[x] for x in langs):
             return excess(words, w)

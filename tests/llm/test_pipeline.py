@@ -3,6 +3,7 @@ import re
 import public_tokenizers
 from conftest import DATA
 from test_bpe_and_packing import check_packing
+from test_language_and_toxicity import brute_languages
 from test_secrets_and_html import brute as brute_spans
 from test_simhash import brute_components, brute_print
 from tokenizers import Tokenizer
@@ -13,7 +14,8 @@ from trackloom.llm import secrets
 
 def brute_stages(docs):
     """The documents after each filtering stage, by plain loops."""
-    docs = [r for r in docs if re.search(r"[^\W\d_]", r["text"] or "")]
+    found = brute_languages([(r["doc_id"], r["text"], r["lang"]) for r in docs])
+    docs = [r for r, (lang, score) in zip(docs, found, strict=True) if lang != "und" and score >= 0.5]
     yield docs
     groups = {}
     for r in docs:
@@ -59,6 +61,18 @@ def test_repeated_and_odd_rows(spark):
     assert empty.count() == 0
 
 
+def test_no_languages_long_texts_and_clashing_names(spark):
+    names = ["word", "sums", "slice", "print", "digest", "component_id", "a", "rank"]
+    rows = [(1, "alpha beta gamma", None), (2, "...", None), (3, None, None), (4, "long " * 200_000 + "end", None), (5, "long " * 200_000 + "end", None), (6, "", None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), *("x" for _ in names)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.stored(spark, stage(spark, docs, ""), "t")
+        assert docs.columns[5:] == names
+    assert sorted(r.doc_id for r in docs.collect()) == [1, 4]
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, "").collect()
+    assert {r.doc_id for r in packed} == {1, 4} and sum(r.length for r in packed if r.doc_id == 4) > 200_000
+
+
 def test_mask_of_touching_spans():
     assert secrets.masked("abcdefgh", [(1, 3, "hex"), (2, 5, "assign"), (6, 7, "hex")], "#") == "a#f#h"
 
