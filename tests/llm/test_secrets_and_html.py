@@ -135,3 +135,28 @@ POLISH = "Wczoraj wieczorem nad miastem przeszła gwałtowna burza, która zerwa
 )
 def test_pages_without_an_article_of_their_own(page, want):
     assert html_text.main_text(page) == want
+
+
+JAPANESE = "\u6628\u65e5\u306e\u5915\u65b9\u3001\u753a\u306e\u4e0a\u7a7a\u3067\u6fc0\u3057\u3044\u5d50\u304c\u8d77\u3053\u3063\u305f\u3002"
+SHORT = "A short line."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='content-with-sidebar'><p>{LONG}</p></div>", LONG),
+        (f"<article><p>{LONG}</p><section id='related-work'><h2>Related work</h2><p>{LONG}</p></section><h2 id='social-contract'>Contract</h2><p>{LONG}</p></article>", f"{LONG}\nRelated work\n{LONG}\nContract\n{LONG}"),
+        (f"<article><p>{LONG}</p><p>See <a href=x>the full report of the committee</a>.</p><p>{LONG}</p></article>", f"{LONG}\nSee the full report of the committee.\n{LONG}"),
+        (f"<p>{JAPANESE}</p><p><a href=x>link</a></p>", JAPANESE),
+        (f"<article><p>{LONG}</p></article><article class='comment'><p>{LONG}</p></article>", LONG),
+        (f"<main>Short</main><p>{LONG}</p><p>{LONG}</p>", f"Short\n{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p><p>{SHORT}</p><ul><li><a href=x>Tag one</a></li><li><a href=x>Tag two</a></li></ul><p>Share this</p><ul><li><a href=x>Mail</a></li></ul></article>", f"{LONG}\n{SHORT}"),
+        (f"<div hidden><div><p>{LONG}</p></div></div><p>{LONG}</p><div style='visibility:hidden'>{LONG}</div>", LONG),
+        (f"<div id='sidebarLeft'><p>{LONG}</p></div><div class='article-body'><h3>Head</h3><p>{LONG}</p></div><div class='related-posts'><p>{LONG}</p></div>", f"Head\n{LONG}"),
+        (f"<p>{LONG}</p><p>{SHORT}</p><p>{SHORT}</p><p><a href=x>{LONG}</a></p><p>Back</p><p><a href=x>top</a></p>", f"{LONG}\n{SHORT}"),
+        (f"<table><tr><td>{LONG}</td><td>12</td></tr></table><aside><p>{LONG}</p></aside>", f"{LONG}\n12"),
+        (f"<div class='cookie-notice'>{LONG}</div><div role='main'><p>{LONG}</p><blockquote>{SHORT}</blockquote></div>", f"{LONG}\n{SHORT}"),
+    ],
+)
+def test_layouts(page, want):
+    assert html_text.main_text(page) == want

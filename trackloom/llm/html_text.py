@@ -1,20 +1,22 @@
 """Operator 4: HTML extraction by two-pass block rules.
 
 A page is cut into blocks at block-level tags; what scripts, styles and comments
-hold is no text. Pass one decides what it can: blocks in boilerplate containers
-(by element, role, class or id) and link-heavy blocks are bad; blocks that are
-long enough and rich in stop words are good, as are long ones in scripts that no
-stop word is written in; long blocks without stop words and short ones stay
-undecided. If no block is good, the stop words say nothing of the page's language
-and the long undecided blocks are good. Pass two gives undecided blocks the label
-of their nearest decided neighbours; of two neighbours as near, a good one wins.
-If articles outside boilerplate hold at least as much good text as the rest of
-the page, nothing beside them is main text and what is undecided in them is kept;
-otherwise the page is one region.
+hold is no text. Pass one decides what it can: blocks in boilerplate containers (by
+element, role, or a class or id that names such a part as a whole) are bad, and so
+are blocks of links; blocks that are long enough and rich in stop words are good, as
+are long ones in scripts that no stop word is written in. What is short, has some
+links, or has no stop words stays undecided. If no block is good, the stop words say
+nothing of the page's language and the long undecided blocks are good. Pass two gives
+undecided blocks the label of their nearest decided neighbours; of two neighbours as
+near, and for headings, a good one wins. Boilerplate containers are no neighbours:
+they are cut out. If articles outside boilerplate hold at least as much good text as
+the rest of the page, nothing beside them is main text; otherwise the page is one
+region.
 
 Results for odd rows: a null or empty page, or one without text, gives the
-empty string; unclosed and stray tags are borne; repeated rows are extracted
-each; an empty table gives no rows.
+empty string; unclosed and stray tags are borne; what an element hides, its
+descendants do not show; repeated rows are extracted each; an empty table gives no
+rows. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -42,14 +44,18 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements whose text is not the page's main text.
 BOILER_TAGS = set("nav footer aside form menu dialog button fieldset legend".split())
 BOILER_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-#: Words of class and id names that mark boilerplate, whole or as a name's part.
-BOILER_NAMES = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menus?|sidebars?|side-?bar|widgets?|footer|foot|masthead|header|"
-    r"comments?|commentlist|respond|reply|replies|disqus|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|pager|toolbar|skip|disclaimer|copyright)(?![a-z])"
+#: What class and id names call boilerplate; words that such a name may have beside it and still be one.
+BOILER_NAMES = set(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners nav navbar navigation menu menus sidebar widget widgets footer "
+    "foot masthead header comment comments commentlist respond reply replies disqus cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe "
+    "subscription signup login share sharing sharebar social related recommended recommendations recommend breadcrumb breadcrumbs pagination pager toolbar skip disclaimer copyright teaser teasers".split()
 )
-#: Names of layouts that have such a part beside the text.
-NOT_ITSELF = re.compile(r"(?:has|with|no|without|is|not|layout|page)-")
+BESIDE = set(
+    "site main page top bottom left right primary secondary global blog post posts article articles entry user reader my the app web mobile desktop sticky fixed inner outer small big first last side bar "
+    "box block area wrap wrapper container section list item items panel group row column col card cards content body text link links button buttons icon icons media widget slot unit placeholder header title "
+    "form policy message messages info stories story news more also thread count number meta tools to us and you for in up of".split()
+)
+NAME_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 #: Frequent function words of the large European languages.
 STOP_WORDS = set(
@@ -62,41 +68,54 @@ STOP_WORDS = set(
 WORD = re.compile(r"[^\W\d_]+")
 #: The last of the Latin letters; stop words say nothing of what is written in others.
 LAST_LATIN = "\u024f"
-#: Characters and share of stop words from which a block is good; share of link text from which it is bad.
-LONG, STOP_SHARE, LINK_SHARE = 40, 0.1, 0.5
+#: Characters and share of stop words from which a block is good; shares of link text from which it is undecided and bad.
+LONG, STOP_SHARE, LINKED, LINK_SHARE = 40, 0.1, 0.5, 0.9
+#: A character of scripts without spaces between words says as much as so many others.
+DENSE, DENSE_WEIGHT = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"), 3
+HEADINGS = {f"h{i}" for i in range(1, 7)}
+
+#: CUT: in a boilerplate container.
+GOOD, BAD, OPEN, CUT = 1, -1, 0, -2
+
 
-GOOD, BAD, OPEN = 1, -1, 0
+def names_boilerplate(name: str) -> bool:
+    """Whether a class or id names a part of boilerplate, and nothing else."""
+    parts = [x.lower() for x in NAME_PARTS.findall(name)]
+    return any(x in BOILER_NAMES for x in parts) and all(x in BOILER_NAMES or x in BESIDE for x in parts)
 
 
 def hidden(attrs: str, in_article: bool) -> tuple[bool, bool]:
     """Whether attributes mark boilerplate, and whether they hide the element."""
     boiler = out_of_sight = False
     for name, value in ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
+        name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            boiler |= any(BOILER_NAMES.search(x) and not NOT_ITSELF.match(x) and not (in_article and "header" in x) for x in value.replace("_", "-").split())
+            boiler |= any(names_boilerplate(x) and not (in_article and "header" in x.lower()) for x in value.split())
         elif name == "role":
-            boiler |= value in BOILER_ROLES
+            boiler |= value.lower() in BOILER_ROLES
         elif name == "hidden":
             out_of_sight = True
         elif name == "aria-hidden":
-            out_of_sight |= value == "true"
+            out_of_sight |= value.lower() == "true"
         else:
-            out_of_sight |= "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", "")
+            out_of_sight |= "display:none" in value.lower().replace(" ", "") or "visibility:hidden" in value.lower().replace(" ", "")
     return boiler, out_of_sight
 
 
 class Block:
-    __slots__ = ("in_article", "label", "linked", "text")
+    __slots__ = ("heading", "in_article", "label", "linked", "text")
 
-    def __init__(self, text: str, linked: int, boiler: bool, in_article: bool):
-        self.text, self.linked, self.in_article = text, linked, in_article
-        self.label = BAD if boiler else self._rule()
+    def __init__(self, text: str, linked: int, boiler: bool, in_article: bool, heading: bool = False):
+        self.text, self.linked, self.in_article, self.heading = text, linked, in_article, heading
+        self.label = CUT if boiler else self._rule()
+
+    def long(self) -> bool:
+        return len(self.text) + (DENSE_WEIGHT - 1) * len(DENSE.findall(self.text)) >= LONG
 
     def _rule(self) -> int:
         if self.linked >= LINK_SHARE * len(self.text):
             return BAD
-        if len(self.text) < LONG:
+        if not self.long() or self.linked >= LINKED * len(self.text):
             return OPEN
         words = WORD.findall(self.text.lower())
         if words and sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words):
@@ -116,7 +135,7 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
         text = " ".join("".join(parts).split())
         if text:
             top = stack[-1] if stack else ("", False, False)
-            found.append(Block(text, linked, top[1], top[2]))
+            found.append(Block(text, linked, top[1], top[2], any(x[0] in HEADINGS for x in stack[-3:])))
         parts.clear()
         linked = 0
 
@@ -157,11 +176,11 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
             _, boiler, article = stack[-1] if stack else ("", False, False)
-            if tag in ("article", "main") and not boiler:
-                article = has_article = True
             boiler = boiler or tag in BOILER_TAGS or (tag == "header" and not article)
-            if len(m["attrs"]) > 1 and tag not in ("html", "body", "article", "main"):
+            if len(m["attrs"]) > 1 and tag not in ("html", "body", "main"):
                 boiler = boiler or any(hidden(m["attrs"], article))
+            if tag in ("article", "main") and not boiler:
+                article = has_article = True
             stack.append((tag, boiler, article))
     if at < len(page):
         add(page[at:])
@@ -173,17 +192,16 @@ def settle(blocks: list[Block], has_article: bool) -> None:
     """Pass two: undecided blocks take the label of their nearest decided neighbours in their region."""
     if not any(b.label == GOOD for b in blocks):
         for b in blocks:
-            if b.label == OPEN and len(b.text) >= LONG and WORD.search(b.text):
+            if b.label == OPEN and b.long() and WORD.search(b.text) and b.linked < LINKED * len(b.text):
                 b.label = GOOD
     good = {region: sum(len(b.text) for b in blocks if b.label == GOOD and b.in_article == region) for region in (True, False)}
-    gated = has_article and good[True] >= good[False] and any(b.in_article and b.label != BAD for b in blocks)
-    own = [b for b in blocks if b.in_article or not gated]
-    if gated:  # beside the article nothing is main text
+    if has_article and good[True] >= good[False] and any(b.in_article and b.label not in (BAD, CUT) for b in blocks):
         for b in blocks:
-            if not b.in_article:
-                b.label = BAD
+            if not b.in_article:  # beside the article nothing is main text
+                b.label = CUT
+    own = [b for b in blocks if b.label != CUT]
     labels = [b.label for b in own]
-    decided = [i for i, x in enumerate(labels) if x != OPEN and not (gated and x == BAD)]
+    decided = [i for i, x in enumerate(labels) if x != OPEN]
     k = 0
     for i, b in enumerate(own):
         if labels[i] != OPEN:
@@ -191,7 +209,10 @@ def settle(blocks: list[Block], has_article: bool) -> None:
         while k < len(decided) and decided[k] < i:
             k += 1
         near = [(abs(decided[j] - i), -labels[decided[j]]) for j in (k - 1, k) if 0 <= j < len(decided)]
-        b.label = -min(near)[1] if near else GOOD
+        if b.heading and any(x == -GOOD for _, x in near):
+            b.label = GOOD
+        else:
+            b.label = -min(near)[1] if near else GOOD
 
 
 def main_text(page: str) -> str:
