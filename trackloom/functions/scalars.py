@@ -21,9 +21,33 @@ def sigmoid(x: Column, alpha: float = 1.0) -> Column:
 
 
 def scale_sigmoid(x: Column, alpha: float = 1.0, x0: float = 10.0) -> Column:
-    """Sigmoid rescaled to run from 0 to 1 over [-x0, x0]."""
+    """Sigmoid over [-x0, x0], rescaled so that 0 to 1 goes to 0 to 1."""
     t0, t1 = sigmoid(F.lit(-x0), alpha), sigmoid(F.lit(x0), alpha)
-    return (sigmoid(x, alpha) - t0) / (t1 - t0)
+    return (sigmoid(2 * x0 * x - x0, alpha) - t0) / (t1 - t0)
+
+
+def linear_root(a: Column, b: Column) -> Column:
+    """Root of a x + b, null where a is zero."""
+    return -b / F.nullif(a, F.lit(0.0))
+
+
+def quadratic_roots(a: Column, b: Column, c: Column) -> tuple[Column, Column, Column]:
+    """Real parts and the imaginary part of the roots of a x^2 + b x + c (a not zero),
+    by the sum that loses no digits."""
+    d = b * b - 4 * a * c
+    q = -0.5 * (b + F.when(b < 0, -1.0).otherwise(1.0) * F.sqrt(F.greatest(d, F.lit(0.0))))
+    one, two = q / F.nullif(a, F.lit(0.0)), F.when(q == 0, 0.0).otherwise(c / F.nullif(q, F.lit(0.0)))
+    middle = -b / F.nullif(2 * a, F.lit(0.0))
+    real = lambda x: F.when(d < 0, middle).otherwise(x)
+    return real(F.least(one, two)), real(F.greatest(one, two)), F.when(d < 0, F.sqrt(F.abs(d)) / F.abs(F.nullif(2 * a, F.lit(0.0)))).otherwise(0.0)
+
+
+def doubles_to_csv(values: Column) -> Column:
+    return F.array_join(F.transform(values, lambda x: x.cast("string")), ", ")
+
+
+def is_infinite(x: Column) -> Column:
+    return F.abs(x) == float("inf")
 
 
 def saturating_cast(x: Column, kind: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.functions.geometry import pair_id, ray_angle
+from trackloom.functions.geometry import EPS, minus, norm, pair_id, ray_angle
 from trackloom.functions.scalars import at_fraction, nearest_rank
 
 
@@ -169,3 +169,26 @@ def bilinear(x: Column, y: Column) -> tuple[Column, ...]:
     x0, y0 = F.floor(x), F.floor(y)
     fx, fy = x - x0, y - y0
     return x0, y0, (1 - fx) * (1 - fy), fx * (1 - fy), (1 - fx) * fy, fx * fy
+
+
+def cheirality(observed: DataFrame, reach: float = 1000.0) -> DataFrame:
+    """Baseline of each image pair, and how many shared points lie in front of both within ``reach`` baselines."""
+    both = co_observations(observed, "ox", "oy", "oz", "depth")
+    base = norm(minus(tuple(F.col(c) for c in ("ox1", "oy1", "oz1")), tuple(F.col(c) for c in ("ox2", "oy2", "oz2"))))
+    ahead = lambda c: (F.col(c) > EPS) & (F.col(c) < reach * F.col("base"))
+    rows = both.withColumn("base", base)
+    return rows.groupBy("image_id1", "image_id2").agg(F.max("base").alias("baseline"), F.count_if(ahead("depth1") & ahead("depth2")).alias("in_front"))
+
+
+def normalized_points(points: DataFrame, centers: DataFrame, extent: float) -> DataFrame:
+    """Points scaled so that the box of the centers has an extent, about the centers' mean."""
+    box = centers.agg(*(f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max), ("mid", F.avg))))
+    size = F.sqrt(sum(((F.col(f"hi{c}") - F.col(f"lo{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    scale = F.when(size < EPS, 1.0).otherwise(extent / F.nullif(size, F.lit(0.0)))
+    return points.join(F.broadcast(box)).select("point3d_id", *(((F.col(c) - F.col(f"mid{c}")) * scale).alias(c) for c in "xyz"))
+
+
+def rescaled_keypoints(keypoints: DataFrame, sx: float, sy: float) -> DataFrame:
+    """Keypoints of an image that is stretched by sx and sy."""
+    by = {"x": sx, "y": sy, "a11": sx, "a12": sy, "a21": sx, "a22": sy}
+    return keypoints.withColumns({c: F.col(c) * s for c, s in by.items() if c in keypoints.columns})

@@ -158,16 +158,6 @@ def l04_footprint(spark, d):
     return view(spark, d, "observed").filter("depth >= 0.5").select("point3d_id", "image_id", F.round(half).cast("int").alias("half"))
 
 
-@query(
-    """WITH o AS (SELECT image_id, lat, lon, row_number() OVER (ORDER BY image_id) AS k FROM images) SELECT image_id, round(lat, 6) AS lat, k = 1 AS first FROM o""", "images"
-)
-def f60_first_reference(spark, d):
-    """ENU is relative to the first row, whatever the given latitude and longitude."""
-    first = Window.orderBy("image_id")
-    rows = located(spark, d).withColumn("k", F.row_number().over(first))
-    return rows.select("image_id", F.round("lat", 6).alias("lat"), (F.col("k") == 1).alias("first"))
-
-
 @query(
     """SELECT point3d_id, image_id, round(acos(least(1e0, depth/sqrt(px*px+py*py+depth*depth))), 6) AS angle, depth >= 2.220446049250313e-16 AS front FROM observed WHERE depth > 0""", "observed"
 )

@@ -91,9 +91,8 @@ def f56_distortion(spark, d):
 @query("SELECT point3d_id, round(2*(x*0.6e0-y*0.8e0)+1, 6)+0e0 AS x, round(2*(x*0.8e0+y*0.6e0)-3, 6)+0e0 AS y, round(2*z+5, 6) AS z FROM points3d", "points3d")
 def f61_similarity(spark, d):
     """A similarity transform of scale 2, a rotation about z and a translation."""
-    x, y, z = cols("x", "y", "z")
-    moved = {"x": 2 * (x * 0.6 - y * 0.8) + 1, "y": 2 * (x * 0.8 + y * 0.6) - 3, "z": 2 * z + 5}
-    return view(spark, d, "points3d").select("point3d_id", *((F.round(v, 6) + 0.0).alias(n) for n, v in moved.items()))
+    moved = geo.Similarity(2.0, (0.8**0.5, 0.0, 0.0, 0.2**0.5), (1.0, -3.0, 5.0)).point(cols("x", "y", "z"))
+    return view(spark, d, "points3d").select("point3d_id", *((F.round(v, 6) + 0.0).alias(n) for n, v in zip("xyz", moved, strict=True)))
 
 
 @query("SELECT lidar_id, round(-(nx*x+ny*y+nz*z), 6)+0e0 AS d, round(sqrt(x*x+y*y+z*z), 6) AS range FROM lidar", "lidar")
