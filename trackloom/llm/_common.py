@@ -6,6 +6,9 @@ pass over each partition and nothing kept but bounded caches.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,8 +68,17 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def trim() -> None:
+    """Give back to the system what earlier tasks of this worker have left behind."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, without copying."""
+    trim()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -74,6 +86,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches of about ``most`` bytes of text at most; one longer text stands alone."""
+    trim()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -98,6 +111,7 @@ def utf8_of(column: pa.Array) -> list[bytes]:
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Array]]:
     """Columns of sorted rows, cut so that no group of the first ``keys`` columns is split."""
+    trim()
     kept: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
