@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import EPS, minus, norm, pair_id, ray_angle
 from trackloom.functions.scalars import at_fraction, nearest_rank
+from trackloom.operators.ranks import element, percentile, ranked
 
 
 def co_observations(tracks: DataFrame, *columns: str) -> DataFrame:
@@ -50,18 +51,15 @@ def model_report(images: DataFrame, cameras: DataFrame, points: DataFrame, track
 def trimmed_bounds(points: DataFrame, p0: float, p1: float) -> DataFrame:
     """Per axis: bounds and mean of the float32 coordinates between two ranks.
 
-    Ranks come from counts of distinct values, so no axis is sorted in one task.
+    Ranks come from counts by ranges of values, so no axis is sorted in one task.
     """
     long = points.select(F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).cast("float").alias("value")) for a in "xyz"))).alias("e")).select("e.*")
-    counts = long.groupBy("axis", "value").agg(F.count("*").alias("n"))
-    total = counts.groupBy("axis").agg(F.sum("n").alias("total"))
-    order = Window.partitionBy("axis").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("last", F.sum("n").over(order) - 1).withColumn("first", F.col("last") - F.col("n") + 1).join(F.broadcast(total), "axis")
+    rows = ranked(long, "value", "axis").withColumn("last", F.col("upto") - 1).withColumn("first", F.col("upto") - F.col("n"))
     small = F.col("total") <= 3
     low = F.when(small, 0).otherwise(F.floor((F.col("total") - 1) * F.lit(p0)))
     high = F.when(small, F.col("total") - 1).otherwise(F.floor((F.col("total") - 1) * F.lit(p1)))
-    inside = ranked.withColumn("kept", F.least("last", high) - F.greatest("first", low) + 1).filter("kept > 0")
-    value = F.col("value").cast("double")
+    inside = rows.withColumn("kept", F.least("last", high) - F.greatest("first", low) + 1).filter("kept > 0")
+    value = F.col("v").cast("double")
     return inside.groupBy("axis").agg(F.min(value).alias("lo"), F.max(value).alias("hi"), (F.sum(value * F.col("kept")) / F.sum("kept")).alias("centroid"))
 
 
@@ -97,15 +95,11 @@ def merged_points(points: DataFrame, tracks: DataFrame, partners: DataFrame) ->
 def error_stats(values: DataFrame, column: str) -> DataFrame:
     """Extremes, mean, median and the elements at int(0.9 n) and int(0.99 n).
 
-    The elements come from counts of distinct values, not from one sorted list.
+    The elements come from counts by ranges of values, not from one sorted list.
     """
-    counts = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(order)).join(F.broadcast(total))
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("total") * F.lit(q)), F.col("v")))
-    half = (F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) / 2), F.col("v"))) + F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("v")))) / 2
-    return ranked.agg(F.min("v").alias("min"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), half.alias("median"), at(0.9).alias("p90"), at(0.99).alias("p99"))
+    rows = ranked(values, column)
+    half = (element(F.floor((F.col("total") - 1) / 2)) + element(F.floor(F.col("total") / 2))) / 2
+    return rows.agg(F.min("v").alias("min"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), half.alias("median"), element(F.floor(F.col("total") * F.lit(0.9))).alias("p90"), element(F.floor(F.col("total") * F.lit(0.99))).alias("p99"))
 
 
 def telemetry(rows: DataFrame, kind: str, value: str) -> DataFrame:
@@ -114,18 +108,19 @@ def telemetry(rows: DataFrame, kind: str, value: str) -> DataFrame:
 
 def stage_profile(rows: DataFrame) -> DataFrame:
     """stage, value: calls, sum, interpolated percentiles, largest, calls without yield."""
-    return rows.groupBy("stage").agg(
-        F.count("*").alias("calls"), F.sum("value").alias("wall"), F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95"),
-        F.max("value").alias("longest"), F.count_if(F.col("value") == 0).alias("zero_yield"),
-    )
+    sums = rows.groupBy("stage").agg(F.count("*").alias("calls"), F.sum("value").alias("wall"), F.max("value").alias("longest"), F.count_if(F.col("value") == 0).alias("zero_yield"))
+    middle = percentile(ranked(rows, "value", "stage"), {"p50": 0.5, "p95": 0.95}, "stage")
+    return sums.join(middle, "stage", "left").select("stage", "calls", "wall", "p50", "p95", "longest", "zero_yield")
 
 
 def paired_gate(pairs: DataFrame) -> DataFrame:
     """Paired benchmark gate: median log ratio against 1.4826 MAD, and how many pairs are faster."""
     logs = pairs.select(F.log(F.col("b") / F.col("a")).alias("r"))
-    mid = logs.agg(F.median("r").alias("signal"), F.count_if(F.col("r") < 0).alias("faster"), F.count("*").alias("pairs"))
-    noise = logs.join(F.broadcast(mid)).agg((F.median(F.abs(F.col("r") - F.col("signal"))) * 1.4826).alias("noise"))
-    return mid.join(noise).withColumn("passed", (-F.col("signal") > F.col("noise")) & (F.col("faster") * 6 >= F.col("pairs") * 5))
+    counts = logs.agg(F.count_if(F.col("r") < 0).alias("faster"), F.count("*").alias("pairs"))
+    signal = percentile(ranked(logs, "r"), {"signal": 0.5})
+    off = logs.join(F.broadcast(signal)).select(F.abs(F.col("r") - F.col("signal")).alias("off"))
+    noise = percentile(ranked(off, "off"), {"mad": 0.5}).select((F.col("mad") * 1.4826).alias("noise"))
+    return signal.join(counts).join(noise).select("signal", "faster", "pairs", "noise").withColumn("passed", (-F.col("signal") > F.col("noise")) & (F.col("faster") * 6 >= F.col("pairs") * 5))
 
 
 def voxels(points: DataFrame, leaf: float, columns: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -160,7 +155,7 @@ def word_idf(documents: DataFrame) -> DataFrame:
     """word, df, idf over lower-case tokens of whole texts."""
     words = documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-zà-ÿ]+"))).alias("word")).filter("word <> ''")
     total = documents.agg(F.count_distinct("doc_id").alias("n"))
-    df = words.groupBy("word").agg(F.count_distinct("doc_id").alias("df"))
+    df = words.groupBy("word").agg(F.count("*").alias("df"))  # a document's words are distinct
     return df.join(F.broadcast(total)).select("word", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 

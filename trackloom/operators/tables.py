@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import pair_id
+from trackloom.operators.ranks import numbered
 
 
 def with_rows(pairs: DataFrame) -> DataFrame:
@@ -33,9 +34,8 @@ def oriented(matches: DataFrame, first: Column, second: Column) -> DataFrame:
 def append_rows(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Insert with generated ids after the present greatest one."""
     last = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))
-    order = Window.orderBy(*new.columns)
-    numbered = new.withColumn("_n", F.row_number().over(order)).join(F.broadcast(last)).withColumn(key, F.col("_last") + F.col("_n"))
-    return table.unionByName(numbered.select(table.columns))
+    rows = numbered(new, *new.columns).join(F.broadcast(last)).withColumn(key, F.col("_last") + F.col("_n"))
+    return table.unionByName(rows.select(table.columns))
 
 
 def update_rows(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -50,13 +50,63 @@ def delete_rows(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def cleared(table: DataFrame) -> DataFrame:
-    return table.limit(0)
+    return table.filter(F.lit(False))
+
+
+#: Tables whose rows go with those of another.
+CASCADE = {"images": ("keypoints", "descriptors"), "cameras": ()}
+
+
+def clear(database: dict[str, DataFrame], *names: str) -> dict[str, DataFrame]:
+    """A database whose named tables, and those that hang on them, are empty."""
+    gone = {x for n in names for x in (n, *CASCADE.get(n, ()))}
+    return {n: cleared(t) if n in gone else t for n, t in database.items()}
+
+
+def flagged(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Each key, with whether the table has it."""
+    have = table.select(key).distinct().withColumn("_known", F.lit(True))
+    return keys.join(have, key, "left").select(key, F.coalesce("_known", F.lit(False)).alias("known"))
+
+
+def where_equal(table: DataFrame, column: str, value) -> DataFrame:
+    return table.filter(F.col(column) == F.lit(value))
+
+
+def with_cameras(images: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Images with the intrinsics of their camera."""
+    return images.join(cameras, "camera_id")
+
+
+def append_matches(matches: DataFrame, new: DataFrame) -> DataFrame:
+    """Matches with those of new pairs, smaller image first; pairs that are there are left as they are."""
+    turned = F.col("image_id1") > F.col("image_id2")
+    pick = lambda a, b, name: F.when(turned, F.col(b)).otherwise(F.col(a)).alias(name)
+    right = new.filter("image_id1 <> image_id2").select(pick("image_id1", "image_id2", "image_id1"), pick("image_id2", "image_id1", "image_id2"), pick("idx1", "idx2", "idx1"), pick("idx2", "idx1", "idx2"))
+    have = matches.select("image_id1", "image_id2").distinct()
+    return matches.unionByName(right.join(have, ["image_id1", "image_id2"], "left_anti").distinct())
+
+
+def migrated(table: DataFrame, schema) -> DataFrame:
+    """A table in another schema: columns it lacks are null, others are left out."""
+    return table.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in table.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields))
+
+
+def split_cameras(images: DataFrame, cameras: DataFrame, chosen: Column) -> tuple[DataFrame, DataFrame]:
+    """Every chosen image gets a copy of its camera under a new id."""
+    last = cameras.agg(F.coalesce(F.max("camera_id"), F.lit(0)).alias("_last"))
+    picked = numbered(images.filter(chosen).select("image_id", F.col("camera_id").alias("_old")), "image_id").join(F.broadcast(last))
+    new = picked.select("image_id", "_old", (F.col("_last") + F.col("_n")).alias("_new"))
+    out = images.join(new.select("image_id", "_new"), "image_id", "left")
+    kept = out.select(*(F.coalesce("_new", "camera_id").alias("camera_id") if c == "camera_id" else F.col(c) for c in images.columns))
+    copies = cameras.join(new.select(F.col("_old").alias("camera_id"), "_new"), "camera_id").withColumn("camera_id", F.col("_new")).drop("_new")
+    return kept, cameras.unionByName(copies.select(cameras.columns))
 
 
 def merged_ids(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """source, old id, new id: both inputs re-keyed from 1, the first before the second."""
     both = first.select(F.lit(1).alias("source"), F.col(key).alias("old_id"), "name").union(second.select(F.lit(2), key, "name"))
-    return both.withColumn("new_id", F.row_number().over(Window.orderBy("source", "old_id")))
+    return numbered(both, "source", "old_id").withColumnRenamed("_n", "new_id")
 
 
 def clashing_names(first: DataFrame, second: DataFrame) -> DataFrame:

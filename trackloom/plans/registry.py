@@ -676,6 +676,6 @@ def f75_hamming(spark, d):
     return rounded(spark.range(65).select(F.col("id").alias("h"), geo.hamming_weight(F.col("id").cast("double")).alias("weight")))
 
 
-from trackloom.plans import commands, estimation, mapping, poses, records, scalars  # noqa: E402, F401  they register their queries
+from trackloom.plans import commands, estimation, mapping, model_io, poses, records, scalars  # noqa: E402, F401  they register their queries
 
 __all__ = ["ORACLES", "QUERIES"]
