@@ -76,3 +76,31 @@ def lidar_outliers(associations: DataFrame, points: DataFrame, projection: float
     found = associations.join(points.select("point3d_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz")), "point3d_id")
     d = F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 + (F.col("z") - F.col("pz")) ** 2)
     return found.filter(d <= F.when(F.col("type") == "Proj", projection).otherwise(icp)).drop("px", "py", "pz")
+
+
+def combined_filter(observed: DataFrame, most: float, least_degrees: float) -> DataFrame:
+    """Reprojection, then the angle of what is left, then depth: the observations that stay.
+
+    observed: point3d_id, image_id, e2 (squared error), depth, the camera centre (ox, oy, oz) and the point (x, y, z)."""
+    near = observed.filter(F.col("e2") <= most * most)
+    enough = near.groupBy("point3d_id").count().filter("count >= 2").select("point3d_id")
+    kept = near.join(enough, "point3d_id", "left_semi")
+    wide = angle_filter(kept, least_degrees).filter("keep").select("point3d_id")
+    return kept.join(wide, "point3d_id", "left_semi").filter(F.col("depth") >= 2.220446049250313e-16)
+
+
+def seen_in(observed: DataFrame, images: DataFrame) -> DataFrame:
+    """All observations of the points that some of the images see."""
+    points = observed.join(images.select("image_id"), "image_id", "left_semi").select("point3d_id").distinct()
+    return observed.join(points, "point3d_id", "left_semi")
+
+
+def enough_inliers(pairs: DataFrame, least: int) -> DataFrame:
+    """Pairs with too few inliers are kept as empty markers."""
+    return pairs.withColumn("n_rows", F.when(F.col("n_rows") < least, 0).otherwise(F.col("n_rows")))
+
+
+def consistent_pixels(pairs: DataFrame, depth_error: float, pixel_error: float, cosine: float) -> DataFrame:
+    """Pixel pairs whose depths, places and normals agree. pairs: depth1, depth2, e2, cosine."""
+    near = F.abs(F.col("depth1") - F.col("depth2")) <= depth_error * F.col("depth1")
+    return pairs.filter(near & (F.col("e2") <= pixel_error * pixel_error) & (F.col("cosine") >= cosine))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.ranks import numbered
+
 
 def read_since(journal: DataFrame, cursors: DataFrame, cap: int) -> DataFrame:
     """For each cursor: whether a gap forces a rebuild, and how many batches follow it.
@@ -34,3 +36,25 @@ def compare_points(a: DataFrame, b: DataFrame) -> DataFrame:
     other = b.select("point3d_id", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
     d = F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2 + (F.col("z") - F.col("bz")) ** 2)
     return a.select("point3d_id", "x", "y", "z").join(other, "point3d_id", "full").select("point3d_id", d.alias("distance"))
+
+
+def publish(changes: DataFrame, cap: int) -> DataFrame:
+    """Revisions of a journal: the changes of one batch are one revision, aborted batches are none, and
+    only the last ``cap`` revisions are kept.
+
+    changes: at (order), batch, aborted, suppressed (nested changes that a composite one stands for), kind, entity."""
+    batches = changes.groupBy("batch").agg(F.min("at").alias("at"), F.bool_or("aborted").alias("gone")).filter("NOT gone")
+    revisions = batches.withColumn("revision", F.row_number().over(Window.orderBy("at")))
+    newest = revisions.agg(F.max("revision").alias("newest"))
+    kept = revisions.join(F.broadcast(newest)).filter(F.col("revision") > F.col("newest") - cap)
+    return changes.filter("NOT suppressed").join(kept.select("batch", "revision"), "batch").select("revision", "kind", "entity")
+
+
+def active_solve(images: DataFrame, observations: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Residuals of a solve: observations in registered images, numbered from 0 by point and image, with
+    whether their pose and point may move. observations: point3d_id, image_id, idx; fixed: image_id."""
+    seen = observations.join(images.filter("registered").select("image_id"), "image_id", "left_semi")
+    lengths = seen.groupBy("point3d_id").agg(F.count("*").alias("n"))
+    rows = seen.join(fixed.select("image_id", F.lit(True).alias("held")), "image_id", "left").join(lengths, "point3d_id")
+    ready = rows.select("point3d_id", "image_id", "idx", F.col("held").isNull().alias("pose_moves"), (F.col("n") >= 2).alias("point_moves"))
+    return numbered(ready, "point3d_id", "image_id", "idx").withColumn("residual", F.col("_n") - 1).drop("_n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.functions.geometry import is_ground
+from trackloom.functions.geometry import frustum_corners, is_ground, plane_through
 from trackloom.operators.rounds import cut
 
 
@@ -68,3 +68,45 @@ def depth_image(projected: DataFrame) -> DataFrame:
     """Least depth of each pixel, in gray levels over 40 m."""
     near = projected.filter("depth > 0").groupBy("image_id", F.round("u").cast("int").alias("pu"), F.round("v").cast("int").alias("pv")).agg(F.min("depth").alias("depth"))
     return near.withColumn("gray", F.least(F.lit(255), F.floor(F.col("depth") * 255 / 40)).cast("int"))
+
+
+def prepared(cloud: DataFrame, length: float = 1.0) -> DataFrame:
+    """A scan made ready for projection: axes turned, NaN points gone, with the cell of each point."""
+    turned = swapped_axes(cloud)
+    return turned.select("*", *(F.round(F.col(c) / length).cast("long").alias(f"k{c}") for c in "xyz"))
+
+
+def view_planes(images: DataFrame, reach: float) -> DataFrame:
+    """The planes that bound each image's view (inside where a x + b y + c z + d <= 0), and its box.
+    images: image_id, the pose, f, cx, cy, width, height."""
+    q, t = tuple(F.col(c) for c in ("qw", "qx", "qy", "qz")), tuple(F.col(c) for c in ("tx", "ty", "tz"))
+    centre, *corners = frustum_corners(q, t, F.col("f"), F.col("cx"), F.col("cy"), F.col("width"), F.col("height"), reach)
+    sides = [plane_through(centre, corners[(k + 1) % 4], corners[k]) for k in range(4)]
+    planes = F.array(*(F.struct(*(p[i].alias(n) for i, n in enumerate("abcd"))) for p in [*sides, plane_through(corners[0], corners[1], corners[2])]))
+    box = [f(*(p[i] for p in (centre, *corners))).alias(f"{n}{x}") for i, x in enumerate("xyz") for n, f in (("lo", F.least), ("hi", F.greatest))]
+    inner = tuple(sum((p[i] for p in corners), centre[i] * 4) / 8 for i in range(3))  # a point inside tells the planes' sides
+    side = lambda p: p["a"] * inner[0] + p["b"] * inner[1] + p["c"] * inner[2] + p["d"]
+    turned = F.transform(planes, lambda p: F.when(side(p) > 0, F.struct((-p["a"]).alias("a"), (-p["b"]).alias("b"), (-p["c"]).alias("c"), (-p["d"]).alias("d"))).otherwise(p))
+    return images.select("image_id", F.explode(turned).alias("p"), *box).select("image_id", "p.*", *(f"{n}{x}" for x in "xyz" for n in ("lo", "hi")))
+
+
+def pixel_associations(features: DataFrame, buffer: DataFrame) -> DataFrame:
+    """What the nearest LiDAR point of a feature's pixel is; of features in one pixel the first counts.
+    features: image_id, idx, point3d_id, pu, pv; buffer: image_id, pu, pv, id, depth."""
+    first = features.groupBy("image_id", "pu", "pv").agg(F.min(F.struct("idx", "point3d_id")).alias("m"))
+    return first.join(buffer, ["image_id", "pu", "pv"]).select("image_id", "m.idx", "m.point3d_id", F.col("id").alias("lidar_id"), "depth")
+
+
+def images_to_project(tracks: DataFrame, pairs: DataFrame, image: int, least: int) -> DataFrame:
+    """The images that see points of a new image, and share enough correspondences with it or have no count."""
+    own = tracks.filter(F.col("image_id") == image).select("point3d_id")
+    others = tracks.filter(F.col("image_id") != image).join(own, "point3d_id", "left_semi").select("image_id").distinct()
+    known = pairs.filter((F.col("image_id1") == image) | (F.col("image_id2") == image)).select(F.when(F.col("image_id1") == image, F.col("image_id2")).otherwise(F.col("image_id1")).alias("image_id"), "n_rows")
+    return others.join(known, "image_id", "left").filter(F.col("n_rows").isNull() | (F.col("n_rows") > least)).select("image_id")
+
+
+def global_associations(points: DataFrame, variable: DataFrame, lidar: DataFrame, high: float, low: float, drop: float) -> DataFrame:
+    """Nearest matches of the points that a global adjustment moves, and each one's count of rounds after it."""
+    own = points.join(variable.select("point3d_id"), "point3d_id", "left_semi")
+    found = closest_matches(own, lidar, high, low, drop)
+    return found.join(own.select("point3d_id", (F.col("global_opt_num") + 1).alias("rounds")), "point3d_id")

@@ -18,7 +18,11 @@ def best_matches(a: DataFrame, b: DataFrame, ratio: float = 0.8, most: float = 0
     """
     x = a.select("pair", F.col("idx").alias("idx1"), F.col("descriptor").alias("d1"))
     y = b.select("pair", F.col("idx").alias("idx2"), F.col("descriptor").alias("d2"))
-    scored = x.join(y, "pair").withColumn("dot", dot_arrays(F.col("d1"), F.col("d2"))).filter("dot > 0")
+    return _best_of(x.join(y, "pair").withColumn("dot", dot_arrays(F.col("d1"), F.col("d2"))).filter("dot > 0"), ratio, most)
+
+
+def _best_of(scored: DataFrame, ratio: float, most: float) -> DataFrame:
+    """The best of the scored candidates (pair, idx1, idx2, dot) of each feature."""
     order = Window.partitionBy("pair", "idx1").orderBy(F.desc("dot"), "idx2")
     top = scored.withColumn("rn", F.row_number().over(order)).filter("rn <= 2")
     both = top.groupBy("pair", "idx1").agg(
@@ -77,3 +81,93 @@ def image_scores(queries: DataFrame, postings: DataFrame, weights: DataFrame, no
 def top_images(scores: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_image").orderBy(F.desc("score"), "image_id")
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def guided_matches(a: DataFrame, b: DataFrame, residual: Column, most: float, ratio: float = 0.8, angle: float = 0.7) -> DataFrame:
+    """Best matches among the candidates that a geometry allows: ``residual`` (squared) of x1, y1, x2, y2."""
+    x = a.select("pair", F.col("idx").alias("idx1"), F.col("descriptor").alias("d1"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    y = b.select("pair", F.col("idx").alias("idx2"), F.col("descriptor").alias("d2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    allowed = guided(x.join(y, "pair"), residual, most)
+    return _best_of(allowed.withColumn("dot", dot_arrays(F.col("d1"), F.col("d2"))).filter("dot > 0"), ratio, angle)
+
+
+def approximate_matches(a: DataFrame, b: DataFrame, ratio: float = 0.8, angle: float = 0.7, bands: int = 16) -> DataFrame:
+    """Best matches among candidates that agree in the signs of some run of values; scored exactly."""
+    def banded(side: DataFrame, k: int) -> DataFrame:
+        bits = F.transform("descriptor", lambda v: F.when(v > 0, "1").otherwise("0"))
+        size = F.ceil(F.size("descriptor") / bands).cast("int")
+        keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.concat_ws("", i.cast("string"), F.lit(":"), F.array_join(F.slice(bits, i * size + 1, size), "")))
+        return side.select("pair", F.col("idx").alias(f"idx{k}"), F.explode(keys).alias("key"))
+
+    near = banded(a, 1).join(banded(b, 2), ["pair", "key"]).select("pair", "idx1", "idx2").distinct()
+    x = a.select("pair", F.col("idx").alias("idx1"), F.col("descriptor").alias("d1"))
+    y = b.select("pair", F.col("idx").alias("idx2"), F.col("descriptor").alias("d2"))
+    return _best_of(near.join(x, ["pair", "idx1"]).join(y, ["pair", "idx2"]).withColumn("dot", dot_arrays(F.col("d1"), F.col("d2"))).filter("dot > 0"), ratio, angle)
+
+
+def added_images(index: DataFrame, postings: DataFrame) -> DataFrame:
+    """An index with the postings of the images that it lacks."""
+    return index.unionByName(postings.join(index.select("image_id").distinct(), "image_id", "left_anti"))
+
+
+def hough_bins(votes: DataFrame, levels: int, top: int) -> DataFrame:
+    """The transformation bins of each pair of images that most matches vote for, on grids that are
+    halved level by level; a vote of level l counts 1 / 2^l. votes: query_image, image_id, bx, by, bs, ba."""
+    axes = ["bx", "by", "bs", "ba"]
+    keys = ["query_image", "image_id"]
+    fine = votes.groupBy(*keys, *axes).agg(F.count("*").alias("n"))
+    score = None
+    for level in range(levels):
+        coarse = [F.shiftright(c, level).alias(f"{c}_{level}") for c in axes]
+        at = fine.select(*keys, *axes, *coarse, "n")
+        sums = at.groupBy(*keys, *(f"{c}_{level}" for c in axes)).agg((F.sum("n") / 2**level).alias("w"))
+        part = at.join(sums, [*keys, *(f"{c}_{level}" for c in axes)]).select(*keys, *axes, "n", "w")
+        score = part if score is None else score.unionByName(part)
+    total = score.groupBy(*keys, *axes).agg(F.max("n").alias("n"), F.sum("w").alias("score"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), *axes)
+    return total.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+
+
+def loop_pairs(scores: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Pairs of the asked images with the k that score best, each pair once and none with itself."""
+    best = top_images(scores.filter("query_image <> image_id").join(asked.select(F.col("image_id").alias("query_image")), "query_image", "left_semi"), k)
+    return best.select(F.least("query_image", "image_id").alias("image_id1"), F.greatest("query_image", "image_id").alias("image_id2")).distinct()
+
+
+def hamming_projection(size: int, bits: int = 64, seed: int = 0):
+    """Rows of a random orthonormal matrix, the same for every index of a seed."""
+    import numpy as np
+
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, size)))
+    return (q * np.sign(np.diag(r))).T[:bits]
+
+
+def train_words(descriptors: DataFrame, count: int, rounds: int = 11, seed: int = 0) -> DataFrame:
+    """A vocabulary: word_id and centroid of k-means over descriptors."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = descriptors.select(array_to_vector(F.col("descriptor").cast("array<double>")).alias("features"))
+    model = KMeans(k=count, maxIter=rounds, seed=seed).fit(rows)
+    return descriptors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "word_id long, centroid array<double>")
+
+
+def one_to_one(candidates: DataFrame) -> DataFrame:
+    """Matches of an image pair with each feature used once: features with the fewest candidates choose
+    first, the nearest of what is left. candidates: pair, idx1, idx2, distance; a pair fits in a task."""
+    import pandas as pd
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["idx1", "distance", "idx2"])
+        by = {i: list(zip(g["distance"], g["idx2"], strict=True)) for i, g in rows.groupby("idx1")}
+        taken, out = set(), []
+        while by:
+            i = min(by, key=lambda k: (len([1 for _, j in by[k] if j not in taken]) or 1 << 30, k))
+            left = [(d, j) for d, j in by.pop(i) if j not in taken]
+            if left:
+                d, j = min(left)
+                taken.add(j)
+                out.append((pdf["pair"].iloc[0], i, j, d))
+        return pd.DataFrame(out, columns=["pair", "idx1", "idx2", "distance"])
+
+    return candidates.groupBy("pair").applyInPandas(kernel, "pair long, idx1 int, idx2 int, distance double")

@@ -41,6 +41,11 @@ def calibrated_config(e: Column, f: Column, h: Column, least: int = 15, ef: floa
     return F.when((e < least) & (f < least) & (h < least), 1).when(planar, 6).when(best_e, 2).otherwise(3)
 
 
+def uncalibrated_config(f: Column, h: Column, least: int = 15, ratio: float = 0.8) -> Column:
+    """Two-view configuration without calibration: degenerate 1, uncalibrated 3, planar or panoramic 6."""
+    return F.when((f < least) & (h < least), 1).when(h > ratio * f, 6).otherwise(3)
+
+
 def similarity_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """4x4 similarity of least squares from x to y (closed form over the covariance)."""
     mx, my = x.mean(0), y.mean(0)

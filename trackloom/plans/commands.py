@@ -50,19 +50,6 @@ def p16_feature_mask(spark, d):
     return t.join(F.broadcast(mask), "pixel", "left_anti").select("image_id", "idx")
 
 
-@query(
-    """WITH o AS (SELECT image_id, row_number() OVER (ORDER BY name)-1 AS rn FROM images), r AS (SELECT a.image_id AS query_image, b.image_id, row_number() OVER (PARTITION BY a.image_id ORDER BY p.n_rows DESC, b.image_id) AS rank
-    FROM o AS a JOIN pairs AS p ON a.image_id IN (p.image_id1, p.image_id2) JOIN images AS b ON b.image_id = CASE WHEN a.image_id = p.image_id1 THEN p.image_id2 ELSE p.image_id1 END WHERE rn % 10 = 0) SELECT * FROM r WHERE rank <= 5""",
-    "images pairs",
-)
-def j03_loop_detection(spark, d):
-    """Every tenth image asks for its best partners."""
-    asked = ranking.every_nth(view(spark, d, "images"), 10).select(F.col("image_id").alias("query_image"))
-    p = view(spark, d, "pairs").select(F.col("image_id1").alias("query_image"), F.col("image_id2").alias("image_id"), "n_rows")
-    both = p.union(p.select("image_id", "query_image", "n_rows"))
-    return matching.top_images(both.join(asked, "query_image", "left_semi").withColumn("score", F.col("n_rows")), 5).select("query_image", "image_id", "rank")
-
-
 @query(
     WORDS_SQL
     + """, n AS (SELECT p.image_id, CASE WHEN sum(idf*idf) > 0 THEN 1/sqrt(sum(idf*idf)) ELSE 0 END AS norm FROM p JOIN i ON p.word_id = i.word_id GROUP BY p.image_id),
@@ -101,19 +88,6 @@ def u04_common_missing(spark, d):
     return a.join(b, "image_id", "full").select("image_id", side.alias("side"))
 
 
-@query(
-    """WITH n AS (SELECT t.point3d_id, count(*) FILTER (WHERE t.image_id % 2 = 0) AS fresh, count(DISTINCT CASE WHEN t.image_id % 2 = 1 THEN t.point3d_id % 50 END) AS old, count(*) AS total FROM tracks AS t GROUP BY t.point3d_id)
-    SELECT point3d_id, CASE WHEN old = 1 AND total >= 2 THEN 'merge' WHEN fresh >= 2 THEN 'create' ELSE 'skip' END AS act FROM n""",
-    "tracks",
-)
-def u05_merge_classes(spark, d):
-    """What a model merge does with each incoming track."""
-    t = view(spark, d, "tracks")
-    n = t.groupBy("point3d_id").agg(F.count_if(F.col("image_id") % 2 == 0).alias("fresh"), F.count_distinct(F.when(F.col("image_id") % 2 == 1, F.col("point3d_id") % 50)).alias("old"), F.count("*").alias("total"))
-    act = F.when((F.col("old") == 1) & (F.col("total") >= 2), "merge").when(F.col("fresh") >= 2, "create").otherwise("skip")
-    return n.select("point3d_id", act.alias("act"))
-
-
 @query(
     """WITH b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM points3d), t AS (SELECT i, j, lx+(hx-lx)*i/2-0.1e0*(hx-lx)/2 AS x0, lx+(hx-lx)*(i+1)/2+0.1e0*(hx-lx)/2 AS x1, ly+(hy-ly)*j/2-0.1e0*(hy-ly)/2 AS y0, ly+(hy-ly)*(j+1)/2+0.1e0*(hy-ly)/2 AS y1 FROM b, range(2) AS r(i), range(2) AS s(j))
     SELECT CAST(i*2+j AS INT) AS tile, count(*) AS points, count(*) >= 100 AS included FROM t JOIN points3d ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY i, j""",
@@ -189,7 +163,7 @@ def j06_closure(spark, d):
 
 
 @query(
-    """WITH v AS (SELECT CAST(floor(x) AS INT) AS c, CAST(floor(y) AS INT) AS r, avg(z) AS z FROM points3d GROUP BY 1, 2), p AS (SELECT point3d_id, x+0.25e0 AS x, y+0.5e0 AS y FROM points3d WHERE point3d_id % 7 = 0)
+    """WITH v AS (SELECT CAST(floor(x) AS INT) AS c, CAST(floor(y) AS INT) AS r, avg(z) AS z FROM points3d GROUP BY 1, 2), p AS (SELECT point3d_id, x+0.25e0 AS x, y+0.5e0 AS y FROM points3d)
     SELECT point3d_id, round(a.z*(1-(p.x-floor(p.x)))*(1-(p.y-floor(p.y)))+b.z*(p.x-floor(p.x))*(1-(p.y-floor(p.y)))+c.z*(1-(p.x-floor(p.x)))*(p.y-floor(p.y))+e.z*(p.x-floor(p.x))*(p.y-floor(p.y)), 6) AS value
     FROM p JOIN v AS a ON a.c = floor(p.x) AND a.r = floor(p.y) JOIN v AS b ON b.c = floor(p.x)+1 AND b.r = floor(p.y) JOIN v AS c ON c.c = floor(p.x) AND c.r = floor(p.y)+1 JOIN v AS e ON e.c = floor(p.x)+1 AND e.r = floor(p.y)+1""",
     "points3d",
@@ -198,7 +172,7 @@ def v08_bilinear(spark, d):
     """Bilinear values of a pixel table: one join with the four neighbours, then a weighted sum."""
     p = view(spark, d, "points3d")
     grid = p.groupBy(F.floor("x").cast("long").alias("c"), F.floor("y").cast("long").alias("r")).agg(F.avg("z").alias("v"))
-    asked = p.filter("point3d_id % 7 = 0").select("point3d_id", (F.col("x") + 0.25).alias("x"), (F.col("y") + 0.5).alias("y"))
+    asked = p.select("point3d_id", (F.col("x") + 0.25).alias("x"), (F.col("y") + 0.5).alias("y"))
     x0, y0, *weights = stats.bilinear(F.col("x"), F.col("y"))
     near = [F.struct((x0 + i % 2).cast("long").alias("c"), (y0 + i // 2).cast("long").alias("r"), w.alias("w")) for i, w in enumerate(weights)]
     rows = asked.select("point3d_id", F.explode(F.array(*near)).alias("n")).select("point3d_id", "n.*").join(grid, ["c", "r"])
