@@ -27,12 +27,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import slices, stored, text_rows, utf8_of
+from ._common import shuffle_parts, slices, stored, text_rows, utf8_of
 
 SLOTS = 4
 MAX_KICKS = 500
 #: Live digests of a map task's index before it is handed on.
 FOLD_KEYS = 1 << 16
+#: Rows that are folded by one task of the second round, as an average.
+SHARD_ROWS = 1 << 20
+#: A text is hot from this share of the rows, so there are as many hot ones at most.
+HOT_ROWS, HOT_SHARE = 10_000, 10_000
 BLANKS = b" \t\n\x0b\x0c\r"
 NO_ID = 1 << 63
 
@@ -202,17 +206,26 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(_digest_batches, "row_id long, doc_id long, digest binary, points long")
 
 
-def groups(found: DataFrame) -> DataFrame:
-    """One row for each digest: group_size and the row that stays."""
+def groups(found: DataFrame, rows: int) -> DataFrame:
+    """One row for each digest: group_size and the row that stays. ``rows``: how many rows there are;
+    they are dealt to so many shards that an index stays small."""
     folded = found.select("digest", "points", "doc_id", "row_id").mapInArrow(_fold_map, GROUPS)
-    return folded.repartition("digest").mapInArrow(_fold_shard, GROUPS)
+    shards = max(shuffle_parts(found.sparkSession), -(-rows // SHARD_ROWS))
+    return folded.repartition(shards, "digest").mapInArrow(_fold_shard, GROUPS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each row of ``docs``."""
     found = stored(spark, digests(docs, id_col, text_col), "digests")
-    copies = groups(found).filter("group_size > 1").select("digest", "group_size", "keep_id", "keep_row")
-    return found.join(copies, "digest", "left").select(
+    rows = found.count()
+    copies = stored(spark, groups(found, rows).filter("group_size > 1").select("digest", "group_size", "keep_id", "keep_row"), "copies")
+    hot = copies.filter(F.col("group_size") > max(HOT_ROWS, rows // HOT_SHARE))
+    if hot.isEmpty():
+        joined = found.join(copies, "digest", "left")
+    else:  # hot texts are few, and their rows stay where they are
+        rest = found.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(copies, "digest", "left")
+        joined = found.join(F.broadcast(hot), "digest").unionByName(rest)
+    return joined.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
@@ -225,8 +238,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
 
 def index_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The live digests of a table: digest, group_size."""
-    return groups(digests(docs, id_col, text_col)).select("digest", "group_size")
+    """The live digests of a table: digest, group_size. Null texts count as empty; an empty table has none."""
+    found = stored(docs.sparkSession, digests(docs, id_col, text_col), "digests")
+    return groups(found, found.count()).select("digest", "group_size")
 
 
 def _apply_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,11 +261,11 @@ def update_index(index: DataFrame, added: DataFrame, removed: DataFrame) -> Data
     tables of digest and group_size, as ``index_of`` gives them; removing what
     is not live changes nothing that is."""
     changes = index.unionByName(added).unionByName(removed.withColumn("group_size", -F.col("group_size")))
-    sums = changes.groupBy("digest").agg(F.sum("group_size").alias("group_size"))
+    sums = changes.filter("digest IS NOT NULL").groupBy("digest").agg(F.sum("group_size").alias("group_size"))
     return sums.repartition("digest").mapInArrow(_apply_changes, "digest binary, group_size long")
 
 
 def seen(index: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and whether its text is live in the index."""
+    """doc_id and whether its text is live in the index; null texts ask as the empty one. The index has a row a digest."""
     own = digests(docs, id_col, text_col)
     return own.join(index.select("digest", F.lit(True).alias("live")), "digest", "left").select("doc_id", F.coalesce("live", F.lit(False)).alias("seen"))
