@@ -4,7 +4,7 @@ Each document's ids end in one separator. Documents over the sequence length
 are cut into full pieces and a rest; the pieces of all documents, longest first,
 go where the sum of the squared counts of open sequences per residual gap
 becomes smallest. Only lengths matter for that, so what is packed is a narrow
-table of pieces, dealt at random into groups of about ``group_pieces``; a group
+table of pieces, dealt at random (repeated rows too) into groups of about ``group_pieces``; a group
 holds enough lengths to leave one or two sequences open, whatever the size of
 the corpus.
 
@@ -103,6 +103,6 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, most: in
     """One row for each piece: its place in its document and in its sequence."""
     found = stored(spark, pieces(docs, path, most, id_col, text_col), "pieces")
     count = max(1, -(-found.count() // group_pieces))
-    dealt = found.select(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(count)).cast("long").alias("pack_group"), "*")
+    dealt = found.select(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(count)).cast("long").alias("pack_group"), "*")
     ordered = dealt.repartition(count, "pack_group").sortWithinPartitions("pack_group", F.desc("length"), "doc_id", "piece", "ids_crc32")
     return ordered.mapInArrow(lambda batches: _pack_batches(batches, most), f"{PIECES}, sequence_id long, offset long")
