@@ -49,3 +49,34 @@ def test_odd_rows(spark):
     few = spark.createDataFrame([(50, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert by_query(nndescent.nearest(spark, few).collect()) == {50: [(1, 0.0)]}
     assert nndescent.nearest(spark, few.limit(0)).count() == 0
+
+
+def recall(spark, x, least_exact=1.0):
+    """Of the walk against brute force; the exact way must find all."""
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for i in range(0, len(x), 50):
+        score = unit @ unit[i]
+        score[i] = -2
+        want[i] = set(np.argpartition(-score, 5)[:5].tolist())
+    share = lambda rows: np.mean([len(want[q] & {i for i, _ in own}) / 5 for q, own in by_query(rows).items()])
+    return share(nndescent.nearest(spark, df).collect()), share(nndescent.exact_nearest(spark, df).collect())
+
+
+@pytest.mark.parametrize("n", [4000, 9000])
+def test_recall_beyond_one_seed_block(spark, n):
+    rng = np.random.default_rng(n)
+    centers = rng.standard_normal((40, 32))
+    x = np.concatenate([rng.standard_normal((n // 2, 32)), centers[rng.integers(0, 40, n - n // 2)] + 0.4 * rng.standard_normal((n - n // 2, 32))])
+    walk, exact = recall(spark, x)
+    assert walk >= 0.9 and exact == 1.0
+
+
+def test_recall_among_near_copies(spark):
+    rng = np.random.default_rng(3)
+    near = rng.standard_normal(64)
+    x = np.concatenate([near + 5e-3 * rng.standard_normal((2000, 64)), rng.standard_normal((1000, 64))])
+    walk, exact = recall(spark, x)
+    assert walk >= 0.9 and exact >= 0.99

@@ -19,7 +19,8 @@ Results for odd rows: vectors that are null, empty, zero or hold a null or
 non-finite component take no part, nor do vectors of another length than the
 most common one; rows that repeat a vec_id count as one; ties go to the smaller
 vec_id; with fewer candidates than asked for all are returned; an empty table
-gives no rows.
+gives no rows. Other columns of the input are not looked at. ``exact_nearest`` looks at
+every row instead of walking the graph, for the same results without a miss.
 """
 
 from __future__ import annotations
@@ -31,9 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-from ._common import shuffle_parts, stored, whole_groups
+from ._common import forget, shuffle_parts, stored, whole_groups
 
 NEIGHBOURS, REVERSE, OFFERS = 24, 16, 8
 SEED_TABLES, SEED_BLOCK, SEED_KEEP = 6, 1024, 12
@@ -63,7 +63,7 @@ def _clean_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 NODES = "key binary, ids array<long>, raw binary"
 
 
-def _fold_copies(batches: Iterator[pa.RecordBatch], limit: int | None, keep: int) -> Iterator[pa.RecordBatch]:
+def _fold_copies(batches: Iterator[pa.RecordBatch], limit: int, keep: int) -> Iterator[pa.RecordBatch]:
     """(key, ids, raw) -> one row per key with its smallest ids."""
     found: dict[bytes, list] = {}
 
@@ -72,7 +72,7 @@ def _fold_copies(batches: Iterator[pa.RecordBatch], limit: int | None, keep: int
 
     for batch in batches:
         for key, ids, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if limit and len(found) >= limit and key not in found:
+            if len(found) >= limit and key not in found:
                 yield out()
                 found.clear()
             have = found.setdefault(key, [[], raw])
@@ -80,15 +80,25 @@ def _fold_copies(batches: Iterator[pa.RecordBatch], limit: int | None, keep: int
     yield out()
 
 
-def unit16(raw: bytes) -> bytes:
-    vector = np.frombuffer(raw)
-    vector = vector / np.abs(vector).max()
-    return (vector / np.linalg.norm(vector)).astype(np.float16).tobytes()
+def _units(rows: np.ndarray) -> np.ndarray:
+    """Rows of doubles at unit length, in single precision."""
+    rows = rows / np.abs(rows).max(1, keepdims=True)
+    return (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, ids, raw) -> the same with the node's name and its unit vector."""
+    for batch in batches:
+        if batch.num_rows:
+            raws = batch.column(2).to_pylist()
+            units = _units(np.frombuffer(b"".join(raws)).reshape(len(raws), -1))
+            first = pa.array([x[0] for x in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([first, *batch.columns, pa.array([u.tobytes() for u in units], pa.binary())], ["node", "key", "ids", "raw", "vec"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of half-precision vectors, as float32."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
+    """Rows of unit vectors."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
 
 
 def _seed_keys(batches, dim: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -221,7 +231,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for query, vec, ids, vecs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own = np.frombuffer(ids, np.int64)
-            sims = np.frombuffer(vecs, np.float16).reshape(len(own), -1).astype(np.float32) @ np.frombuffer(vec, np.float16).astype(np.float32)
+            sims = np.frombuffer(vecs, np.float32).reshape(len(own), -1) @ np.frombuffer(vec, np.float32)
             out.append((np.full(len(own), query), own, sims))
         if out:
             query, node, sim = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -270,30 +280,77 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["query_id", "vec_id", "score"])
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
-    """query_id, rank, vec_id and score of the nearest found of every ``every``-th row."""
+def folded_nodes(spark: SparkSession, vectors: DataFrame, top: int) -> tuple[DataFrame, DataFrame, int]:
+    """The usable rows, the distinct vectors as nodes, and their dimension."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     clean = stored(spark, rows.mapInArrow(_clean_batches, "vec_id long, dim int, key binary, raw binary"), "vectors")
     common = clean.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     dim = common["dim"] if common else 1
     clean = clean.filter(F.col("dim") == dim)
     folded = clean.select("key", F.array("vec_id").alias("ids"), "raw").mapInArrow(lambda b: _fold_copies(b, FOLD_KEYS, top + 1), NODES)
-    copies = folded.repartition("key").mapInArrow(lambda b: _fold_copies(b, None, top + 1), NODES)
-    vec16 = F.pandas_udf(lambda s: s.map(unit16), "binary")
-    nodes = stored(spark, copies.select(F.col("ids")[0].alias("node"), "key", "ids", "raw", vec16("raw").alias("vec")), "nodes")
-    count = nodes.count()
-    graph = build_graph(spark, nodes, count, dim)
-    around = members(graph, REVERSE).join(nodes.select(F.col("node").alias("member"), "vec"), "member").select("center", "member", "vec")
-    lists = around.repartition("center").sortWithinPartitions("center").mapInArrow(_pack_lists, "node long, ids binary, vecs binary")
-    # Kept by node through all steps, so that a step moves its frontier only; what an executor loses is made again.
-    lists = lists.repartition("node").persist(StorageLevel.MEMORY_AND_DISK)
-    asked = clean.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), "key").distinct()
-    queries = stored(spark, asked.join(nodes, "key").select("query", "node", "vec", F.col("raw").alias("query_raw")), "queries")
-    beams = stored(spark, search(spark, lists, queries), "found")
-    lists.unpersist()
-    # The beam's best, and every copy that can be among the nearest; scored exactly.
-    pairs = beams.join(queries.select("query", "query_raw"), "query").join(nodes.select("node", "ids", "raw"), "node")
+    # Sorted, so that a vector's rows follow each other and an index that is handed on splits none.
+    copies = folded.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _fold_copies(b, FOLD_KEYS, top + 1), NODES)
+    nodes = stored(spark, copies.mapInArrow(_node_batches, "node long, key binary, ids array<long>, raw binary, vec binary"), "nodes")
+    return clean, nodes, dim
+
+
+def ranked(pairs: DataFrame, top: int) -> DataFrame:
+    """query, query_raw, ids, raw of nodes that may be near -> the results, scored exactly."""
     each = pairs.select("query", F.explode("ids").alias("vec_id"), "query_raw", "raw").filter("query <> vec_id")
     scored = each.mapInArrow(_cosines, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def nearest(spark: SparkSession, vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
+    """query_id, rank, vec_id and score of the nearest found of every ``every``-th row."""
+    clean, nodes, dim = folded_nodes(spark, vectors, top)
+    graph = build_graph(spark, nodes, nodes.count(), dim)
+    around = members(graph, REVERSE).join(nodes.select(F.col("node").alias("member"), "vec"), "member").select("center", "member", "vec")
+    # Dealt by node once, so that a step moves its frontier only.
+    lists = stored(spark, around.repartition("center").sortWithinPartitions("center").mapInArrow(_pack_lists, "node long, ids binary, vecs binary"), "lists")
+    asked = clean.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), "key").distinct()
+    queries = stored(spark, asked.join(nodes, "key").select("query", "node", "vec", F.col("raw").alias("query_raw")), "queries")
+    beams = stored(spark, search(spark, lists, queries), "found")
+    forget(spark, lists)
+    # The beam's best, and every copy that can be among the nearest.
+    return ranked(beams.join(queries.select("query", "query_raw"), "query").join(nodes.select("node", "ids", "raw"), "node"), top)
+
+
+# -- the exact way: the queries against all nodes, block by block --------------
+
+QUERY_BLOCK, NODE_BLOCK = 1024, 4096
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(id, vec) -> blocks of ids and vectors as bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([b"".join(part.column(1).to_pylist())], pa.binary())], ["ids", "vecs"])
+
+
+def _block_best(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBatch]:
+    """(query ids, query vecs, node ids, node vecs) -> each query's nearest nodes of the block."""
+    for batch in batches:
+        for q_ids, q_vecs, n_ids, n_vecs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            q, n = np.frombuffer(q_ids, np.int64), np.frombuffer(n_ids, np.int64)
+            sims = np.frombuffer(q_vecs, np.float32).reshape(len(q), -1) @ np.frombuffer(n_vecs, np.float32).reshape(len(n), -1).T
+            k = min(keep, len(n))
+            best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            rows = np.repeat(np.arange(len(q)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(q[rows]), pa.array(n[best.ravel()]), pa.array(sims[rows, best.ravel()])], ["query", "node", "sim"])
+
+
+def exact_nearest(spark: SparkSession, vectors: DataFrame, every: int = EVERY, top: int = TOP, spare: int = 59) -> DataFrame:
+    """The same results by looking at every row: the queries' blocks meet the nodes' blocks, and of each
+    block the best ``top + spare`` by single-precision similarity are scored exactly."""
+    clean, nodes, _ = folded_nodes(spark, vectors, top)
+    asked = clean.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), "key").distinct()
+    queries = stored(spark, asked.join(nodes, "key").select("query", "vec", F.col("raw").alias("query_raw")), "queries")
+    q = queries.select("query", "vec").mapInArrow(lambda b: _blocks(b, QUERY_BLOCK), "ids binary, vecs binary").toDF("q_ids", "q_vecs")
+    n = nodes.select("node", "vec").mapInArrow(lambda b: _blocks(b, NODE_BLOCK), "ids binary, vecs binary")
+    met = n.crossJoin(q).select("q_ids", "q_vecs", "ids", "vecs").mapInArrow(lambda b: _block_best(b, top + spare), "query long, node long, sim float")
+    order = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
+    near = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top + spare).select("query", "node")
+    return ranked(near.join(queries.select("query", "query_raw"), "query").join(nodes.select("node", "ids", "raw"), "node"), top)
