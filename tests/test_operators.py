@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trackloom.functions import cameras
 from trackloom.functions import geometry as geo
 from trackloom.functions import scalars as sc
-from trackloom.operators import filters, graph, matching, pairs, partition, robust, stats, tables
-from trackloom.sources import database, model_binary, model_text
+from trackloom.operators import filters, graph, matching, pairs, partition, ranks, robust, stats, tables
+from trackloom.sources import database, exports, model_binary, model_text
 from trackloom.streaming import events
 
 
@@ -28,18 +29,20 @@ def test_pair_ids(spark):
 
 
 def test_bounds(spark):
-    points = spark.createDataFrame([(1, 3.0, 0.0, 0.0), (2, 0.0, 3.0, 0.0), (3, 0.0, 0.0, 3.0)], "point3d_id long, x double, y double, z double")
-    assert rows(stats.trimmed_bounds(points, 0.0, 1.0), "axis", "lo", "hi", "centroid") == [(a, 0.0, 3.0, 1.0) for a in "xyz"]
+    cloud = [(i, 2.0 * i, -1.0 * i, 0.25) for i in range(5)]
+    points = spark.createDataFrame(cloud, "point3d_id long, x double, y double, z double")
+    assert rows(stats.trimmed_bounds(points, 0.0, 1.0), "axis", "lo", "hi", "centroid") == [("x", 0.0, 8.0, 4.0), ("y", -4.0, 0.0, -2.0), ("z", 0.25, 0.25, 0.25)]
+    assert rows(stats.trimmed_bounds(points, 0.25, 0.75), "axis", "lo", "hi") == [("x", 2.0, 6.0), ("y", -3.0, -1.0), ("z", 0.25, 0.25)]
     assert stats.trimmed_bounds(points.limit(0), 0.0, 1.0).count() == 0
 
 
 def test_crop(spark):
-    points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 0.5, 0.5, 0.0), (3, 1.0, 1.0, 0.0), (4, 0.0, 0.0, 0.5), (5, 0.5, 0.5, 1.0)], "point3d_id long, x double, y double, z double")
-    tracks = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 2, 3), (4, 2, 4), (5, 3, 5)], "point3d_id long, image_id long, idx int")
-    kept = filters.crop(points, tracks, (0, 0, 0), (0.75, 0.75, 0.75))
-    assert rows(kept, "point3d_id", "images") == [(1, 1), (2, 1), (4, 1)]
-    assert rows(tracks.join(kept, "point3d_id", "left_semi").select("image_id").distinct(), "image_id") == [(1,), (2,)]
-    assert filters.crop(points, tracks, (-1, -1, -1), (-0.5, -0.5, -0.5)).count() == 0
+    # Points on a diagonal: the box takes those on its two bounds, and leaves those just beyond.
+    points = spark.createDataFrame([(i, i / 4, 2.0, -i / 4) for i in range(9)], "point3d_id long, x double, y double, z double")
+    tracks = spark.createDataFrame([(2, 7, 0), (2, 8, 0), (4, 8, 1), (6, 9, 0), (7, 9, 1)], "point3d_id long, image_id long, idx int")
+    kept = filters.crop(points, tracks, (0.5, 2.0, -1.5), (2.0, 2.0, -0.5))
+    assert rows(kept, "point3d_id", "images") == [(2, 2), (3, 0), (4, 1), (5, 0), (6, 1)]
+    assert filters.crop(points, tracks, (0.5, 2.0001, -1.5), (2.0, 3.0, -0.5)).count() == 0
 
 
 def test_correspondences(spark):
@@ -52,20 +55,36 @@ def test_correspondences(spark):
     assert rows(graph.transitive_correspondences(edges, 0, 0, 3), "image_id", "idx", "depth") == [(1, 0, 1), (2, 4, 2)]
 
 
+def chain_of_groups(spark, groups, size):
+    """Tight groups of images, each linked weakly to the next."""
+    inside = [(g * size + i, g * size + j, 50 + i) for g in range(groups) for i in range(size) for j in range(i + 1, size)]
+    between = [(g * size + size - 1, (g + 1) * size, 3) for g in range(groups - 1)]
+    return spark.createDataFrame(inside + between, "image_id1 long, image_id2 long, weight int")
+
+
 def test_scene_clusters(spark):
-    e = [(0, 1, 100), (2, 3, 100), (4, 5, 100), (1, 2, 10), (3, 4, 10), (5, 0, 10), (0, 3, 1), (2, 5, 1), (4, 1, 1)]
-    edges = spark.createDataFrame(e, "image_id1 long, image_id2 long, weight int")
-    clusters = partition.scene_clusters(edges, 3)
+    edges = chain_of_groups(spark, 4, 3)
+    clusters = partition.scene_clusters(edges, 4)
 
     def sets(df):
-        out = {}
-        for c, i in rows(df, "cluster", "image_id"):
-            out.setdefault(c, set()).add(i)
-        return sorted(map(sorted, out.values()))
+        found = {}
+        for r in df.collect():
+            found.setdefault(r[0], set()).add(r.image_id)
+        return sorted(map(sorted, found.values()))
+
+    assert sets(clusters) == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10, 11]]
+    assert sets(partition.with_overlap(clusters, edges, 1)) == [[0, 1, 2, 3], [2, 3, 4, 5], [5, 6, 7, 8], [8, 9, 10, 11]]
+    leaves = partition.hierarchy(edges, 2, 4, 0)
+    assert max(map(len, sets(leaves))) <= 4 and sorted(x for s in sets(leaves) for x in s) == list(range(12))
+    assert sets(partition.round_robin_overlap(clusters, edges, 1, 5)) == [[0, 1, 2, 3], [2, 3, 4, 5], [5, 6, 7, 8], [8, 9, 10, 11]]
 
-    assert sets(clusters) == [[0, 1], [2, 3], [4, 5]]
-    assert sets(partition.with_overlap(clusters, edges, 2)) == [[0, 1, 2, 5], [0, 3, 4, 5], [1, 2, 3, 4]]
-    assert partition.min_cut([(0, 1, 3), (1, 2, 1), (2, 3, 4), (3, 0, 1)]) == (2.0, [2, 3]) or partition.min_cut([(0, 1, 3), (1, 2, 1), (2, 3, 4), (3, 0, 1)])[0] == 2.0
+
+def test_models_merge_until_nothing_changes(spark):
+    members = [(1, i) for i in (1, 2, 3, 4)] + [(2, i) for i in (3, 4, 5, 6)] + [(3, i) for i in (5, 7, 8)] + [(4, i) for i in (6, 8, 9)] + [(5, 20)]
+    df = spark.createDataFrame(members, "cluster long, image_id long")
+    # 2 joins 1 at once; 3 and 4 share one image with it, and one with each other.
+    assert rows(partition.merge_to_fixpoint(df, 2).select("cluster").distinct(), "cluster") == [(1,), (3,), (4,), (5,)]
+    assert rows(partition.merge_to_fixpoint(df, 1).select("cluster").distinct(), "cluster") == [(1,), (5,)]
 
 
 def test_spatial_pairs_against_all_pairs(spark):
@@ -110,7 +129,7 @@ def test_merge_of_databases(spark):
 def test_scalars(spark):
     r = one(
         spark, after=sc.text_after(F.lit("a/b/c"), "/"), none=sc.text_after(F.lit("abc"), "/"), whole=sc.text_after(F.lit("abc"), ""), good=sc.csv_to_doubles(F.lit(" 1 ;2,, 3")), bad=sc.csv_to_doubles(F.lit("1,x")),
-        choose=sc.choose(F.lit(10), 3), s=sc.scale_sigmoid(F.lit(10.0)), p=sc.nearest_rank(F.array(*map(F.lit, (5.0, 1.0, 2.0))), 50), d=sc.has_duplicate(F.array(F.lit(1), F.lit(1))),
+        choose=sc.choose(F.lit(10), 3), s=sc.scale_sigmoid(F.lit(1.0)), p=sc.nearest_rank(F.array(*map(F.lit, (5.0, 1.0, 2.0))), 50), d=sc.has_duplicate(F.array(F.lit(1), F.lit(1))),
     )
     assert (r.after, r.none, r.whole, r.good, r.bad, r.choose, r.p, r.d) == ("c", "", "abc", [1.0, 2.0, 3.0], [], 120, 2.0, True) and abs(r.s - 1) < 1e-12
 
@@ -220,3 +239,64 @@ def test_trigger_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("fired"), "model_id", "images", "points", "fired") == [(1, 2, 100, True), (1, 3, 105, True), (1, 4, 300, True), (2, 10, 1000, True), (2, 10, 1001, False), (2, 12, 1001, True)]
+
+
+def test_ranks_and_numbers(spark):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.standard_normal(3000), np.full(700, 0.5), rng.integers(0, 5, 300)]).tolist()
+    df = spark.createDataFrame([(i % 3, x) for i, x in enumerate(v)] + [(0, None)], "g int, v double")
+    for r in ranks.percentile(ranks.ranked(df, "v", "g"), {"low": 0.013, "mid": 0.5, "top": 1.0}, "g").collect():
+        own = np.array([x for i, x in enumerate(v) if i % 3 == r.g])
+        assert np.allclose([r.low, r.mid, r.top], np.quantile(own, [0.013, 0.5, 1.0]))
+    whole = sorted(v)
+    for x in ranks.ranked(df, "v").filter("n >= 1").orderBy("v").collect()[::97]:
+        assert x.upto == sum(y <= x.v for y in whole) and x.total == len(v)
+    numbers = ranks.numbered(df.repartition(7), "v", "g").collect()
+    assert sorted(r._n for r in numbers) == list(range(1, len(v) + 2))
+    by = sorted(numbers, key=lambda r: r._n)
+    assert all((a.v is None) or (b.v is not None and a.v <= b.v) for a, b in zip(by, by[1:], strict=False))
+    assert ranks.numbered(df.limit(0), "v").count() == 0
+
+
+def test_sift_text_with_a_short_header(spark):
+    lines = spark.createDataFrame([(1, -1, "2 3"), (1, 0, "1 2 2 0 7 8 9"), (1, 1, "3 4 1 1.5707963267948966 1 2 3"), (1, 2, "9 9 9 9 9 9 9"), (2, -1, "1 4"), (2, 0, "1 1 1 1 1 1 1 1")], "image_id long, at int, value string")
+    found = {r.idx: r for r in exports.read_sift(lines, 3).collect()}
+    assert set(found) == {0, 1} and found[0].descriptor == [7, 8, 9]
+    assert (found[0].a11, found[0].a21) == (2.0, 0.0) and abs(found[1].a21 - 1) < 1e-12 and abs(found[1].a12 + 1) < 1e-12
+
+
+def test_one_to_one_matches(spark):
+    c = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 1, 2.0), (1, 1, 0, 3.0), (1, 2, 1, 0.5), (1, 2, 0, 0.1)], "pair long, idx1 int, idx2 int, distance double")
+    found = rows(matching.one_to_one(c), "idx1", "idx2")
+    assert found == [(0, 1), (1, 0)]  # one has a single choice and goes first
+
+
+def test_approximate_matches_find_near_copies(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((60, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x + 0.01 * rng.standard_normal(x.shape)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    side = lambda m: spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(m)], "pair int, idx int, descriptor array<double>")
+    assert rows(matching.approximate_matches(side(x), side(y)), "idx1", "idx2") == [(i, i) for i in range(60)]
+
+
+def test_trained_words_take_their_descriptors(spark):
+    rng = np.random.default_rng(7)
+    x = np.repeat(np.eye(4), 25, axis=0) + 0.01 * rng.standard_normal((100, 4))
+    df = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "image_id long, idx int, descriptor array<double>")
+    words = matching.train_words(df, 4, seed=1)
+    found = matching.nearest_words(df, words, 1).collect()
+    assert {len({r.idx // 25 for r in found if r.word_id == w}) for w in {r.word_id for r in found}} == {1}
+
+
+def test_cameras_reject_wrong_parameters(spark):
+    with pytest.raises(ValueError):
+        cameras.named("PINHOLE", [1.0, 2.0, 3.0])
+
+
+def test_opposite_directions_turn_nowhere(spark):
+    up, down = ((F.lit(0.0), F.lit(0.0), F.lit(z)) for z in (2.0, -1.0))
+    r = geo.rotation_between(up, down)
+    got = one(spark, a=r[0][0], b=r[1][2], c=r[2][2])
+    assert (got.a, got.b, got.c) == (1.0, 0.0, 1.0)
