@@ -23,7 +23,7 @@ PARAMETERS = {
     "RADIAL_FISHEYE": "f cx cy k1 k2",
     "THIN_PRISM_FISHEYE": "fx fy cx cy k1 k2 p1 p2 k3 k4 sx1 sy1",
 }
-ROUNDS = 25
+ROUNDS = 15
 
 
 def named(model: str, params: list) -> dict[str, Column]:

@@ -21,7 +21,7 @@ VIEWS = {
         CAST(p_size*5%256 AS INT) AS r, CAST(p_partkey%256 AS INT) AS g, CAST(p_partkey%97 AS INT) AS b,
         CASE WHEN p_partkey%11=0 THEN NULL ELSE (p_partkey%97)/10e0 END AS error, CAST(p_partkey%20 AS INT) AS global_opt_num FROM part""",
     "tracks": """SELECT point3d_id, image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY point3d_id)-1 AS INT) AS idx
-        FROM (SELECT DISTINCT l_partkey+1 AS point3d_id, l_suppkey+1 AS image_id FROM lineitem WHERE l_quantity >= 45) AS t""",
+        FROM (SELECT DISTINCT l_partkey+1 AS point3d_id, l_suppkey+1 AS image_id FROM lineitem) AS t""",
     "observed": """SELECT t.point3d_id, t.image_id, t.idx, i.camera_id, i.registered, p.x, p.y, p.z, c.f, c.cx, c.cy,
         (1-2*i.qz*i.qz)*p.x-2*i.qw*i.qz*p.y+i.tx AS px, 2*i.qw*i.qz*p.x+(1-2*i.qz*i.qz)*p.y+i.ty AS py, p.z+i.tz AS depth,
         -((1-2*i.qz*i.qz)*i.tx+2*i.qw*i.qz*i.ty) AS ox, -(-2*i.qw*i.qz*i.tx+(1-2*i.qz*i.qz)*i.ty) AS oy, -i.tz AS oz
@@ -33,8 +33,8 @@ VIEWS = {
     "pairs": """SELECT src*2147483647+dst AS pair_id, src AS image_id1, dst AS image_id2, count(*) AS n_rows,
         CAST(2+(src*2147483647+dst)%6 AS INT) AS config FROM edges WHERE src < dst GROUP BY src, dst""",
     "descriptors": """SELECT CAST(label+1 AS BIGINT) AS image_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 AS INT) AS idx, vec_id, embedding AS descriptor FROM embeddings""",
-    "lidar": """SELECT l_orderkey AS lidar_id, (l_extendedprice-1000*floor(l_extendedprice/1000e0))/100e0-5 AS x, l_discount*100-5 AS y, l_quantity AS z,
-        l_tax*10 AS nx, 1e0 AS ny, l_discount*10-5e-1 AS nz FROM lineitem WHERE l_linenumber = 1""",
+    "lidar": """SELECT l_orderkey*8+l_linenumber AS lidar_id, (l_extendedprice-1000*floor(l_extendedprice/1000e0))/100e0-5 AS x, l_discount*100-5 AS y, l_quantity AS z,
+        l_tax*10 AS nx, 1e0 AS ny, l_discount*10-5e-1 AS nz FROM lineitem""",
     "journal": """SELECT row_number() OVER (ORDER BY ts, event_id) AS revision, event_type AS kind, user_id AS entity, event_id FROM events""",
 }
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

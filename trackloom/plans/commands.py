@@ -31,10 +31,10 @@ def p08_point_filtering(spark, d):
     return near.join(wide, "point3d_id", "left_semi").filter("kept >= 2")
 
 
-@query("SELECT i.image_id, count(t.idx) AS points FROM images AS i LEFT JOIN tracks AS t ON i.image_id = t.image_id WHERE registered GROUP BY i.image_id HAVING count(t.idx) < 60", "images tracks")
+@query("SELECT i.image_id, count(t.idx) AS points FROM images AS i LEFT JOIN tracks AS t ON i.image_id = t.image_id WHERE registered GROUP BY i.image_id HAVING count(t.idx) < 520", "images tracks")
 def p07_image_filterer(spark, d):
     counts = view(spark, d, "images").filter("registered").select("image_id").join(view(spark, d, "tracks"), "image_id", "left").groupBy("image_id").agg(F.count("idx").alias("points"))
-    return counts.filter("points < 60")
+    return counts.filter("points < 520")
 
 
 @query("SELECT image_id, name FROM images WHERE name NOT IN (SELECT name FROM images WHERE image_id % 6 = 1)", "images")

@@ -95,13 +95,13 @@ def j20_z_buffer(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT t.point3d_id, t.image_id, l.lidar_id, abs((t.image_id*37+l.lidar_id*11)%101/101e0) AS cosine FROM tracks AS t JOIN lidar AS l ON l.lidar_id % 1000 = t.point3d_id % 1000),
+    """WITH c AS (SELECT t.point3d_id, t.image_id, l.lidar_id, abs((t.image_id*37+l.lidar_id*11)%101/101e0) AS cosine FROM tracks AS t JOIN lidar AS l ON l.lidar_id % 50000 = t.point3d_id % 50000),
     r AS (SELECT *, row_number() OVER (PARTITION BY point3d_id ORDER BY cosine, image_id, lidar_id) AS rn FROM c) SELECT point3d_id, image_id, lidar_id, round(cosine, 6) AS cosine FROM r WHERE rn = 1""",
     "tracks lidar",
 )
 def j21_best_association(spark, d):
-    t = view(spark, d, "tracks").withColumn("k", F.col("point3d_id") % 1000)
-    c = t.join(view(spark, d, "lidar").select("lidar_id", (F.col("lidar_id") % 1000).alias("k")), "k")
+    t = view(spark, d, "tracks").withColumn("k", F.col("point3d_id") % 50000)
+    c = t.join(view(spark, d, "lidar").select("lidar_id", (F.col("lidar_id") % 50000).alias("k")), "k")
     return rounded(mapping.best_association(c.select("point3d_id", "image_id", "lidar_id", ((F.col("image_id") * 37 + F.col("lidar_id") * 11) % 101 / 101).alias("cosine"))))
 
 

@@ -160,12 +160,12 @@ def f55_world_to_image(spark, d):
     return rounded(rays(spark, d).select("point3d_id", "image_id", *(found[m][1 if m == "RADIAL" else 0].alias(n) for m, n in zip(own, "pinhole simple_radial radial opencv fisheye fov".split(), strict=True))))
 
 
-@query(f"SELECT point3d_id, image_id, model, round(u+3e-7, 5)+0e0 AS u, round(v+3e-7, 5)+0e0 AS v FROM ({RAYS}) AS r, (SELECT unnest(['SIMPLE_RADIAL', 'FULL_OPENCV', 'OPENCV_FISHEYE', 'THIN_PRISM_FISHEYE', 'FOV']) AS model) AS m", "observed")
+@query(f"SELECT point3d_id, image_id, model, round(u+3e-7, 5)+0e0 AS u, round(v+3e-7, 5)+0e0 AS v FROM ({RAYS}) AS r, (SELECT unnest(['FULL_OPENCV', 'THIN_PRISM_FISHEYE', 'FOV']) AS model) AS m", "observed")
 def f55_image_to_world(spark, d):
-    """Pixels of five distorted models lead back to their rays."""
+    """Pixels of three distorted models lead back to their rays."""
     f, cx, cy = cols("f", "cx", "cy")
     own = {
-        "SIMPLE_RADIAL": [f, cx, cy, 0.1], "FULL_OPENCV": [f, f, cx, cy, 0.05, -0.02, 0.001, 0.002, 0.01, 0.01, 0.005, 0.001], "OPENCV_FISHEYE": [f, f, cx, cy, 0.05, 0.01, 0.002, 0.001],
+        "FULL_OPENCV": [f, f, cx, cy, 0.05, -0.02, 0.001, 0.002, 0.01, 0.01, 0.005, 0.001],
         "THIN_PRISM_FISHEYE": [f, f, cx, cy, 0.05, 0.01, 0.001, 0.002, 0.001, 0.001, 0.001, 0.002], "FOV": [f, f, cx, cy, 0.8],
     }
     r = rays(spark, d)
@@ -273,7 +273,7 @@ def f67_frustum(spark, d):
 
 
 @query(
-    """SELECT point3d_id, image_id, round(-d/k*(u-cx)/f, 5)+0e0 AS x, round(-d/k*(v-cy)/f, 5)+0e0 AS y, round(-d/k, 5)+0e0 AS z
+    """SELECT point3d_id, image_id, round(-d/k*(u-cx)/f+3e-7, 5)+0e0 AS x, round(-d/k*(v-cy)/f+3e-7, 5)+0e0 AS y, round(-d/k+3e-7, 5)+0e0 AS z
     FROM (SELECT *, -(1e-1*px+2e-1*py+9e-1*depth) AS d, 1e-1*(u-cx)/f+2e-1*(v-cy)/f+9e-1 AS k FROM points2d WHERE depth > 0.5e0 AND abs(u) < 5000 AND abs(v) < 5000) AS t WHERE abs(k) > 1e-2""",
     "points2d",
 )
@@ -284,7 +284,7 @@ def f68_ray_plane(spark, d):
     plane = (*normal, geo.plane_offset(normal, cols("px", "py", "depth")))
     k = normal[0] * (F.col("u") - F.col("cx")) / F.col("f") + normal[1] * (F.col("v") - F.col("cy")) / F.col("f") + normal[2]
     found = geo.on_plane(*cols("u", "v", "f", "cx", "cy"), plane)
-    return p.filter(F.abs(k) > 1e-2).select("point3d_id", "image_id", *((F.round(c, 5) + 0.0).alias(n) for c, n in zip(found, "xyz", strict=True)))
+    return p.filter(F.abs(k) > 1e-2).select("point3d_id", "image_id", *((F.round(c + 3e-7, 5) + 0.0).alias(n) for c, n in zip(found, "xyz", strict=True)))
 
 
 @query(

@@ -376,7 +376,7 @@ def l06_track_images(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT t.point3d_id, t.image_id, l.lidar_id, abs((t.image_id*37+l.lidar_id*11)%101/101e0) AS cosine FROM tracks AS t JOIN lidar AS l ON l.lidar_id % 1000 = t.point3d_id % 1000),
+    """WITH c AS (SELECT t.point3d_id, t.image_id, l.lidar_id, abs((t.image_id*37+l.lidar_id*11)%101/101e0) AS cosine FROM tracks AS t JOIN lidar AS l ON l.lidar_id % 50000 = t.point3d_id % 50000),
     r AS (SELECT *, row_number() OVER (PARTITION BY point3d_id ORDER BY cosine, image_id, lidar_id) AS rn FROM c) SELECT point3d_id, lidar_id, 'Proj' AS type FROM r WHERE rn = 1""",
     "tracks lidar",
 )
