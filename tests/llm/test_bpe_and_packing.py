@@ -93,3 +93,25 @@ def test_packing_odd_rows(spark, library):
 def test_sum_of_squares_places():
     p = packing.SumOfSquares(10)
     assert [p.place(s) for s in (7, 7, 6, 3, 4, 3)] == [(0, 0), (1, 0), (2, 0), (1, 7), (2, 6), (0, 7)]
+
+
+def test_packing_of_long_words_repeated_rows_and_clashing_names(spark, library):
+    texts = [(1, "x" * 40_000), (2, "y z"), (2, "y z"), (None, "w"), *[(9, "same words here")] * 500]
+    names = ["pack_group", "piece", "length", "sequence_id"]
+    docs = spark.createDataFrame([(i, t, *(7 for _ in names)) for i, t in texts], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    found = packing.pack(spark, docs, most=64, group_pieces=100).collect()
+    sizes = {t: len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in texts}
+    assert sum(r.length for r in found) == sum(sizes[t] for _, t in texts)
+    assert sum(r.doc_id == 9 for r in found) == 500 * -(-sizes["same words here"] // 64)
+    by = {}
+    for r in found:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in by.values():
+        own.sort()
+        assert [a for a, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and own[-1][0] + own[-1][1] <= 64
+
+
+def test_long_words_are_not_kept():
+    cache = bpe.Words(len, 10)
+    long = "w" * 1000
+    assert cache[long] == 1000 and cache.many(["a", long], lambda keys: [len(k) for k in keys]) == [1, 1000] and long not in cache and "a" in cache

@@ -30,10 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is what the cluster names in ``spark.checkpoint.dir``; a folder of our
-    own is set only where that is unset, as in local tests.
+    own is set only where that is unset and all runs on this machine, as in tests.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='trackloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

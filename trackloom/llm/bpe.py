@@ -36,6 +36,8 @@ from ._common import text_rows, text_slices
 #: Words in a generation of an encoder's cache (about 200 bytes each), and of other caches.
 ENCODED_WORDS = 600_000
 CACHE_WORDS = 250_000
+#: Longer words are seldom met again and would fill the cache.
+LONG_WORD = 128
 NO_RANK = 1 << 40
 
 #: Fixed value of the tokenizer format: its split pattern.
@@ -79,13 +81,15 @@ def distinct_pieces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 class Words(dict):
     """A cache that computes what it lacks. A full cache becomes the old
     generation, from which words in use are taken over; so memory is bounded
-    and frequent words stay."""
+    and frequent words stay. Words of over LONG_WORD characters are not kept."""
 
     def __init__(self, compute, limit: int = CACHE_WORDS):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
     def __missing__(self, key):
+        if isinstance(key, (str, bytes)) and len(key) > LONG_WORD:
+            return self.compute(key)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -104,8 +108,9 @@ class Words(dict):
         old = self.old
         self.update((k, old[k]) for k in lacking if k in old)
         lacking = list(dict.fromkeys(k for k in lacking if k not in old))
-        self.update(zip(lacking, compute_all(lacking), strict=True))
-        return list(map(self.__getitem__, keys))
+        made = dict(zip(lacking, compute_all(lacking), strict=True))
+        self.update((k, v) for k, v in made.items() if len(k) <= LONG_WORD)
+        return [made[k] if k in made else self[k] for k in keys]
 
 
 class WordBpe:
