@@ -49,6 +49,14 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(spark: SparkSession, df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """``df`` as a table of the warehouse that is dealt by a key, so that joins on the key move
+    the other side only; and the table's name, for ``DROP TABLE``."""
+    name, parts = f"trackloom_{uuid.uuid4().hex}", shuffle_parts(spark)
+    df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).sortBy(key).saveAsTable(name)
+    return spark.table(name), name
+
+
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for table in tables:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import forget, shuffle_parts, stored, whole_groups
+from ._common import bucketed, shuffle_parts, stored, text_rows, whole_groups
 
 NEIGHBOURS, REVERSE, OFFERS = 24, 16, 8
 SEED_TABLES, SEED_BLOCK, SEED_KEEP = 6, 1024, 12
@@ -165,18 +165,25 @@ def keep_best(edges: DataFrame, k: int) -> DataFrame:
 
 
 def members(graph: DataFrame, reverse: int) -> DataFrame:
-    """center, member, fresh: each node with its neighbours and a sample of its reverse neighbours."""
+    """center, member, fresh: each node with its neighbours and a sample of its reverse neighbours; who is both comes twice."""
     order = Window.partitionBy("other").orderBy(F.desc("fresh"), F.xxhash64("node", "other"))
     back = graph.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= reverse)
-    both = graph.select(F.col("node").alias("center"), F.col("other").alias("member"), "fresh").union(back.select("other", "node", "fresh"))
-    return both.groupBy("center", "member").agg(F.bool_and("fresh").alias("fresh"))
+    return graph.select(F.col("node").alias("center"), F.col("other").alias("member"), "fresh").union(back.select("other", "node", "fresh"))
+
+
+def _once(center: np.ndarray, member: np.ndarray, fresh: np.ndarray | None = None) -> np.ndarray:
+    """Rows ordered by center and member, each pair once; one that is not fresh stands for a fresh one."""
+    order = np.lexsort((np.zeros(len(center)) if fresh is None else fresh, member, center))
+    return order[np.concatenate([[True], (np.diff(center[order]) != 0) | (np.diff(member[order]) != 0)])]
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """center, member, fresh, vec, worst (sorted by center) -> offers among each center's members."""
     for center, member, fresh, vec, worst in whole_groups(batches, 1):
         center, member, fresh, worst = (x.to_numpy(zero_copy_only=False) for x in (center, member, fresh, worst))
-        vectors = _matrix(vec)
+        own = _once(center, member, fresh)
+        vectors = _matrix(vec)[own]
+        center, member, fresh, worst = center[own], member[own], fresh[own], worst[own]
         starts = np.flatnonzero(np.concatenate([[True], np.diff(center) != 0]))
         out = []
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(center)], strict=True):
@@ -216,7 +223,9 @@ def build_graph(spark: SparkSession, nodes: DataFrame, count: int, dim: int, k:
 def _pack_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """center, member, vec sorted by center -> node, ids, vecs."""
     for center, member, vec in whole_groups(batches, 1):
-        center, ids, raw = center.to_numpy(), member.to_numpy(), vec.to_pylist()
+        center, ids = center.to_numpy(), member.to_numpy()
+        own = _once(center, ids)
+        center, ids, raw = center[own], ids[own], vec.take(pa.array(own)).to_pylist()
         starts = np.flatnonzero(np.concatenate([[True], np.diff(center) != 0])).tolist()
         ends = [*starts[1:], len(center)]
         yield pa.RecordBatch.from_arrays(
@@ -282,7 +291,7 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def folded_nodes(spark: SparkSession, vectors: DataFrame, top: int) -> tuple[DataFrame, DataFrame, int]:
     """The usable rows, the distinct vectors as nodes, and their dimension."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = text_rows(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     clean = stored(spark, rows.mapInArrow(_clean_batches, "vec_id long, dim int, key binary, raw binary"), "vectors")
     common = clean.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     dim = common["dim"] if common else 1
@@ -308,11 +317,11 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = EVERY, top: in
     graph = build_graph(spark, nodes, nodes.count(), dim)
     around = members(graph, REVERSE).join(nodes.select(F.col("node").alias("member"), "vec"), "member").select("center", "member", "vec")
     # Dealt by node once, so that a step moves its frontier only.
-    lists = stored(spark, around.repartition("center").sortWithinPartitions("center").mapInArrow(_pack_lists, "node long, ids binary, vecs binary"), "lists")
+    lists, table = bucketed(spark, around.repartition("center").sortWithinPartitions("center").mapInArrow(_pack_lists, "node long, ids binary, vecs binary"), "node")
     asked = clean.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), "key").distinct()
     queries = stored(spark, asked.join(nodes, "key").select("query", "node", "vec", F.col("raw").alias("query_raw")), "queries")
     beams = stored(spark, search(spark, lists, queries), "found")
-    forget(spark, lists)
+    spark.sql(f"DROP TABLE {table}")
     # The beam's best, and every copy that can be among the nearest.
     return ranked(beams.join(queries.select("query", "query_raw"), "query").join(nodes.select("node", "ids", "raw"), "node"), top)
 
