@@ -10,7 +10,7 @@ from trackloom.functions import cameras
 from trackloom.functions import geometry as geo
 from trackloom.functions import scalars as sc
 from trackloom.operators import filters, graph, matching, pairs, partition, ranks, robust, stats, tables
-from trackloom.sources import database, exports, model_binary, model_text
+from trackloom.sources import database, exports, model_binary, model_text, snapshots
 from trackloom.streaming import events
 
 
@@ -300,3 +300,53 @@ def test_opposite_directions_turn_nowhere(spark):
     r = geo.rotation_between(up, down)
     got = one(spark, a=r[0][0], b=r[1][2], c=r[2][2])
     assert (got.a, got.b, got.c) == (1.0, 0.0, 1.0)
+
+
+def test_growing_along_chains(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (200, 201)]
+    found = dict(rows(graph.grown(spark.createDataFrame(links, "a long, b long")), "node", "root"))
+    assert found == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90, 200: 200, 201: 200}
+
+
+def test_cuts_of_small_graphs():
+    edges = [(0, 1, 3.0), (0, 2, 2.0), (1, 2, 1.0), (1, 3, 2.0), (2, 3, 4.0)]
+    assert partition.st_min_cut(edges, 0, 3) == (5.0, {0})
+    assert partition.st_min_cut([(0, 1, 1.0)], 0, 9) == (0.0, {0, 1})
+    two = [(i, j, 5.0) for g in (0, 4) for i in range(g, g + 4) for j in range(i + 1, g + 4)] + [(3, 4, 1.0)]
+    assert partition.spectral_parts(two, 2) == {i: i // 4 for i in range(8)}
+    assert partition.spectral_parts([], 3) == {}
+
+
+def test_dense_formats_round_trip(tmp_path):
+    values = np.arange(24, dtype=np.float32).reshape(2, 3, 4)
+    assert [r[2] for r in model_binary.decode_map(model_binary.encode_map(values))] == values.reshape(6, 4).tolist()
+    graph_rows = [(0, 1, [4, 5]), (1, 2, []), (1, 0, [7])]
+    assert list(model_binary.decode_consistency(model_binary.encode_consistency(3, 2, 2, graph_rows))) == graph_rows
+    lists = [[1, 2, 3], [], [9]]
+    assert list(model_binary.decode_visibility(model_binary.encode_visibility(lists))) == list(enumerate(lists))
+    assert b"element face 1" in model_binary.encode_mesh([(0, 0, 0)] * 3, [(0, 1, 2)])
+
+
+def test_binary_models_win_over_text(spark, tmp_path):
+    for end in ("txt", "bin"):
+        for x in ("cameras", "images", "points3D"):
+            (tmp_path / f"{x}.{end}").write_bytes(b"")
+        assert model_binary.found_format(spark, str(tmp_path)) == {"txt": "text", "bin": "binary"}[end]
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "cameras.bin").unlink()
+        (tmp_path / "cameras.txt").unlink()
+        model_binary.found_format(spark, str(tmp_path))
+
+
+def test_versions_appear_at_once_and_are_checked(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    one = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
+    first = snapshots.commit(spark, folder, {"images": one, "cameras": one.limit(0)})
+    with pytest.raises(Exception):  # noqa: B017  a failed write leaves the current version
+        snapshots.commit(spark, folder, {"images": one.selectExpr("id", "raise_error('no') AS name")})
+    assert rows(snapshots.load(spark, folder, check=True)["images"], "id") == [(1,), (2,)]
+    second = snapshots.commit(spark, folder, {"images": one.limit(1)})
+    assert snapshots.load(spark, folder)["images"].count() == 1 and snapshots.load(spark, folder, first)["images"].count() == 2
+    one.write.mode("overwrite").parquet(f"{folder}/versions/{second}/images")
+    with pytest.raises(ValueError):
+        snapshots.load(spark, folder, check=True)

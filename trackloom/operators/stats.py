@@ -187,3 +187,18 @@ def rescaled_keypoints(keypoints: DataFrame, sx: float, sy: float) -> DataFrame:
     """Keypoints of an image that is stretched by sx and sy."""
     by = {"x": sx, "y": sy, "a11": sx, "a12": sy, "a21": sx, "a22": sy}
     return keypoints.withColumns({c: F.col(c) * s for c, s in by.items() if c in keypoints.columns})
+
+
+def depth_gray(depths: DataFrame, low: float, high: float) -> DataFrame:
+    """Gray values (0 to 1) of positive depths between two nearest-rank percentiles of their image; others are 0."""
+    rows = ranked(depths.filter("depth > 0"), "depth", "image_id")
+    at = lambda p: element(F.round((F.col("total") - 1) * (p / 100)))
+    ends = rows.groupBy("image_id").agg(at(low).alias("lo"), at(high).alias("hi"))
+    gray = (F.greatest("lo", F.least("hi", "depth")) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
+    return depths.join(F.broadcast(ends), "image_id").withColumn("gray", F.when(F.col("depth") > 0, gray).otherwise(0.0))
+
+
+def line_way(dx: Column, dy: Column, tolerance: float) -> Column:
+    """Whether a direction is horizontal, vertical or neither."""
+    n = F.nullif(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
+    return F.when(F.abs(dx) / n + tolerance > 1, "horizontal").when(F.abs(dy) / n + tolerance > 1, "vertical").otherwise("undefined")

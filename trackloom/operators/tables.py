@@ -131,3 +131,13 @@ def load_filter(pairs: DataFrame, least: int, ignored: int | None, names: DataFr
         for side in ("image_id1", "image_id2"):
             kept = kept.join(names.select(F.col("image_id").alias(side)), side, "left_semi")
     return kept, kept.select(F.explode(F.array("image_id1", "image_id2")).alias("image_id")).distinct()
+
+
+def shared_cameras(images: DataFrame, policy: str) -> DataFrame:
+    """image_id, camera_id of found images (image_id, folder): one camera for all, for each folder, or for each image."""
+    if policy == "all":
+        return images.select("image_id", F.lit(1).cast("long").alias("camera_id"))
+    if policy == "image":
+        return numbered(images.select("image_id"), "image_id", name="camera_id")
+    folders = numbered(images.select("folder").distinct(), "folder", name="camera_id")
+    return images.join(folders, "folder").select("image_id", "camera_id")

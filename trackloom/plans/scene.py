@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as geo
-from trackloom.operators import filters, graph, journal, lidar, mapping, matching, partition, ranking, robust, stats
+from trackloom.operators import filters, graph, journal, lidar, mapping, matching, partition, ranking, robust, stats, tables
 from trackloom.plans.adapters import view
 from trackloom.plans.base import DIGITS, cols, query, rounded
 from trackloom.plans.mapping import j20_z_buffer
@@ -422,3 +422,72 @@ def m24_active_solve(spark, d):
     im = view(spark, d, "images")
     first = im.filter("registered").agg(F.min("image_id").alias("image_id"))
     return journal.active_solve(im, view(spark, d, "tracks"), first)
+
+
+@query(
+    """WITH g AS (SELECT CAST(floor(event_id/50e0) AS BIGINT) AS round, count(*) FILTER (WHERE event_id % 7 = 0) AS changed, count(*) AS adjusted FROM events GROUP BY 1), r AS (SELECT round, CASE WHEN adjusted = 0 THEN 0 ELSE changed/adjusted END AS changed FROM g),
+    f AS (SELECT min(round) AS last FROM r WHERE changed < 13e-2) SELECT round, round(changed, 6) AS changed FROM r, f WHERE f.last IS NULL OR round <= f.last"""
+)
+def w19_convergence(spark, d):
+    """Rounds of refinement up to the first whose share of changes is small."""
+    e = view(spark, d, "events").groupBy(F.floor(F.col("event_id") / 50).alias("round")).agg(F.count_if(F.col("event_id") % 7 == 0).alias("changed"), F.count("*").alias("adjusted"))
+    return rounded(ranking.until_settled(e, 0.13))
+
+
+@query(
+    f"""WITH {OVERLAP_SQL}, n AS (SELECT image_id, sum(n_rows) AS n FROM b GROUP BY image_id), f AS (SELECT image_id, row_number() OVER (ORDER BY n DESC, image_id) AS first_rank FROM n), p AS (SELECT f.image_id, f.first_rank, o.other_id, o.rank FROM f JOIN o ON o.image_id = f.image_id),
+    k AS (SELECT least(image_id, other_id) AS image_id1, greatest(image_id, other_id) AS image_id2, min(first_rank*100000+rank) AS spot FROM p GROUP BY 1, 2) SELECT image_id1, image_id2, row_number() OVER (ORDER BY spot) AS turn FROM k""",
+    "pairs",
+)
+def m01_initial_pairs(spark, d):
+    """The order in which pairs are tried first: images by correspondences, partners by overlap, each pair once."""
+    o = overlap(spark, d)
+    p = view(spark, d, "pairs")
+    both = p.select(F.col("image_id1").alias("image_id"), "n_rows").union(p.select("image_id2", "n_rows"))
+    n = both.groupBy("image_id").agg(F.sum("n_rows").alias("n"))
+    first = n.select("image_id", F.row_number().over(Window.orderBy(F.desc("n"), "image_id")).alias("first_rank"))
+    return ranking.pair_turns(first, o)
+
+
+@query(
+    """WITH l AS (SELECT image_id, depth, row_number() OVER (PARTITION BY image_id ORDER BY depth)-1 AS rk, count(*) OVER (PARTITION BY image_id) AS n FROM observed WHERE depth > 0),
+    b AS (SELECT image_id, min(depth) FILTER (WHERE rk = CAST(round(5e-2*(n-1)) AS BIGINT)) AS lo, min(depth) FILTER (WHERE rk = CAST(round(95e-2*(n-1)) AS BIGINT)) AS hi FROM l GROUP BY image_id)
+    SELECT o.image_id, point3d_id, CASE WHEN depth > 0 THEN round((greatest(lo, least(hi, depth))-lo)/nullif(hi-lo, 0), 5) ELSE 0 END AS gray FROM observed AS o JOIN b ON o.image_id = b.image_id""",
+    "observed",
+)
+def v03_depth_gray(spark, d):
+    """Depths as gray values between two robust percentiles of their image."""
+    o = view(spark, d, "observed").select("image_id", "point3d_id", "depth")
+    return stats.depth_gray(o, 5, 95).select("image_id", "point3d_id", F.round("gray", 5).alias("gray"))
+
+
+@query(
+    """SELECT lidar_id, CASE WHEN abs(nx)/sqrt(nx*nx+nz*nz)+25e-2 > 1 THEN 'horizontal' WHEN abs(nz)/sqrt(nx*nx+nz*nz)+25e-2 > 1 THEN 'vertical' ELSE 'undefined' END AS way FROM lidar WHERE nx*nx+nz*nz > 0""",
+    "lidar",
+)
+def v10_line_ways(spark, d):
+    """Segments whose direction is near one of the axes."""
+    rows = view(spark, d, "lidar").filter("nx*nx+nz*nz > 0")
+    return rows.select("lidar_id", stats.line_way(F.col("nx"), F.col("nz"), 0.25).alias("way"))
+
+
+@query(
+    """WITH i AS (SELECT image_id, camera_id, name, CASE WHEN image_id % 4 = 0 THEN 'north' ELSE 'south' END AS folder FROM images) SELECT image_id, dense_rank() OVER (ORDER BY folder) AS by_folder, 1 AS by_all, row_number() OVER (ORDER BY image_id) AS by_image FROM i""", "images"
+)
+def s26_shared_cameras(spark, d):
+    """Camera ids of found images under the three sharing policies."""
+    im = view(spark, d, "images").select("image_id", F.when(F.col("image_id") % 4 == 0, "north").otherwise("south").alias("folder"))
+    by = lambda policy: tables.shared_cameras(im, policy).select("image_id", F.col("camera_id").alias(f"by_{policy}"))
+    return by("folder").join(by("all"), "image_id").join(by("image"), "image_id")
+
+
+@query(None)
+def v02_fused_points(spark, d):
+    """Observations whose depths agree grow together into fused points, each the median of its members."""
+    both = stats.co_observations(view(spark, d, "observed"), "idx", "depth")
+    gap = (F.col("image_id1") - F.col("image_id2")).cast("double")
+    links = filters.consistent_pixels(both.withColumn("e2", gap * gap / 100).withColumn("cosine", F.lit(1.0)), 0.05, 3.0, 0.9)
+    node = lambda k: (F.col(f"image_id{k}") * 1_000_000 + F.col(f"idx{k}")).alias("ab"[k - 1])
+    groups = graph.grown(links.select(node(1), node(2)))
+    o = view(spark, d, "observed").select((F.col("image_id") * 1_000_000 + F.col("idx")).alias("node"), "x", "y", "z")
+    return rounded(groups.join(o, "node").groupBy("root").agg(F.count("*").alias("n"), *(F.median(c).alias(c) for c in "xyz")).filter("n >= 2"))

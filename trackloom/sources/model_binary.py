@@ -150,3 +150,59 @@ def read(spark: SparkSession, path: str, kind: str, rows: int = 20_000) -> DataF
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(kernel, f"path string, {schema}")
+
+
+def encode_map(values: np.ndarray) -> bytes:
+    """The dense map of an array (height, width, depth)."""
+    height, width, depth = values.shape
+    return f"{width}&{height}&{depth}&".encode() + np.ascontiguousarray(values.transpose(2, 0, 1), "<f4").tobytes()
+
+
+def decode_consistency(data: bytes) -> Iterator[tuple]:
+    """row, col, images of a consistency graph: text sizes, then ``col row n image..`` as int32."""
+    own = np.frombuffer(data.split(b"&", 3)[3], "<i4")
+    at = 0
+    while at + 2 < len(own):
+        n = int(own[at + 2])
+        yield int(own[at + 1]), int(own[at]), own[at + 3 : at + 3 + n].tolist()
+        at += 3 + n
+
+
+def encode_consistency(width: int, height: int, depth: int, rows: list[tuple]) -> bytes:
+    """The consistency graph of (row, col, images) rows."""
+    flat = [x for row, col, images in rows for x in (col, row, len(images), *images)]
+    return f"{width}&{height}&{depth}&".encode() + np.array(flat, "<i4").tobytes()
+
+
+def encode_visibility(points: list[list[int]]) -> bytes:
+    """The images of each fused point: a count, then a list each."""
+    return struct.pack("<Q", len(points)) + b"".join(struct.pack(f"<I{len(p)}I", len(p), *p) for p in points)
+
+
+def decode_visibility(data: bytes) -> Iterator[tuple]:
+    """point, images of a visibility file."""
+    at = 8
+    for point in range(struct.unpack_from("<Q", data)[0]):
+        (n,) = struct.unpack_from("<I", data, at)
+        yield point, list(struct.unpack_from(f"<{n}I", data, at + 4))
+        at += 4 + 4 * n
+
+
+def encode_mesh(vertices: list[tuple], faces: list[tuple]) -> bytes:
+    """ASCII PLY of a mesh: x, y, z vertices and triangles of their numbers."""
+    head = ["ply", "format ascii 1.0", f"element vertex {len(vertices)}", *(f"property float {c}" for c in "xyz"), f"element face {len(faces)}", "property list uchar int vertex_index", "end_header"]
+    return "\n".join([*head, *(" ".join(map(str, v)) for v in vertices), *(f"3 {a} {b} {c}" for a, b, c in faces), ""]).encode()
+
+
+FORMATS |= {"consistency": (decode_consistency, "row int, col int, images array<int>"), "visibility": (decode_visibility, "point long, images array<int>")}
+
+
+def found_format(spark: SparkSession, folder: str) -> str:
+    """``binary`` where a model's folder has all three binary files, ``text`` where it has all text
+    files; binary wins. Raises where it has neither."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = {str(f.getPath().getName()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)}
+    for kind, end in (("binary", "bin"), ("text", "txt")):
+        if {f"{x}.{end}" for x in ("cameras", "images", "points3D")} <= names:
+            return kind
+    raise FileNotFoundError(f"{folder} holds no model")
