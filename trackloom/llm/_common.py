@@ -46,7 +46,9 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     and a lost executor loses nothing."""
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def bucketed(spark: SparkSession, df: DataFrame, key: str) -> tuple[DataFrame, str]:
@@ -60,9 +62,8 @@ def bucketed(spark: SparkSession, df: DataFrame, key: str) -> tuple[DataFrame, s
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for table in tables:
-        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        at = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_rows(df: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ._common import bucketed, shuffle_parts, stored, text_rows, whole_groups
 
-NEIGHBOURS, REVERSE, OFFERS = 24, 16, 8
+NEIGHBOURS, REVERSE, OFFERS, OLD = 24, 16, 8, 8
 SEED_TABLES, SEED_BLOCK, SEED_KEEP = 6, 1024, 12
 ROUNDS, SETTLED = 5, 0.02
 BEAM, STEPS = 192, (1, 24, 48, 64, 64)
@@ -112,11 +112,12 @@ def _seed_keys(batches, dim: int, bits: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vectors), table, np.int32)), pa.array(code), pa.array(sides[:, bits].astype(np.float64)), *batch.columns], ["table", "code", "place", "node", "vec"])
 
 
-EDGES = "node long, other long, sim float, fresh boolean"
+EDGES = "node long, other long, sim float, fresh boolean, place int"
 
 
-def _edge_batch(a, b, sim, fresh) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sim, pa.float32()), pa.array(fresh, pa.bool_())], ["node", "other", "sim", "fresh"])
+def _edge_batch(a, b, sim, fresh, place=None) -> pa.RecordBatch:
+    place = np.zeros(len(a), np.int32) if place is None else place.astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sim, pa.float32()), pa.array(fresh, pa.bool_()), pa.array(place)], ["node", "other", "sim", "fresh", "place"])
 
 
 def _block_edges(nodes: np.ndarray, vectors: np.ndarray, k: int) -> pa.RecordBatch:
@@ -147,8 +148,8 @@ def _seed_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Reco
 
 
 def _keep_best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Edges sorted by node -> each node's k best; an edge seen before stays no longer fresh."""
-    for node, other, sim, fresh in whole_groups(batches, 1):
+    """Edges sorted by node -> each node's k best with their place; an edge seen before stays no longer fresh."""
+    for node, other, sim, fresh, _ in whole_groups(batches, 1):
         node, other, sim, fresh = (x.to_numpy(zero_copy_only=False) for x in (node, other, sim, fresh))
         order = np.lexsort((fresh, other, node))
         first = np.concatenate([[True], (np.diff(node[order]) != 0) | (np.diff(other[order]) != 0)])
@@ -156,18 +157,21 @@ def _keep_best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
         own = own[np.lexsort((other[own], -sim[own], node[own]))]
         starts = np.flatnonzero(np.concatenate([[True], np.diff(node[own]) != 0]))
         rank = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
-        own = own[rank < k]
-        yield _edge_batch(node[own], other[own], sim[own], fresh[own])
+        own, rank = own[rank < k], rank[rank < k]
+        yield _edge_batch(node[own], other[own], sim[own], fresh[own], rank)
 
 
 def keep_best(edges: DataFrame, k: int) -> DataFrame:
     return edges.repartition("node").sortWithinPartitions("node").mapInArrow(lambda b: _keep_best(b, k), EDGES)
 
 
-def members(graph: DataFrame, reverse: int) -> DataFrame:
-    """center, member, fresh: each node with its neighbours and a sample of its reverse neighbours; who is both comes twice."""
+def members(graph: DataFrame, reverse: int, old: int | None = None) -> DataFrame:
+    """center, member, fresh: each node with its neighbours and a sample of its reverse neighbours; who is
+    both comes twice. Of neighbours and reverse ones that are not fresh, ``old`` are enough each where it is given."""
     order = Window.partitionBy("other").orderBy(F.desc("fresh"), F.xxhash64("node", "other"))
     back = graph.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= reverse)
+    if old is not None:
+        graph, back = graph.filter(F.col("fresh") | (F.col("place") < old)), back.filter(F.col("fresh") | (F.col("rank") <= old))
     return graph.select(F.col("node").alias("center"), F.col("other").alias("member"), "fresh").union(back.select("other", "node", "fresh"))
 
 
@@ -212,7 +216,7 @@ def build_graph(spark: SparkSession, nodes: DataFrame, count: int, dim: int, k:
     for _ in range(rounds):
         worst = graph.groupBy("node").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
         state = nodes.select("node", "vec").join(worst, "node", "left").select(F.col("node").alias("member"), "vec", F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-        meeting = members(graph, REVERSE).join(state, "member").select("center", "member", "fresh", "vec", "worst")
+        meeting = members(graph, REVERSE, OLD).join(state, "member").select("center", "member", "fresh", "vec", "worst")
         offers = meeting.repartition("center").sortWithinPartitions("center").mapInArrow(_meet, EDGES)
         graph = stored(spark, keep_best(graph.withColumn("fresh", F.lit(False)).unionByName(offers), k), "graph")
         if graph.filter("fresh").count() < SETTLED * count * k:
