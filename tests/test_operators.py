@@ -350,3 +350,12 @@ def test_versions_appear_at_once_and_are_checked(spark, tmp_path):
     one.write.mode("overwrite").parquet(f"{folder}/versions/{second}/images")
     with pytest.raises(ValueError):
         snapshots.load(spark, folder, check=True)
+
+
+def test_words_block_by_block(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((50, 8)))], "word_id long, centroid array<double>")
+    df = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(rng.standard_normal((40, 8)))], "image_id long, idx int, descriptor array<double>")
+    whole = rows(matching.nearest_words(df, words, 3), "idx", "word_id")
+    monkeypatch.setattr(matching, "WORD_BLOCK", 7)
+    assert rows(matching.nearest_words(df, words, 3), "idx", "word_id") == whole and len(whole) == 120

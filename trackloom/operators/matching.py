@@ -46,12 +46,23 @@ def guided(scored: DataFrame, residual: Column, most: float) -> DataFrame:
     return scored.filter(residual <= most * most)
 
 
+#: Words that are broadcast at once: 8,192 centroids of 128 numbers are 8 MB.
+WORD_BLOCK = 8192
+
+
 def nearest_words(descriptors: DataFrame, words: DataFrame, k: int) -> DataFrame:
-    """The k nearest words of each descriptor. The vocabulary has a fixed size and is broadcast."""
-    d2 = F.aggregate(F.zip_with("descriptor", "centroid", lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
-    scored = descriptors.join(F.broadcast(words)).withColumn("d2", d2).drop("centroid")
+    """The k nearest words of each descriptor. A vocabulary of more than ``WORD_BLOCK`` words is broadcast
+    block by block, and the best of all blocks win."""
+    blocks = -(-words.count() // WORD_BLOCK)
     order = Window.partitionBy("image_id", "idx").orderBy("d2", "word_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank", "d2")
+    best = lambda df: df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
+    d2 = F.aggregate(F.zip_with("descriptor", "centroid", lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
+    found = None
+    for block in range(max(1, blocks)):
+        own = words if blocks <= 1 else words.filter(F.pmod(F.xxhash64("word_id"), F.lit(blocks)) == block)
+        part = best(descriptors.join(F.broadcast(own)).withColumn("d2", d2).drop("centroid"))
+        found = part if found is None else found.unionByName(part)
+    return (found if blocks <= 1 else best(found)).drop("d2")
 
 
 def idf(postings: DataFrame) -> DataFrame:

@@ -98,12 +98,12 @@ def align_groups(rows: DataFrame, key: str, most: float, seed: int = 0) -> DataF
 
 
 def triangulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Linear two-view triangulation of rows with p1, p2 (12 numbers each) and pixels."""
+    """Linear two-view triangulation of rows with p1, p2 (12 numbers each) and pixels, a batch at a time."""
+    from trackloom.operators.solvers import triangulated
+
     for pdf in batches:
-        out = []
-        for r in pdf.itertuples(index=False):
-            a, b = np.reshape(r.p1, (3, 4)), np.reshape(r.p2, (3, 4))
-            m = np.stack([r.u1 * a[2] - a[0], r.v1 * a[2] - a[1], r.u2 * b[2] - b[0], r.v2 * b[2] - b[1]])
-            x = np.linalg.svd(m)[2][-1]
-            out.append((r.id, *(x[:3] / x[3] if abs(x[3]) > 1e-12 else (None,) * 3)))
-        yield pd.DataFrame(out, columns=["id", "x", "y", "z"])
+        if len(pdf):
+            p = np.stack([np.stack(pdf[c].to_numpy()).astype(float).reshape(-1, 3, 4) for c in ("p1", "p2")], axis=1)
+            x = np.stack([pdf[["u1", "v1"]].to_numpy(float), pdf[["u2", "v2"]].to_numpy(float)], axis=1)
+            found = triangulated(p, x)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), **{c: np.where(np.isnan(found[:, i]), None, found[:, i]) for i, c in enumerate("xyz")}})
