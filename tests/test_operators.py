@@ -238,6 +238,8 @@ def test_trigger_stream(spark, tmp_path):
     q = events.global_triggers(stream).writeStream.outputMode("append").format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "c2")).start()
     q.processAllAvailable()
     q.stop()
+    table = spark.createDataFrame(growth, "model_id long, seq long, images long, points long")
+    assert rows(events.global_triggers(table), "model_id", "images", "points", "fired") == rows(spark.table("fired"), "model_id", "images", "points", "fired")
     assert rows(spark.table("fired"), "model_id", "images", "points", "fired") == [(1, 2, 100, True), (1, 3, 105, True), (1, 4, 300, True), (2, 10, 1000, True), (2, 10, 1001, False), (2, 12, 1001, True)]
 
 

@@ -301,6 +301,33 @@ def essential(q: Vector, t: Vector) -> tuple[Vector, Vector, Vector]:
     return tuple(tuple(u[(i + 1) % 3] * r[(i + 2) % 3][j] - u[(i + 2) % 3] * r[(i + 1) % 3][j] for j in range(3)) for i in range(3))
 
 
+def epipoles(q: Vector, t: Vector) -> tuple[Vector, Vector]:
+    """Where each camera of a relative pose sees the other one, as unit rays: in the first, in the second."""
+    n = F.nullif(norm(t), F.lit(0.0))
+    u = tuple(c / n for c in t)
+    r = rotation(q)
+    return tuple(-sum((r[i][j] * u[i] for i in range(1, 3)), r[0][j] * u[0]) for j in range(3)), u
+
+
+def plane_homography(q: Vector, t: Vector, normal: Vector, distance, one: Vector, two: Vector) -> tuple[Vector, Vector, Vector]:
+    """Homography that the plane (unit normal, distance) in the first camera's frame induces between two pinhole images (f, cx, cy)."""
+    r = rotation(q)
+    m = tuple(tuple(r[i][j] - t[i] * normal[j] / distance for j in range(3)) for i in range(3))
+    left = (*(tuple(two[0] * m[i][j] + two[1 + i] * m[2][j] for j in range(3)) for i in range(2)), m[2])
+    return tuple((a / one[0], b / one[0], c - (a * one[1] + b * one[2]) / one[0]) for a, b, c in left)
+
+
+def projection_rows(q: Vector, t: Vector, cam: Vector, f: Column) -> list[tuple[Vector, Vector, Vector]]:
+    """Derivatives of a pinhole pixel, for u and for v: by the world point, by a small turn of the camera, by its translation."""
+    r, low = rotation(q), F.nullif(cam[2], F.lit(0.0))
+    turned = minus(cam, t)
+    out = []
+    for k in range(2):
+        by_move = tuple(f / low if i == k else (-f * cam[k] / (low * low) if i == 2 else F.lit(0.0)) for i in range(3))
+        out.append((tuple(dot(by_move, tuple(r[i][j] for i in range(3))) for j in range(3)), cross(turned, by_move), by_move))
+    return out
+
+
 def keypoint_shape(a11: Column, a12: Column, a21: Column, a22: Column) -> Vector:
     """Scale, orientation and shear of a keypoint's affine shape."""
     turn = F.atan2(a21, a11)

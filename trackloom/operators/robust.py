@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,6 +34,32 @@ def best_model(supports: DataFrame, group: str, model: str) -> DataFrame:
     return supports.groupBy(group).agg(best.alias("m")).select(group, F.col(f"m.{model}").alias(model), (-F.col("m.i")).alias("inliers"), "m.total")
 
 
+def decision_threshold(bad: float, good: float, eval_time: float = 200.0, models: float = 1.0, rounds: int = 100) -> float:
+    """Likelihood ratio from which a sequential test gives a model up: A = A0 + ln A."""
+    gain = (1 - bad) * math.log((1 - bad) / (1 - good)) + bad * math.log(bad / good)
+    start = found = eval_time * gain / models + 1
+    for _ in range(rounds):
+        then = start + math.log(found)
+        if abs(then - found) < 1.5e-8:
+            break
+        found = then
+    return found
+
+
+def sequential_test(residuals: DataFrame, keys: list[str], order: str, most: float, bad: float = 0.01, good: float = 0.1, decision: float | None = None) -> DataFrame:
+    """Each model's residuals (r) are looked at in their order until it is surely a bad one: whether it
+    stands, the inliers met and the residuals looked at. The running counts are whole numbers, so the
+    result depends on no order of sums. A model's residuals are sorted in one task."""
+    limit = math.log(decision or decision_threshold(bad, good))
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ok = F.abs("r") <= most
+    run = residuals.select(*keys, F.count_if(ok).over(so_far).alias("met"), F.count("*").over(so_far).alias("at"))
+    ratio = F.col("met") * math.log(bad / good) + (F.col("at") - F.col("met")) * math.log((1 - bad) / (1 - good))
+    ended = F.struct(F.when(ratio > limit, F.col("at")).alias("at"), "met")
+    rows = run.groupBy(*keys).agg(F.min(F.when(ratio > limit, ended)).alias("out"), F.max(F.struct("at", "met")).alias("all"))
+    return rows.select(*keys, F.col("out").isNull().alias("stands"), F.coalesce("out.met", "all.met").alias("inliers"), F.coalesce("out.at", "all.at").alias("looked_at"))
+
+
 def calibrated_config(e: Column, f: Column, h: Column, least: int = 15, ef: float = 0.95, hr: float = 0.8) -> Column:
     """Two-view configuration from inlier counts: degenerate 1, calibrated 2,
     uncalibrated 3, planar or panoramic 6."""

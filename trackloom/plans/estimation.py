@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.operators import robust
 from trackloom.plans.adapters import view
 from trackloom.plans.base import query, rounded
+from trackloom.streaming import events
 
 
 @query(
@@ -60,3 +62,30 @@ def e01_align_models(spark, d):
     off = F.when(F.col("point3d_id") % 9 == 0, 500 + F.col("point3d_id") * 7 % 1000).otherwise(0)
     rows = p.select((F.col("point3d_id") % 4).alias("g"), *(F.col(c).alias(f"{c}1") for c in "xyz"), (2 * (F.col("x") * 0.6 - F.col("y") * 0.8) + off).alias("x2"), (2 * (F.col("x") * 0.8 + F.col("y") * 0.6) + off * 2).alias("y2"), (2 * F.col("z") + 5).alias("z2"))
     return robust.align_groups(rows, "g", 0.5).select("g", "n", "inliers", F.round("scale", 6).alias("scale"))
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT 200*(8e-1*ln(8e-1/5e-1)+2e-1*ln(2e-1/5e-1))+1 AS a0), a(k, a) AS (SELECT 0, a0 FROM c UNION ALL SELECT k+1, a0+ln(a) FROM a, c WHERE k < 40),
+    m AS (SELECT event_type, CAST(user_id % 10 AS INT) AS model, value, row_number() OVER w AS seen, count(*) FILTER (WHERE abs(value*(1+user_id % 10)/5e0) <= 60) OVER w AS met FROM events WINDOW w AS (PARTITION BY event_type, user_id % 10 ORDER BY event_id)),
+    r AS (SELECT *, met*ln(2e-1/5e-1)+(seen-met)*ln(8e-1/5e-1) > (SELECT ln(a) FROM a WHERE k = 40) AS past FROM m), f AS (SELECT event_type, model, min(seen) FILTER (WHERE past) AS out, max(seen) AS n FROM r GROUP BY ALL)
+    SELECT f.event_type, f.model, f.out IS NULL AS stands, r.met AS inliers, r.seen AS looked_at FROM f JOIN r ON f.event_type = r.event_type AND f.model = r.model AND r.seen = coalesce(f.out, f.n)"""
+)
+def e07_sequential_test(spark, d):
+    """Models are given up as soon as their residuals make a good one too unlikely."""
+    r = view(spark, d, "events").select("event_type", (F.col("user_id") % 10).cast("int").alias("model"), "event_id", (F.col("value") * (1 + F.col("user_id") % 10) / 5).alias("r"))
+    return robust.sequential_test(r, ["event_type", "model"], "event_id", 60.0, 0.2, 0.5)
+
+
+@query(
+    """WITH RECURSIVE g AS (SELECT s_nationkey % 4 AS model_id, row_number() OVER w AS images, CAST(sum(1000*(s_suppkey % 7)+1) OVER w AS BIGINT) AS points FROM supplier WINDOW w AS (PARTITION BY s_nationkey % 4 ORDER BY s_suppkey)),
+    t AS (SELECT model_id, images, points, TRUE AS fired, images AS i0, points AS p0 FROM g WHERE images = 1 UNION ALL
+    SELECT model_id, images, points, fired, CASE WHEN fired THEN images ELSE i0 END, CASE WHEN fired THEN points ELSE p0 END FROM (
+    SELECT g.model_id, g.images, g.points, g.images >= t.i0*12e-1 OR g.images >= t.i0+9 OR g.points >= t.p0*125e-2 OR g.points >= t.p0+20000 AS fired, t.i0, t.p0 FROM t JOIN g ON g.model_id = t.model_id AND g.images = t.images+1) AS s)
+    SELECT CAST(model_id AS BIGINT) AS model_id, images, points, fired FROM t"""
+)
+def w17_global_triggers(spark, d):
+    """The registrations that set a global refinement off, by model."""
+    so_far = Window.partitionBy("model_id").orderBy("seq")
+    s = view(spark, d, "supplier").select((F.col("s_nationkey") % 4).cast("long").alias("model_id"), F.col("s_suppkey").alias("seq"))
+    growth = s.select("model_id", "seq", F.row_number().over(so_far).cast("long").alias("images"), F.sum(1000 * (F.col("seq") % 7) + 1).over(so_far).cast("long").alias("points"))
+    return events.global_triggers(growth, 1.2, 9, 1.25, 20_000)

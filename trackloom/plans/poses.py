@@ -345,3 +345,66 @@ def r02_training_images(spark, d):
     """A fixed shuffle of the images that may train a vocabulary."""
     im = view(spark, d, "images").filter("image_id % 3 <> 0").withColumn("key", F.col("image_id") * 7919 % 1009)
     return im.select("image_id", F.row_number().over(Window.orderBy("key", "image_id")).alias("place"))
+
+
+PAIR_SQL = """WITH m AS (SELECT a.image_id AS image_id1, b.image_id AS image_id2, cos(1e-1*(b.image_id-a.image_id)) AS c, sin(1e-1*(b.image_id-a.image_id)) AS s, a.tx AS x, a.ty AS y, a.tz AS z, b.tx AS x2, b.ty AS y2, b.tz AS z2,
+    ca.f AS f1, ca.cx AS cx1, ca.cy AS cy1, cb.f AS f2, cb.cx AS cx2, cb.cy AS cy2 FROM pairs AS p JOIN images AS a ON p.image_id1 = a.image_id JOIN images AS b ON p.image_id2 = b.image_id JOIN cameras AS ca ON a.camera_id = ca.camera_id JOIN cameras AS cb ON b.camera_id = cb.camera_id),
+    t AS (SELECT *, x2-(c*x-s*y) AS tx, y2-(s*x+c*y) AS ty, z2-z AS tz FROM m), u AS (SELECT *, tx/n AS ux, ty/n AS uy, tz/n AS uz FROM (SELECT *, CASE WHEN sqrt(tx*tx+ty*ty+tz*tz) > 1e-9 THEN sqrt(tx*tx+ty*ty+tz*tz) END AS n FROM t) AS t)"""
+
+
+def _image_pairs(spark, d):
+    """Image pairs with their relative pose (q0 to q3, t0 to t2) and both cameras."""
+    pose = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
+    names = ("image_id", *pose, "f", "cx", "cy", "ox", "oy", "oz")
+    i = view(spark, d, "images").join(view(spark, d, "cameras"), "camera_id").select("image_id", *pose, "f", "cx", "cy", *(c.alias(n) for c, n in zip(geo.center(cols(*pose[:4]), cols(*pose[4:])), ("ox", "oy", "oz"), strict=True)))
+    one, two = (i.select(*(F.col(n).alias(f"{n}{k}") for n in names)) for k in (1, 2))
+    apart = geo.norm(geo.minus(cols("ox1", "oy1", "oz1"), cols("ox2", "oy2", "oz2"))) > 1e-9
+    both = view(spark, d, "pairs").select("image_id1", "image_id2").join(one, "image_id1").join(two, "image_id2").filter(apart)
+    q, t = geo.relative_pose(cols("qw1", "qx1", "qy1", "qz1"), cols("tx1", "ty1", "tz1"), cols("qw2", "qx2", "qy2", "qz2"), cols("tx2", "ty2", "tz2"))
+    return both.select("image_id1", "image_id2", *(F.col(f"{n}{k}") for k in (1, 2) for n in ("f", "cx", "cy")), *(c.alias(f"q{k}") for k, c in enumerate(q)), *(c.alias(f"t{k}") for k, c in enumerate(t)))
+
+
+@query(
+    PAIR_SQL
+    + """ SELECT image_id1, image_id2, round(-uz*s, 6)+0e0 AS e11, round(-uz*c, 6)+0e0 AS e12, round(uy, 6)+0e0 AS e13, round(ux*s-uy*c, 6)+0e0 AS e31, round(uy*s+ux*c, 6)+0e0 AS e32,
+    round(-(c*ux+s*uy), 6)+0e0 AS ox, round(s*ux-c*uy, 6)+0e0 AS oy, round(-uz, 6)+0e0 AS oz, round(ux, 6)+0e0 AS px, round(uy, 6)+0e0 AS py, round(uz, 6)+0e0 AS pz FROM u WHERE n IS NOT NULL""",
+    "pairs images cameras",
+)
+def f69_essential_epipoles(spark, d):
+    """Essential matrices of known poses, and the epipoles of both images."""
+    q, t = cols("q0", "q1", "q2", "q3"), cols("t0", "t1", "t2")
+    e, (first, second) = geo.essential(q, t), geo.epipoles(q, t)
+    wanted = (*e[0], *e[2][:2], *first, *second)
+    return _image_pairs(spark, d).select("image_id1", "image_id2", *((F.round(c, DIGITS) + 0.0).alias(n) for c, n in zip(wanted, "e11 e12 e13 e31 e32 ox oy oz px py pz".split(), strict=True)))
+
+
+@query(
+    PAIR_SQL
+    + """ SELECT image_id1, image_id2, round(f2*(1e-1*c+2e-1*s-tx/2e1)/(1-tz/2e1)+cx2, 4)+0e0 AS x, round(f2*(1e-1*s-2e-1*c-ty/2e1)/(1-tz/2e1)+cy2, 4)+0e0 AS y FROM u WHERE n IS NOT NULL""",
+    "pairs images cameras",
+)
+def f69_plane_homography(spark, d):
+    """Where a pixel of the first image lies in the second, through a plane 20 before the first camera."""
+    plane = (F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    h = geo.plane_homography(cols("q0", "q1", "q2", "q3"), cols("t0", "t1", "t2"), plane, F.lit(20.0), cols("f1", "cx1", "cy1"), cols("f2", "cx2", "cy2"))
+    at = (F.col("cx1") + 0.1 * F.col("f1"), F.col("cy1") - 0.2 * F.col("f1"), F.lit(1.0))
+    x, y, low = (geo.dot(r, at) for r in h)
+    return _image_pairs(spark, d).select("image_id1", "image_id2", (F.round(x / low, 4) + 0.0).alias("x"), (F.round(y / low, 4) + 0.0).alias("y"))
+
+
+@query(
+    """WITH v AS (SELECT o.point3d_id, o.image_id, f*px/depth+cx-u AS ru, f*py/depth+cy-v AS rv, f/depth AS a, -f*px/(depth*depth) AS b, -f*py/(depth*depth) AS e, 1-2*qz*qz AS c, 2*qw*qz AS s, px-tx AS vx, py-ty AS vy, depth-tz AS vz
+    FROM points2d AS o JOIN images AS i ON o.image_id = i.image_id WHERE depth > 5e-1)
+    SELECT point3d_id, image_id, round(ru, 4)+0e0 AS ru, round(rv, 4)+0e0 AS rv, round(a*c, 4)+0e0 AS ux, round(-a*s, 4)+0e0 AS uy, round(b, 4)+0e0 AS uz, round(vy*b, 4)+0e0 AS u1, round(vz*a-vx*b, 4)+0e0 AS u2, round(-vy*a, 4)+0e0 AS u3,
+    round(a*s, 4)+0e0 AS vx, round(a*c, 4)+0e0 AS vy, round(e, 4)+0e0 AS vz, round(vy*e-vz*a, 4)+0e0 AS v1, round(-vx*e, 4)+0e0 AS v2, round(vx*a, 4)+0e0 AS v3 FROM v""",
+    "points2d images",
+)
+def m15_visual_evaluation(spark, d):
+    """Residuals of all observations and their derivatives by point and by turn of the camera."""
+    poses = view(spark, d, "images").select("image_id", "qw", "qx", "qy", "qz", "tx", "ty", "tz")
+    o = view(spark, d, "points2d").filter("depth > 0.5").join(poses, "image_id")
+    cam, f = cols("px", "py", "depth"), F.col("f")
+    (by_u, turn_u, _), (by_v, turn_v, _) = geo.projection_rows(cols("qw", "qx", "qy", "qz"), cols("tx", "ty", "tz"), cam, f)
+    found = [c - F.col(n) for c, n in zip(geo.project(cam, f, *cols("cx", "cy")), "uv", strict=True)]
+    wanted = zip((*found, *by_u, *turn_u, *by_v, *turn_v), "ru rv ux uy uz u1 u2 u3 vx vy vz v1 v2 v3".split(), strict=True)
+    return o.select("point3d_id", "image_id", *((F.round(c, 4) + 0.0).alias(n) for c, n in wanted))

@@ -33,16 +33,22 @@ def global_triggers(growth: DataFrame, image_ratio: float = 1.1, image_step: int
     """Which registrations set a global refinement off: growth of images or points
     since the last one by a ratio or a step. growth: model_id, seq, images, points."""
 
+    def run(pdf: pd.DataFrame, images: int, points: int) -> tuple[pd.DataFrame, int, int]:
+        out = []
+        for r in pdf.sort_values("seq").itertuples(index=False):
+            fired = r.images >= images * image_ratio or r.images >= images + image_step or r.points >= points * point_ratio or r.points >= points + point_step
+            if fired:
+                images, points = int(r.images), int(r.points)
+            out.append((r.model_id, r.images, r.points, bool(fired)))
+        return pd.DataFrame(out, columns=["model_id", "images", "points", "fired"]), images, points
+
     def kernel(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         images, points = state.get if state.exists else (0, 0)
         for pdf in parts:
-            out = []
-            for r in pdf.sort_values("seq").itertuples(index=False):
-                fired = r.images >= images * image_ratio or r.images >= images + image_step or r.points >= points * point_ratio or r.points >= points + point_step
-                if fired:
-                    images, points = int(r.images), int(r.points)
-                out.append((key[0], r.images, r.points, bool(fired)))
-            yield pd.DataFrame(out, columns=["model_id", "images", "points", "fired"])
+            out, images, points = run(pdf, images, points)
+            yield out
         state.update((images, points))
 
+    if not growth.isStreaming:  # one row a registered image; a model's rows follow each other in one task
+        return growth.groupBy("model_id").applyInPandas(lambda pdf: run(pdf, 0, 0)[0], TRIGGERS)
     return growth.groupBy("model_id").applyInPandasWithState(kernel, TRIGGERS, "images long, points long", "append", GroupStateTimeout.NoTimeout)
