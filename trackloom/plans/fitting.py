@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as geo
 from trackloom.operators import estimation as est
+from trackloom.operators import rig
 from trackloom.operators import solvers as sv
 from trackloom.plans.adapters import view
 from trackloom.plans.base import cols, query
@@ -202,3 +203,34 @@ def m02_initial_pair(spark, d):
     scale = np.linalg.norm([-1.0, 0.5, 0.25])
     near = np.abs(points[:, :2] / points[:, 2:] - a[mask]).max() < 1e-6 and 5 < np.median(points[:, 2] * scale) < 17 and t[0] < 0
     return spark.createDataFrame([(len(rows), bool(near))], "points long, near boolean")
+
+
+def _rig_images(spark, d):
+    """The poses of images as those of a rig's first camera, and two more cameras beside it, each turned about z
+    and moved by its number; of every fifth snapshot the first camera's image is missing."""
+    i = view(spark, d, "images").select(F.col("image_id").alias("snapshot"), "qw", "qx", "qy", "qz", "tx", "ty", "tz")
+    i = i.select("*", F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 2, 3)))).alias("camera_id"))
+    k = (F.col("camera_id") - 1).cast("double")
+    q, t = geo.chained_pose(cols("qw", "qx", "qy", "qz"), cols("tx", "ty", "tz"), (F.cos(k / 20), F.lit(0.0), F.lit(0.0), F.sin(k / 20)), (k, k / 2, -k / 4))
+    posed = i.select("snapshot", "camera_id", *(c.alias(n) for c, n in zip((*q, *t), rig.Q + rig.T, strict=True)))
+    return posed.filter("camera_id > 1 OR snapshot % 5 <> 0")
+
+
+@query(
+    """SELECT CAST(k AS BIGINT) AS camera_id, count(*) AS snapshots, round(cos((k-1)/2e1), 6) AS qw, round(sin((k-1)/2e1), 6)+0e0 AS qz, round(k-1e0, 6)+0e0 AS tx, round((k-1)/2e0, 6)+0e0 AS ty, round(-(k-1)/4e0, 6)+0e0 AS tz
+    FROM images, (SELECT unnest([1, 2, 3]) AS k) AS r WHERE image_id % 5 <> 0 GROUP BY k""",
+    "images",
+)
+def g29_rig_poses(spark, d):
+    """Poses of a rig's cameras relative to its first one."""
+    found = rig.relative_poses(_rig_images(spark, d), 1)
+    return found.select("camera_id", "snapshots", *((F.round(c, 6) + 0.0).alias(c) for c in ("qw", "qz", "tx", "ty", "tz")))
+
+
+@query("SELECT 5e-1 AS scale, 3*count(*) FILTER (WHERE image_id % 5 <> 0)+count(*) FILTER (WHERE image_id % 5 = 0) AS pairs FROM images", "images")
+def g29_rig_scale(spark, d):
+    """The scale of a model against a rig that is half as wide."""
+    images = _rig_images(spark, d)
+    poses = rig.relative_poses(images, 1)
+    half = poses.select("camera_id", *rig.Q, *((F.col(c) / 2).alias(c) for c in rig.T))
+    return rig.scale(images, half).select(F.round("scale", 6).alias("scale"), "pairs")
