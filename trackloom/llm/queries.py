@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, language, nndescent, packing, passages, secrets, simhash, toxicity
+from . import bpe, divergence, exact_dedup, fim, html_text, language, licenses, nndescent, packing, passages, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_divergence(spark, sf_dir):
+    return divergence.divergence(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_fim(spark, sf_dir):
+    return fim.digests(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_passages": op9_passages,
     "op10_toxicity": op10_toxicity,
+    "op11_divergence": op11_divergence,
+    "op12_licenses": op12_licenses,
+    "op13_fim": op13_fim,
 }
 
 ORACLES: dict[str, str] = {
@@ -75,4 +90,29 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
                row_number() OVER w = 1 AS kept, h AS text_sha256
         FROM t WINDOW w AS (PARTITION BY h ORDER BY length(text) DESC, doc_id)""",
+    "op11_divergence": r"""
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        t AS (SELECT lang, source, r, unnest(terms) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+        k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+        v AS (SELECT lang, count(*) AS kept, sum(n) AS total FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        f AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total, k.n AS lang_n
+            FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        p AS (
+            SELECT f.lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (f.total::HUGEINT + 5 * kept) AS p, 1 + (1000000000::HUGEINT * (lang_n + 5)) // (v.total::HUGEINT + 5 * kept) AS q
+            FROM f JOIN v ON v.lang = f.lang),
+        far AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        x AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+        y AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM x)
+        SELECT lang, source, part, item, value, rank FROM y WHERE part = 'pair' OR rank <= 50""",
 }
