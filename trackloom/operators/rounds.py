@@ -21,4 +21,15 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/rounds/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` has written, once nothing reads them any more."""
+    for table in tables:
+        if table is not None and hasattr(table, "stored_at"):
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

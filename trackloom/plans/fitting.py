@@ -7,8 +7,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as geo
+from trackloom.operators import adjustment as adj
 from trackloom.operators import estimation as est
-from trackloom.operators import rig
+from trackloom.operators import minimal, rig
 from trackloom.operators import solvers as sv
 from trackloom.plans.adapters import view
 from trackloom.plans.base import cols, query
@@ -234,3 +235,101 @@ def g29_rig_scale(spark, d):
     poses = rig.relative_poses(images, 1)
     half = poses.select("camera_id", *rig.Q, *((F.col(c) / 2).alias(c) for c in rig.T))
     return rig.scale(images, half).select(F.round("scale", 6).alias("scale"), "pairs")
+
+
+def _shaken(rows, held):
+    """Poses that start a little off where they are not held; the turn is not of unit length."""
+    off = lambda c, k, size: (F.col(c) + F.when(held, 0.0).otherwise(((F.col("block") * k) % 7 - 3) * size)).alias(c)
+    return rows.select("block", "qw", off("qx", 3, 3e-4), off("qy", 5, 3e-4), "qz", off("tx", 3, 2e-3), off("ty", 5, 2e-3), off("tz", 2, 2e-3), held.alias("held"))
+
+
+def _jolted(spark, d):
+    jolt = lambda c, k: (F.col(c) + ((F.col("point3d_id") * k) % 11 - 5) * 2e-3).alias(f"w{c}")
+    return view(spark, d, "points3d").select("point3d_id", jolt("x", 3), jolt("y", 5), jolt("z", 7), F.lit(False).alias("held"))
+
+
+def _off_by(found, known):
+    """How far poses are from the known ones: the turn between them, and the move."""
+    k = known.select("block", *(F.col(n).alias(f"k{n}") for n in rig.Q + rig.T))
+    cos = F.abs(geo.dot(geo.normalized(cols(*rig.Q)), geo.normalized(cols(*(f"k{n}" for n in rig.Q)))))
+    move = geo.norm(tuple(F.col(n) - F.col(f"k{n}") for n in rig.T))
+    return found.join(k, "block").select("block", (F.round(2 * F.acos(F.least(cos, F.lit(1.0))), 3) + 0.0).alias("turn_off"), (F.round(move, 2) + 0.0).alias("move_off"))
+
+
+ENOUGH_SQL = "WITH o AS (SELECT image_id, point3d_id FROM observed WHERE depth > 2), s AS (SELECT point3d_id FROM o GROUP BY point3d_id HAVING count(*) >= 2)"
+
+
+@query(ENOUGH_SQL + " SELECT image_id, count(*) AS observations, 0e0 AS turn_off, 0e0 AS move_off FROM o JOIN s ON o.point3d_id = s.point3d_id GROUP BY image_id", "observed")
+def m09_global_adjustment(spark, d):
+    """A shaken model over all images and points comes back to its known poses."""
+    o = view(spark, d, "observed").filter("depth > 2").select(F.col("image_id").alias("block0"), "point3d_id", (F.col("px") / F.col("depth")).alias("x"), (F.col("py") / F.col("depth")).alias("y"))
+    o = o.join(o.groupBy("point3d_id").count().filter("count >= 2").select("point3d_id"), "point3d_id")
+    known = view(spark, d, "images").select(F.col("image_id").alias("block"), *rig.Q, *rig.T)
+    out = adj.adjusted(o, _shaken(known, F.col("block") <= 2), _jolted(spark, d), tolerance=0.1, iterations=25, goal=1e-10)
+    return _off_by(out.poses, known).join(o.groupBy(F.col("block0").alias("block")).agg(F.count("*").alias("observations")), "block").select(F.col("block").alias("image_id"), "observations", "turn_off", "move_off")
+
+
+RIG_SQL = """WITH o AS (SELECT image_id, point3d_id, (point3d_id+image_id) % 3 AS k, px, py, depth FROM observed), c AS (SELECT *, depth-k/4e0 AS low FROM o), r AS (SELECT * FROM c WHERE low > 2), s AS (SELECT point3d_id FROM r GROUP BY point3d_id HAVING count(*) >= 2)
+    SELECT CAST(k+1 AS BIGINT) AS camera_id, count(*) AS observations, 0e0 AS turn_off, 0e0 AS move_off FROM r JOIN s ON r.point3d_id = s.point3d_id GROUP BY k"""
+
+
+@query(RIG_SQL, "observed")
+def m11_rig_adjustment(spark, d):
+    """The places of three cameras on a rig, shared by the observations of all snapshots, come back from shaken ones."""
+    k = F.col("k").cast("double")
+    o = view(spark, d, "observed").withColumn("k", (F.col("point3d_id") + F.col("image_id")) % 3)
+    at = geo.to_camera((F.cos(k / 20), F.lit(0.0), F.lit(0.0), F.sin(k / 20)), (k, k / 2, -k / 4), cols("px", "py", "depth"))
+    seen = o.select((2 * F.col("k") + 1).alias("block0"), (2 * F.col("image_id")).alias("block1"), "point3d_id", at[2].alias("low"), (at[0] / at[2]).alias("x"), (at[1] / at[2]).alias("y")).filter("low > 2").drop("low")
+    seen = seen.join(seen.groupBy("point3d_id").count().filter("count >= 2").select("point3d_id"), "point3d_id")
+    snaps = view(spark, d, "images").select((2 * F.col("image_id")).alias("block"), *rig.Q, *rig.T)
+    cameras = spark.range(3).select((2 * F.col("id") + 1).alias("block"), F.cos(F.col("id") / 20).alias("qw"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(F.col("id") / 20).alias("qz"), F.col("id").cast("double").alias("tx"), (F.col("id") / 2).alias("ty"), (-F.col("id") / 4).alias("tz"))
+    known = snaps.unionByName(cameras)
+    out = adj.adjusted(seen, _shaken(known, (F.col("block") == 1) | (F.col("block") % 4 == 0)), _jolted(spark, d), sides=2, tolerance=0.1, iterations=25, goal=1e-10)
+    n = seen.groupBy(F.col("block0").alias("block")).agg(F.count("*").alias("observations"))
+    return _off_by(out.poses, known).join(n, "block").select(((F.col("block") + 1) / 2).cast("long").alias("camera_id"), "observations", "turn_off", "move_off")
+
+
+@query("WITH n AS (SELECT image_id, point3d_id, row_number() OVER (PARTITION BY image_id ORDER BY point3d_id)-1 AS k FROM observed WHERE depth > 5e-1) SELECT image_id, CAST(floor(count(*)/3) AS BIGINT) AS samples, TRUE AS found FROM n GROUP BY image_id HAVING count(*) >= 3", "observed")
+def e16_three_points(spark, d):
+    """Three exact matches give each image's known pose among their candidates: all samples of three neighbours."""
+    o = view(spark, d, "observed").filter("depth > 0.5")
+    k = F.row_number().over(Window.partitionBy("image_id").orderBy("point3d_id")) - 1
+    rows = o.select("image_id", F.floor(k / 3).alias("sample"), (F.col("px") / F.col("depth")).alias("x"), (F.col("py") / F.col("depth")).alias("y"), F.col("x").alias("wx"), F.col("y").alias("wy"), F.col("z").alias("wz"))
+    full = rows.groupBy("image_id", "sample").count().filter("count = 3").groupBy("image_id").agg(F.count("*").alias("samples"))
+    known = view(spark, d, "images").select("image_id", *(F.col(n).alias(f"k{n}") for n in rig.Q + rig.T))
+    found = minimal.sampled_poses(rows, ["image_id", "sample"]).join(known, "image_id")
+    turn = 1 - F.abs(geo.dot(cols(*rig.Q), cols(*(f"k{n}" for n in rig.Q))))
+    near = (turn < 1e-6) & (geo.norm(tuple(F.col(n) - F.col(f"k{n}") for n in rig.T)) < 1e-3)
+    good = found.groupBy("image_id", "sample").agg(F.bool_or(near).alias("near")).groupBy("image_id").agg(F.count_if("near").alias("good"))
+    return full.join(good, "image_id", "left").select("image_id", "samples", (F.col("good") >= 0.9 * F.col("samples")).alias("found"))
+
+
+FOLLOWING_SQL = """WITH o AS (SELECT image_id, point3d_id FROM observed WHERE depth > 5e-1), m AS (SELECT a.image_id AS pair, (a.point3d_id*7+a.image_id) % 6 = 0 AS off FROM o AS a JOIN o AS b ON a.point3d_id = b.point3d_id AND b.image_id = a.image_id+1),
+    n AS (SELECT pair, count(*) AS matches, count(*) FILTER (WHERE NOT off) AS good FROM m GROUP BY pair HAVING count(*) FILTER (WHERE NOT off) >= 20),
+    t AS (SELECT n.*, 2*(a.qw*b.qz-a.qz*b.qw) AS s2, a.qw*b.qw+a.qz*b.qz AS qw, a.qw*b.qz-a.qz*b.qw AS qz, a.tx AS ax, a.ty AS ay, a.tz AS az, b.tx AS bx, b.ty AS by_, b.tz AS bz FROM n JOIN images AS a ON a.image_id = pair JOIN images AS b ON b.image_id = pair+1),
+    v AS (SELECT *, bx-((1-2*qz*qz)*ax-2*qw*qz*ay) AS dx, by_-(2*qw*qz*ax+(1-2*qz*qz)*ay) AS dy, bz-az AS dz FROM t)
+    SELECT pair, matches, good <= matches AS enough, round(abs(qw), 3) AS qw, round(qz*sign(qw), 3)+0e0 AS qz, round(dx/sqrt(dx*dx+dy*dy+dz*dz), 2)+0e0 AS tx, round(dy/sqrt(dx*dx+dy*dy+dz*dz), 2)+0e0 AS ty, round(dz/sqrt(dx*dx+dy*dy+dz*dz), 2)+0e0 AS tz FROM v"""
+
+
+@query(FOLLOWING_SQL, "observed images")
+def e16_five_points(spark, d):
+    """Relative poses of following images from five-point samples of their matches, of which a sixth is off."""
+    o = view(spark, d, "observed").filter("depth > 0.5").select("image_id", "point3d_id", (F.col("px") / F.col("depth")).alias("x"), (F.col("py") / F.col("depth")).alias("y"))
+    two = o.select((F.col("image_id") - 1).alias("image_id"), "point3d_id", F.col("x").alias("x2"), F.col("y").alias("y2"))
+    bad = (F.col("point3d_id") * 7 + F.col("image_id")) % 6 == 0
+    off = F.when(bad, 0.2 + F.col("point3d_id") * 7 % 11 / 20).otherwise(0.0)
+    rows = o.join(two, ["image_id", "point3d_id"]).select(F.col("image_id").alias("pair"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x2") + off).alias("x2"), (F.col("y2") - off).alias("y2"), bad.alias("bad"))
+    good = rows.groupBy("pair").agg(F.count_if(~F.col("bad")).alias("good")).filter("good >= 20")
+    found = est.relative_poses(rows.drop("bad"), 1e-4).join(good, "pair")
+    num = lambda c, n: (F.round(c, n) + 0.0).alias(c)
+    return found.select("pair", "matches", (F.col("inliers") >= F.col("good")).alias("enough"), num("qw", 3), num("qz", 3), num("tx", 2), num("ty", 2), num("tz", 2))
+
+
+@query("WITH n AS (SELECT image_id, count(*) AS matches, count(*) FILTER (WHERE (point3d_id*7+image_id) % 5 <> 0) AS good FROM observed WHERE depth > 5e-1 GROUP BY image_id) SELECT image_id, matches, CASE image_id % 3 WHEN 0 THEN 8e-1 WHEN 1 THEN 1e0 ELSE 125e-2 END AS focal FROM n WHERE good >= 20", "observed")
+def e14_focal_sweep(spark, d):
+    """The focal factor of each image is the one of a sweep under which most matches agree."""
+    factor = F.when(F.col("image_id") % 3 == 0, 0.8).when(F.col("image_id") % 3 == 1, 1.0).otherwise(1.25)
+    seen = _seen(spark, d)
+    good = seen.filter("(point3d_id * 7 + image_id) % 5 <> 0").groupBy("image_id").count().filter("count >= 20").select("image_id")
+    found = est.absolute_poses(seen.withColumns({"x": F.col("x") * factor, "y": F.col("y") * factor}), 1e-3, (0.8, 1.0, 1.25))
+    return found.join(good, "image_id", "left_semi").select("image_id", "matches", "focal")
