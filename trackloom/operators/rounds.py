@@ -5,21 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A table written once to the folder that the cluster shares (``spark.checkpoint.dir``) and read
-    back: its lineage is cut, its statistics are known, and a lost executor loses nothing. A folder of
-    our own is set only where none is and all runs on this machine, as in tests."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names. A folder of our own
+    is set only where none is and all runs on this machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='trackloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/rounds/{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A table written once to the shared folder and read back: its lineage is cut, its statistics are
+    known, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/rounds/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
