@@ -361,3 +361,21 @@ def test_words_block_by_block(spark, monkeypatch):
     whole = rows(matching.nearest_words(df, words, 3), "idx", "word_id")
     monkeypatch.setattr(matching, "WORD_BLOCK", 7)
     assert rows(matching.nearest_words(df, words, 3), "idx", "word_id") == whole and len(whole) == 120
+
+
+def test_hierarchies_of_stars_and_edgeless_clusters_end(spark):
+    star = spark.createDataFrame([(0, i, 1.0) for i in range(1, 41)], "image_id1 long, image_id2 long, weight double")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1, 1.0) for i in range(20)], "image_id1 long, image_id2 long, weight double")
+    for edges, count in ((star, 41), (pairs, 40)):
+        found = partition.hierarchy(edges, 2, 10, 0).collect()
+        assert len(found) == count == len({r.image_id for r in found})
+        sizes = {}
+        for r in found:
+            sizes[r.path] = sizes.get(r.path, 0) + 1
+        assert max(sizes.values()) <= 10
+
+
+def test_projection_of_odd_descriptors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [None, 1.0])], "vec_id long, d array<double>")
+    found = {r.vec_id: r.projected for r in matching.projected(df, "d", 2, 2).collect()}
+    assert abs(sum(v * v for v in found[1]) - 1) < 1e-12 and found[2] is found[3] is found[4] is None

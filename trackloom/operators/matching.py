@@ -153,6 +153,27 @@ def hamming_projection(size: int, bits: int = 64, seed: int = 0):
     return (q * np.sign(np.diag(r))).T[:bits]
 
 
+def projected(descriptors: DataFrame, column: str, size: int, bits: int = 64, seed: int = 0) -> DataFrame:
+    """Descriptors of a size with ``projected``: what the rows of the Hamming projection make of them, a batch
+    at a time. Descriptors of another size, or that hold null, have none."""
+    import numpy as np
+    import pyarrow as pa
+
+    def kernel(batches):
+        rows = hamming_projection(size, bits, seed)
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1).to_pylist()
+            good = [x is not None and len(x) == size and None not in x for x in lists]
+            found = iter((np.array([x for x, ok in zip(lists, good, strict=True) if ok], float).reshape(-1, size) @ rows.T).tolist())
+            out = pa.array([next(found) if ok else None for ok in good], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], [*batch.schema.names[:-1], "projected"])
+
+    others = [c for c in descriptors.columns if c != column]
+    kept = descriptors.select(*others, F.col(column).cast("array<double>").alias("_vector"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    return kept.mapInArrow(kernel, f"{schema}, projected array<double>")
+
+
 def train_words(descriptors: DataFrame, count: int, rounds: int = 11, seed: int = 0) -> DataFrame:
     """A vocabulary: word_id and centroid of k-means over descriptors."""
     from pyspark.ml.clustering import KMeans

@@ -302,12 +302,11 @@ def r13_retrieve(spark, d):
     return rounded(matching.image_scores(p.filter("image_id % 2 = 1"), p.filter("image_id % 2 = 0"), w, matching.image_norms(p, w)))
 
 
-@query("SELECT i, j, CASE WHEN i = j THEN 1e0 ELSE 0e0 END AS v FROM range(64) AS a(i), range(64) AS b(j)")
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE)*CAST(v AS DOUBLE))), 4) AS kept FROM embeddings")
 def r09_projection(spark, d):
-    """The Hamming projection has orthonormal rows."""
-    q = matching.hamming_projection(128)
-    dots = (q @ q.T).round(6) + 0.0
-    return spark.createDataFrame([(i, j, float(dots[i, j])) for i in range(64) for j in range(64)], "i long, j long, v double")
+    """The Hamming projection of every descriptor keeps its squared length: its rows are orthonormal."""
+    x = view(spark, d, "embeddings").select("vec_id", "embedding")
+    return matching.projected(x, "embedding", 64).select("vec_id", F.round(F.aggregate("projected", F.lit(0.0), lambda s, v: s + v * v), 4).alias("kept"))
 
 
 @query(None)
