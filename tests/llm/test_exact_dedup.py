@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 from conftest import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,3 +79,32 @@ def test_index_between_runs(spark):
     index = exact_dedup.update_index(index, new, gone)
     asked = spark.createDataFrame([(1, "a "), (2, "b"), (3, "c")], "doc_id long, text string")
     assert {r.doc_id: r.seen for r in exact_dedup.seen(index, asked).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_deletions_hit_live_keys_and_free_their_slots(monkeypatch):
+    """Stored digests, additions, then removals: each last copy is deleted from the index, whose slots are used again."""
+    hits, sizes = [], []
+    real = CuckooIndex.delete
+
+    def delete(self, k):
+        before = sum(self.prints[s] != 0 for s in range(len(self.prints)))
+        hits.append(real(self, k))
+        sizes.append(before - sum(self.prints[s] != 0 for s in range(len(self.prints))))
+        return hits[-1]
+
+    monkeypatch.setattr(CuckooIndex, "delete", delete)
+    rows = [(0, key(i), 2) for i in range(50)] + [(1, key(i), 1) for i in range(40, 60)] + [(2, key(i), 2) for i in range(30, 70)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], ["step", "digest", "n"])
+    found = {k: n for b in exact_dedup._apply_changes(iter([batch])) for k, n in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert found == {key(i): 2 for i in range(30)} | {key(i): 1 for i in range(40, 50)}
+    assert hits == [True] * 20 and sizes == [1] * 20  # 30 to 39 and 50 to 59 lose their last copy; 60 to 69 were never live
+
+
+def test_odd_changes_of_an_index(spark):
+    table = lambda *rows: spark.createDataFrame(rows, "digest binary, group_size long")
+    none = table((key(0), 1)).limit(0)
+    index = table((key(1), 1), (key(1), 2), (None, 5), (key(2), None), (key(3), 0), (key(4), 1))
+    left = {bytes(r.digest): r.group_size for r in exact_dedup.update_index(index, none, table((key(1), 1), (key(9), 3), (None, 1))).collect()}
+    assert left == {key(1): 2, key(4): 1} and exact_dedup.update_index(none, none, none).count() == 0
+    again = {bytes(r.digest): r.group_size for r in exact_dedup.update_index(none, index, index).collect()}
+    assert again == {}

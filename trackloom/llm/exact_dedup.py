@@ -244,25 +244,38 @@ def index_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _apply_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of step, digest and count, by step: stored digests and additions are inserted, removals count
+    down, and a digest that loses its last copy is deleted from the index, which frees its slot."""
     index = CuckooIndex()
-    for key, change in _rows(batches):
-        live = (index.get(key) or 0) + change
-        if live:
-            index.insert(key, live)
-        else:
-            index.delete(key)
-    found = [(k, n) for k, n in index.items() if n > 0]
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["digest", "group_size"])
+    for step, key, count in _rows(batches):
+        live = index.get(key)
+        if step < 2:
+            index.insert(key, (live or 0) + count)
+        elif live is not None:  # removing what is not live changes nothing
+            if live > count:
+                index.insert(key, live - count)
+            else:
+                index.delete(key)
+    found = list(index.items())
+    for at in range(0, len(found), 1 << 15):
+        part = found[at : at + (1 << 15)]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], ["digest", "group_size"])
 
 
 def update_index(index: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
     """An index after documents came and went: additions count up, removals
     count down, and a digest without live copies is deleted. All of them are
     tables of digest and group_size, as ``index_of`` gives them; removing what
-    is not live changes nothing that is."""
-    changes = index.unionByName(added).unionByName(removed.withColumn("group_size", -F.col("group_size")))
-    sums = changes.filter("digest IS NOT NULL").groupBy("digest").agg(F.sum("group_size").alias("group_size"))
-    return sums.repartition("digest").mapInArrow(_apply_changes, "digest binary, group_size long")
+    is not live changes nothing that is. Null digests and counts that are null or
+    not over zero are left out; a digest that a table repeats counts with the sum.
+    Empty tables change nothing."""
+    steps = None
+    for step, table in enumerate((index, added, removed)):
+        own = table.filter("digest IS NOT NULL AND group_size > 0").groupBy("digest").agg(F.sum("group_size").alias("n")).select(F.lit(step).alias("step"), "digest", "n")
+        steps = own if steps is None else steps.unionByName(own)
+    steps = stored(index.sparkSession, steps, "changes")
+    shards = max(shuffle_parts(index.sparkSession), -(-steps.count() // SHARD_ROWS))
+    return steps.repartition(shards, "digest").sortWithinPartitions("step", "digest").mapInArrow(_apply_changes, "digest binary, group_size long")
 
 
 def seen(index: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
