@@ -194,16 +194,17 @@ def m08_local_bundles(spark, d):
     return b.select("grp", "images", "points", "observations", ((F.col("after") < 1e-2 * F.col("before")) | (F.col("after") < 1e-10)).alias("settled"))
 
 
-@query("SELECT count(*) AS points, TRUE AS near FROM points3d WHERE point3d_id % 8 = 3", "points3d")
+@query(
+    "WITH o AS (SELECT image_id, point3d_id FROM observed WHERE depth > 5e-1) SELECT a.image_id AS pair, count(*) AS points, TRUE AS near FROM o AS a JOIN o AS b ON a.point3d_id = b.point3d_id AND b.image_id = a.image_id+1 GROUP BY a.image_id ORDER BY count(*) DESC, a.image_id LIMIT 1",
+    "observed",
+)
 def m02_initial_pair(spark, d):
-    """Two views give a pose and points: up to scale, the known ones (M2)."""
-    rows = _known_pairs(spark, d).filter("pair = 3").toPandas()  # one image pair
-    a, b = rows[["x1", "y1"]].to_numpy(), rows[["x2", "y2"]].to_numpy()
-    e, mask = sv.lo_ransac(a, b, sv.essential, sv.sampson, 8, 1e-4)
-    _, t, points = sv.relative_pose(e, a[mask], b[mask])
-    scale = np.linalg.norm([-1.0, 0.5, 0.25])
-    near = np.abs(points[:, :2] / points[:, 2:] - a[mask]).max() < 1e-6 and 5 < np.median(points[:, 2] * scale) < 17 and t[0] < 0
-    return spark.createDataFrame([(len(rows), bool(near))], "points long, near boolean")
+    """Of all pairs of following images the one with most matches begins the model: its pose, and points that project where they were seen (M2)."""
+    o = view(spark, d, "observed").filter("depth > 0.5").select("image_id", "point3d_id", (F.col("px") / F.col("depth")).alias("x"), (F.col("py") / F.col("depth")).alias("y"))
+    a = o.select(F.col("image_id").alias("pair"), "point3d_id", F.col("x").alias("x1"), F.col("y").alias("y1"))
+    rows = a.join(o.select((F.col("image_id") - 1).alias("pair"), "point3d_id", F.col("x").alias("x2"), F.col("y").alias("y2")), ["pair", "point3d_id"])
+    most = rows.groupBy("pair").count().orderBy(F.desc("count"), "pair").limit(1).select("pair")
+    return est.initial_pairs(rows.join(most, "pair"), 1e-4).select("pair", F.col("matches").alias("points"), (F.col("worst") < 1e-6).alias("near"))
 
 
 def _rig_images(spark, d):
