@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import geometry as geo
 from trackloom.operators import adjustment as adj
 from trackloom.operators import estimation as est
-from trackloom.operators import minimal, rig
+from trackloom.operators import frames, minimal, rig
 from trackloom.operators import solvers as sv
 from trackloom.plans.adapters import view
 from trackloom.plans.base import cols, query
@@ -359,3 +359,19 @@ def f54_optimal_triangulation(spark, d):
     # Sampson's error is a first-order estimate of the same distance: the exact one is of its size.
     sampson = geo.sampson(e, cols("x1", "y1"), cols("x2", "y2"))
     return found.groupBy("pair").agg(F.count("*").alias("matches"), F.bool_and(F.abs(residual) < 1e-9).alias("exact"), F.bool_and(F.col("error") <= 1.5 * sampson + 1e-12).alias("nearest"))
+
+
+@query("SELECT CAST(k AS INT) AS axis, TRUE AS near FROM range(3) AS r(k) WHERE (SELECT count(*) FROM points3d) > 0", "points3d")
+def e20_gravity_frame(spark, d):
+    """A known turn comes back from directions, one a point, of which a third is off."""
+    turn = sv.rotated_by(np.array([0.3, -0.5, 0.2]))
+    p, n = view(spark, d, "points3d"), F.col("point3d_id")
+    jitter = lambda k: ((n * k) % 17 - 8) / 1000
+    axis = lambda c: F.when(n % 4 == 0, float(turn[0, c])).when(n % 4 == 1, float(turn[2, c])).otherwise(float(turn[1, c]))
+    off = F.xxhash64(n) % 3 == 0
+    odd = lambda k: F.pmod(F.xxhash64(n, F.lit(k)), F.lit(2001)) / 1000 - 1
+    rows = p.select(*(F.when(off, odd(c)).otherwise(axis(c) + jitter(3 + 2 * c)).alias(name) for c, name in enumerate(frames.D)))
+    gravity, _ = frames.dominant_axis(rows)
+    found = frames.frame(rows, gravity)
+    near = np.abs(found @ turn.T).max(0) > np.cos(np.radians(1.0))
+    return spark.createDataFrame([(k, bool(ok)) for k, ok in enumerate(near)], "axis int, near boolean")
