@@ -682,6 +682,6 @@ def f75_hamming(spark, d):
     return rounded(spark.range(65).select(F.col("id").alias("h"), geo.hamming_weight(F.col("id").cast("double")).alias("weight")))
 
 
-from trackloom.plans import commands, estimation, fitting, mapping, model_io, poses, records, retrieval, scalars, scene  # noqa: E402, F401  they register their queries
+from trackloom.plans import commands, cuts, estimation, files, fitting, mapping, model_io, poses, records, retrieval, scalars, scene  # noqa: E402, F401  they register their queries
 
 __all__ = ["ORACLES", "QUERIES"]
