@@ -80,3 +80,32 @@ def test_recall_among_near_copies(spark):
     x = np.concatenate([near + 5e-3 * rng.standard_normal((2000, 64)), rng.standard_normal((1000, 64))])
     walk, exact = recall(spark, x)
     assert walk >= 0.9 and exact >= 0.99
+
+
+def test_exact_way_tells_the_nearest_copies_apart(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=48) + 1e-5 * rng.normal(size=(6000, 48))
+    ids = np.arange(6000)
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    found = by_query(nndescent.exact_nearest(spark, rows, every=500).collect())
+    assert set(found) == set(range(0, 6000, 500))
+    wide = x.astype(np.longdouble)
+    unit = wide / np.sqrt((wide * wide).sum(1, keepdims=True))
+    for query, own in found.items():
+        score = unit @ unit[query]
+        score[query] = -2
+        assert [i for i, _ in own] == np.argsort(-score)[:5].tolist()
+        assert all(abs(float(score[i]) - s) < 1e-14 for i, s in own)
+
+
+def test_lists_are_in_the_shared_folder_and_deleted(spark):
+    import os
+
+    from trackloom.llm._common import bucketed, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://") + "/tables"
+    with pytest.raises(RuntimeError, match="lost"), bucketed(spark, spark.range(10).toDF("node"), "node") as table:
+        name = [n for n in os.listdir(folder) if n.startswith("trackloom_")]
+        assert table.count() == 10 and len(name) == 1
+        raise RuntimeError("lost")
+    assert not [n for n in os.listdir(folder) if n.startswith("trackloom_")] and not spark.catalog.tableExists(name[0])

@@ -51,19 +51,29 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def bucketed(spark: SparkSession, df: DataFrame, key: str) -> tuple[DataFrame, str]:
-    """``df`` as a table of the warehouse that is dealt by a key, so that joins on the key move
-    the other side only; and the table's name, for ``DROP TABLE``."""
+@contextlib.contextmanager
+def bucketed(spark: SparkSession, df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """``df`` as a table that is dealt by a key, so that joins on the key move the other side only.
+    Its files are in the shared folder; table and files are gone at the end of the ``with`` block, failures included."""
     name, parts = f"trackloom_{uuid.uuid4().hex}", shuffle_parts(spark)
-    df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).sortBy(key).saveAsTable(name)
-    return spark.table(name), name
+    path = f"{shared_dir(spark)}/tables/{name}"
+    try:
+        df.repartition(parts, key).write.format("parquet").option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for table in tables:
-        at = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(spark, table.stored_at)
 
 
 def text_rows(df: DataFrame) -> DataFrame:

@@ -320,12 +320,12 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = EVERY, top: in
     clean, nodes, dim = folded_nodes(spark, vectors, top)
     graph = build_graph(spark, nodes, nodes.count(), dim)
     around = members(graph, REVERSE).join(nodes.select(F.col("node").alias("member"), "vec"), "member").select("center", "member", "vec")
-    # Dealt by node once, so that a step moves its frontier only.
-    lists, table = bucketed(spark, around.repartition("center").sortWithinPartitions("center").mapInArrow(_pack_lists, "node long, ids binary, vecs binary"), "node")
+    packed = around.repartition("center").sortWithinPartitions("center").mapInArrow(_pack_lists, "node long, ids binary, vecs binary")
     asked = clean.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), "key").distinct()
     queries = stored(spark, asked.join(nodes, "key").select("query", "node", "vec", F.col("raw").alias("query_raw")), "queries")
-    beams = stored(spark, search(spark, lists, queries), "found")
-    spark.sql(f"DROP TABLE {table}")
+    # Dealt by node once, so that a step moves its frontier only.
+    with bucketed(spark, packed, "node") as lists:
+        beams = stored(spark, search(spark, lists, queries), "found")
     # The beam's best, and every copy that can be among the nearest.
     return ranked(beams.join(queries.select("query", "query_raw"), "query").join(nodes.select("node", "ids", "raw"), "node"), top)
 
@@ -343,27 +343,42 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([b"".join(part.column(1).to_pylist())], pa.binary())], ["ids", "vecs"])
 
 
+def _unit_block(data: bytes, rows: int) -> np.ndarray:
+    x = np.frombuffer(data).reshape(rows, -1)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+#: More than sums of double products can be off, for each dimension.
+ROUNDING = 4 * np.finfo(float).eps
+
+
 def _block_best(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBatch]:
-    """(query ids, query vecs, node ids, node vecs) -> each query's nearest nodes of the block."""
+    """(query ids, query vectors, node ids, node vectors) -> each query's nearest nodes of the block, and all that
+    rounding cannot tell from the last of them."""
     for batch in batches:
         for q_ids, q_vecs, n_ids, n_vecs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             q, n = np.frombuffer(q_ids, np.int64), np.frombuffer(n_ids, np.int64)
-            sims = np.frombuffer(q_vecs, np.float32).reshape(len(q), -1) @ np.frombuffer(n_vecs, np.float32).reshape(len(n), -1).T
+            own, others = _unit_block(q_vecs, len(q)), _unit_block(n_vecs, len(n))
+            sims = own @ others.T
             k = min(keep, len(n))
-            best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(q)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(q[rows]), pa.array(n[best.ravel()]), pa.array(sims[rows, best.ravel()])], ["query", "node", "sim"])
+            last = np.partition(sims, len(n) - k, axis=1)[:, len(n) - k]
+            row, at = np.nonzero(sims >= last[:, None] - ROUNDING * own.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(n[at]), pa.array(sims[row, at])], ["query", "node", "sim"])
 
 
-def exact_nearest(spark: SparkSession, vectors: DataFrame, every: int = EVERY, top: int = TOP, spare: int = 59) -> DataFrame:
-    """The same results by looking at every row: the queries' blocks meet the nodes' blocks, and of each
-    block the best ``top + spare`` by single-precision similarity are scored exactly."""
-    clean, nodes, _ = folded_nodes(spark, vectors, top)
+def exact_nearest(spark: SparkSession, vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
+    """The same results by looking at every row, in double precision: the queries' blocks meet the nodes' blocks,
+    and of each block the best ``top + 1`` (a query's own vector may be one), with all that are within rounding of
+    the last, go on to be scored. No limit leaves a row out."""
+    clean, nodes, dim = folded_nodes(spark, vectors, top)
     asked = clean.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), "key").distinct()
-    queries = stored(spark, asked.join(nodes, "key").select("query", "vec", F.col("raw").alias("query_raw")), "queries")
-    q = queries.select("query", "vec").mapInArrow(lambda b: _blocks(b, QUERY_BLOCK), "ids binary, vecs binary").toDF("q_ids", "q_vecs")
-    n = nodes.select("node", "vec").mapInArrow(lambda b: _blocks(b, NODE_BLOCK), "ids binary, vecs binary")
-    met = n.crossJoin(q).select("q_ids", "q_vecs", "ids", "vecs").mapInArrow(lambda b: _block_best(b, top + spare), "query long, node long, sim float")
-    order = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-    near = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top + spare).select("query", "node")
-    return ranked(near.join(queries.select("query", "query_raw"), "query").join(nodes.select("node", "ids", "raw"), "node"), top)
+    queries = stored(spark, asked.join(nodes, "key").select("query", F.col("raw").alias("query_raw")), "queries")
+    q = queries.select("query", "query_raw").mapInArrow(lambda b: _blocks(b, QUERY_BLOCK), "ids binary, vecs binary").toDF("q_ids", "q_vecs")
+    n = nodes.select("node", "raw").mapInArrow(lambda b: _blocks(b, NODE_BLOCK), "ids binary, vecs binary")
+    met = n.crossJoin(q).select("q_ids", "q_vecs", "ids", "vecs").mapInArrow(lambda b: _block_best(b, top + 1), "query long, node long, sim double")
+    own = Window.partitionBy("query")
+    placed = met.withColumn("rank", F.row_number().over(own.orderBy(F.desc("sim"), "node")))
+    last = F.min(F.when(F.col("rank") <= top + 1, F.col("sim"))).over(own)
+    near = placed.withColumn("last", last).filter(F.col("sim") >= F.col("last") - float(ROUNDING * dim)).select("query", "node")
+    return ranked(near.join(queries, "query").join(nodes.select("node", "ids", "raw"), "node"), top)
