@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from trackloom.llm import passages
 
@@ -189,3 +190,50 @@ def test_odd_texts_and_columns(spark):
     found = {(r.doc_id, r.rep_doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(spark, docs).collect()}
     assert {f[:2] for f in found} == {(3, 2), (4, 1), (5, 4), (6, 1)}  # equal passages are linked to the first
     assert (5, 4, 0, 60_000) in found and (4, 1, 60_000, 60_070) in found
+
+
+@pytest.mark.parametrize(("groups", "copies", "edits"), [(20, 12, 3), (2, 120, 3), (1, 240, 4)])
+def test_near_variants_of_crowded_signatures(spark, groups, copies, edits):
+    # One passage in many variants, the unchanged one in the middle, held against all pairs of runs.
+    rnd = random.Random(copies)
+    docs, variants = {}, {}
+    for g in range(groups):
+        passage = words(rnd, 60)
+        for i in range(copies):
+            own = list(passage)
+            for at in rnd.sample(range(60), 0 if i == copies // 2 else edits):
+                own[at] = words(rnd, 1)[0]
+            variants[g * copies + i] = own
+            docs[g * copies + i] = [*words(rnd, rnd.randint(30, 60)), *own, *words(rnd, rnd.randint(30, 60))]
+    true = set()
+    for g in range(groups):
+        table = np.array([variants[g * copies + i] for i in range(copies)])
+        for j in range(1, copies):
+            same = table[:j] == table[j]
+            runs = np.lib.stride_tricks.sliding_window_view(np.lib.stride_tricks.sliding_window_view(same, 5, axis=1).all(2), 46, axis=1).sum(2)
+            true |= {(g * copies + j, g * copies + int(i)) for i in np.flatnonzero((runs / (92 - runs) >= 0.8).any(1))}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    found = {(r.doc_id, r.rep_doc_id) for r in passages.repeated_passages(spark, df).collect()}
+    root = roots(found)
+    assert true and len({j for j, _ in true} & {j for j, _ in found}) >= 0.95 * len({j for j, _ in true})
+    assert sum(root.get(j, j) == root.get(i, i) for j, i in true) >= 0.9 * len(true)
+    assert len(true & found) >= 0.9 * len(true)
+    assert all(j // copies == i // copies for j, i in found)
+
+
+def test_words_put_in_and_left_out_of_crowded_passages(spark):
+    # Each variant lacks or adds one word of its own; in the middle each is like the one before it.
+    rnd = random.Random(4)
+    passage, docs = words(rnd, 56), {}
+    for i in range(90):
+        own = list(passage)
+        for at in (2, 53):  # variants differ at both ends, so that signatures are crowded
+            own[at] = words(rnd, 1)[0]
+        if i % 3 == 1:
+            own.insert(28, words(rnd, 1)[0])
+        elif i % 3 == 2:
+            del own[20]
+        docs[i] = [*words(rnd, 30), *own, *words(rnd, 30)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    found = {(r.doc_id, r.rep_doc_id) for r in passages.repeated_passages(spark, df).collect()}
+    assert len({j for j, _ in found}) >= 85

@@ -16,9 +16,14 @@ where the ten shingles before or after the centre agree too (a shared stretch ha
 one or the other). Signatures of more than ``PAIRS`` classes are linked through
 their ``LEADERS`` largest classes; signatures frequent within a map task are linked
 there first and send their leaders on, so no group grows with the corpus faster
-than its tasks. Windows of such signatures for which no earlier document is verified
-are searched again, exactly: all runs around them are grouped by a digest of their
-shingles, and linked to the first of the equal ones.
+than its tasks. Windows of such signatures are searched again by their runs. Where no
+earlier document is verified, all runs around a window are grouped by a digest of
+their shingles, and linked to the first of the equal ones. Near runs are met by gaps:
+two runs of similarity 0.8 whose larger unbroken part holds the window differ by one
+word written, left out or put in, and so agree in all but one of ``len(GAPS)`` parts.
+The digests of a run without one part, its rest taken at once and one shingle later,
+are grouped; each run is linked to the first of its group and to those just before
+it, and these links are verified like the others.
 
 Links are verified on the shingles (32-bit hashes) of both texts, a stretch of
 SPAN at a time. What is returned begins and ends with a shingle that both have, and
@@ -376,7 +381,7 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, lo, hi, mark), sorted by document: found shingles, or a mark's place and function -> marks outside of all that is found."""
+    """(doc, lo, hi, mark), sorted by document: found shingles, or a mark's place and function -> marks, and whether they are open: outside of all that is found."""
     for columns in whole_groups(batches, 1):
         doc, lo, hi, mark = (c.to_numpy(zero_copy_only=False) for c in columns)
         far = doc.astype(np.float64)
@@ -385,51 +390,129 @@ def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate([[True], np.diff(doc) != 0])
         group = np.cumsum(starts)
         reach = np.maximum.accumulate(group * (1 << 32) + np.where(mark < 0, hi, 0).astype(np.int64)) - group * (1 << 32)
-        keep = (mark >= 0) & (reach <= lo)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array((lo[keep].astype(np.int64) * 8 + mark[keep]))], ["doc", "mark"])
+        keep = mark >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array((lo[keep].astype(np.int64) * 8 + mark[keep])), pa.array((reach <= lo)[keep])], ["doc", "mark", "open"])
 
 
-RUNS = "digest long, doc long, start int, rep long, rep_start int"
+RUNS = "digest long, doc long, start int, rep long, rep_start int, gapped boolean"
+#: Shingles of a run that a gap leaves out, and where gaps begin: an edited word breaks five
+#: shingles, which lie in the gap that begins at or before the first of them.
+GAP = 2 * SHINGLE
+GAPS = range(0, SPAN - GAP + 1, GAP - SHINGLE + 1)
+#: Rows of a digest that each is linked to beside the first: those before it.
+NEXT = 8
+
+
+def _codes(lists: pa.ListArray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks (place and function) of each text, and the row of each."""
+    codes = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+    at_row = np.repeat(np.arange(len(counts)), np.diff(lists.offsets.to_numpy()))
+    fits = codes >> 3 < counts[at_row]
+    return codes[fits], at_row[fits]
+
+
+def _marked(values: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """Whether the least value of each stretch of ``width`` places is at one of the places."""
+    least = running(values, width, True)
+    own = np.full(len(values), (1 << 64) - 1, np.uint64)
+    own[places] = values[places]
+    return (least != 0) & (running(own, width, True) == least)
+
+
+def _firsts(digest: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ordered by digest, document and start; and for each the first of its digest, in that order."""
+    order = np.lexsort((start, doc, digest))
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(digest[order]) != 0]))
+    return order, np.repeat(starts, np.diff(np.append(starts, len(order))))
+
+
+def _run_rows(digest, doc, start, rep, rep_start, gapped: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of RUNS; of those that are their own representative no rep is given."""
+    alone = (doc == rep) & (start == rep_start)
+    for k in range(0, len(doc), 8 * BATCH_ROWS):
+        part = slice(k, k + 8 * BATCH_ROWS)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(digest[part].view(np.int64)),
+                pa.array(doc[part]),
+                pa.array(start[part].astype(np.int32)),
+                pa.array(rep[part], mask=alone[part]),
+                pa.array(rep_start[part].astype(np.int32), mask=alone[part]),
+                pa.array(np.full(len(doc[part]), gapped)),
+            ],
+            ["digest", "doc", "start", "rep", "rep_start", "gapped"],
+        )
 
 
 def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text, marks) -> a digest of each run of SPAN shingles whose least one is marked. Equal
-    runs of a slice are linked to its first, which alone goes on (without rep)."""
+    """(doc, text, open marks, all marks) -> a digest of each run of SPAN shingles whose least one is
+    an open mark; equal runs of a slice are linked to its first, which alone goes on (without rep).
+    Then, of the different runs of a slice whose first or last stretch has a marked shingle as its
+    least, the digests without each gap of the other part."""
     for batch in text_slices(batches):
         hashes, counts = shingles(batch.column(1))
         row_of, first, body = _laid_out(counts)
         if len(row_of) < SPAN:
             continue
-        lists = batch.column(2)
-        codes = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
-        at_row = np.repeat(np.arange(len(counts)), np.diff(lists.offsets.to_numpy()))
-        fits = codes >> 3 < counts[at_row]
-        codes, at_row = codes[fits], at_row[fits]
-        values, runs = np.zeros(len(row_of), np.uint64), np.zeros(len(row_of) - SPAN + 1, bool)
+        digest = _digests(hashes, body)
+        docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = len(row_of) - SPAN + 1
+        runs, head, tail = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+        values = np.zeros(len(row_of), np.uint64)
+        marks = [_codes(batch.column(c), counts) for c in (2, 3)]
         for k in range(FUNCTIONS):
             values[body] = mixed(hashes, k) | np.uint64(8)
-            least = running(values, SPAN, True)
-            own = codes & 7 == k
-            marked = np.full(len(values), (1 << 64) - 1, np.uint64)
-            places = first[at_row[own]] + (codes[own] >> 3)
-            marked[places] = values[places]
-            runs |= (least != 0) & (running(marked, SPAN, True) == least)
+            (places, _), (all_places, _) = ((first[rows[codes & 7 == k]] + (codes[codes & 7 == k] >> 3), None) for codes, rows in marks)
+            runs |= _marked(values, places, SPAN)
+            stretch = _marked(values, all_places, STRETCH)
+            head |= stretch[:n]
+            tail |= stretch[SPAN - STRETCH :]
         at = np.flatnonzero(runs)
-        if not len(at):
+        if len(at):
+            order, one = _firsts(digest(at, at + SPAN), docs[row_of[at]], at)
+            at = at[order]
+            place, doc = at - first[row_of[at]], docs[row_of[at]]
+            yield from _run_rows(digest(at, at + SPAN), doc, place, doc[one], place[one], False)
+        whole = running(values, SPAN, True) != 0
+        for part, gaps in ((head, [g for g in GAPS if g + GAP - SHINGLE >= STRETCH]), (tail, [g for g in GAPS if g <= SPAN - STRETCH - SHINGLE])):
+            at = np.flatnonzero(part & whole)
+            if not len(at):
+                continue
+            order, one = _firsts(digest(at, at + SPAN), docs[row_of[at]], at)
+            at = at[order[one == np.arange(len(at))]]
+            for gap in gaps:
+                for late in (0, 1):
+                    fits = at[at + SPAN + late <= first[row_of[at]] + counts[row_of[at]]]
+                    key = mixed(digest(fits, fits + gap) + mixed(digest(fits + gap + GAP + late, fits + SPAN + late), 3) + np.uint64(gap), 4)
+                    place, doc = fits - first[row_of[fits]], docs[row_of[fits]]
+                    yield from _run_rows(key, doc, place, doc, place, True)
+
+
+def _gapped_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests without a gap, sorted with document and start -> the stretches to verify of each run
+    with the first of its digest and with those just before it. Holds a batch at a time."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        digest = _digests(hashes, body)(at, at + SPAN).view(np.int64)
-        doc, start = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[row_of[at]], at - first[row_of[at]]
-        order = np.lexsort((start, doc, digest))
-        doc, start, digest = doc[order], start[order], digest[order]
+        digest, doc, start = (batch.column(i).to_numpy() for i in range(3))
+        # Ahead go the first row of the digest that the last batch ended in, and its last rows.
+        ahead = 0 if last is None else len(last[0])
+        if ahead:
+            digest, doc, start = (np.concatenate([x, y]) for x, y in zip(last, (digest, doc, start), strict=True))
         starts = np.flatnonzero(np.concatenate([[True], np.diff(digest) != 0]))
         one = np.repeat(starts, np.diff(np.append(starts, len(digest))))
-        alone = one == np.arange(len(digest))
-        for k in range(0, len(doc), 8 * BATCH_ROWS):
-            part = slice(k, k + 8 * BATCH_ROWS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digest[part]), pa.array(doc[part]), pa.array(start[part].astype(np.int32)), pa.array(doc[one[part]], mask=alone[part]), pa.array(start[one[part]].astype(np.int32), mask=alone[part])],
-                ["digest", "doc", "start", "rep", "rep_start"],
-            )
+        carried = np.unique(np.concatenate([one[-1:], np.arange(max(one[-1], len(digest) - NEXT), len(digest))]))
+        last = tuple(x[carried] for x in (digest, doc, start))
+        new = np.arange(ahead, len(digest))
+        rows, rep = np.tile(new, NEXT + 1), np.concatenate([one[new], *(np.maximum(new - lag, one[new]) for lag in range(1, NEXT + 1))])
+        own = doc[rows] != doc[rep]
+        rows, rep = rows[own], rep[own]
+        if not len(rows):
+            continue
+        offset, cell = start[rows] - start[rep], start[rep] // SPAN
+        asked = np.unique(np.stack([doc[rows], doc[rep], cell * SPAN + offset, cell * SPAN]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(asked[0]), pa.array(asked[1]), *(pa.array(x.astype(np.int32)) for x in asked[2:])], ["doc", "rep", "place", "rep_place"])
 
 
 def _equal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,20 +537,34 @@ def _exact_batch(doc, start, rep, rep_start) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["doc", "rep", "offset", "lo", "hi", "rep_lo", "rep_hi", "similarity"])
 
 
-def _exact(spark: SparkSession, rows: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame | None:
-    """Links of equal runs about the marked windows that lie in no passage found."""
+def _by_runs(spark: SparkSession, rows: DataFrame, links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Links of equal runs about the marked windows that lie in no passage found; and the stretches
+    to verify of runs about all marked windows that agree but for a gap."""
     marks = links.filter("rep IS NULL").select("doc", F.col("mid").alias("lo"), F.col("mid").alias("hi"), F.col("function").alias("mark"))
     own = found.select("doc", "lo", "hi", F.lit(-1).alias("mark")).join(marks.select("doc").distinct(), "doc", "left_semi")
-    open_marks = own.union(marks).repartition("doc").sortWithinPartitions("doc").mapInArrow(_uncovered, "doc long, mark long")
-    wanted = stored(spark, open_marks.groupBy("doc").agg(F.collect_set("mark").alias("marks")), "marks")
+    open_marks = own.union(marks).repartition("doc").sortWithinPartitions("doc").mapInArrow(_uncovered, "doc long, mark long, open boolean")
+    wanted = stored(spark, open_marks.groupBy("doc").agg(F.collect_set(F.expr("CASE WHEN open THEN mark END")).alias("open"), F.collect_set("mark").alias("marks")), "marks")
     if wanted.isEmpty():
         return None
-    runs = stored(spark, rows.join(wanted, rows["doc_id"] == wanted["doc"]).select("doc_id", "text", "marks").mapInArrow(_run_batches, RUNS), "runs")
+    runs = stored(spark, rows.join(wanted, rows["doc_id"] == wanted["doc"]).select("doc_id", "text", "open", "marks").mapInArrow(_run_batches, RUNS), "runs")
     inside = runs.filter("rep IS NOT NULL AND doc <> rep")
     size = (F.col("start") - F.col("rep_start")).alias("offset")
-    near = inside.select("doc", "rep", size, F.col("start").alias("lo"), (F.col("start") + SPAN).alias("hi"), F.col("rep_start").alias("rep_lo"), (F.col("rep_start") + SPAN).alias("rep_hi"), F.lit(1.0).alias("similarity"))
-    across = runs.filter("rep IS NULL").select("digest", "doc", "start").repartition("digest").sortWithinPartitions("digest", "doc", "start").mapInArrow(_equal_runs, FOUND)
-    return near.union(across)
+    equal = inside.select("doc", "rep", size, F.col("start").alias("lo"), (F.col("start") + SPAN).alias("hi"), F.col("rep_start").alias("rep_lo"), (F.col("rep_start") + SPAN).alias("rep_hi"), F.lit(1.0).alias("similarity"))
+    sorted_runs = lambda gapped: runs.filter(F.col("rep").isNull() & (F.col("gapped") == gapped)).select("digest", "doc", "start").repartition("digest").sortWithinPartitions("digest", "doc", "start")
+    return equal.union(sorted_runs(False).mapInArrow(_equal_runs, FOUND)), sorted_runs(True).mapInArrow(_gapped_runs, SPOTS).dropDuplicates()
+
+
+def _verified(spark: SparkSession, rows: DataFrame, spots: DataFrame, repeated: bool) -> DataFrame:
+    """The runs that reach the similarity within the stretches of both documents."""
+    asked = spots.select(F.col("doc").alias("ask_doc"), "place").union(spots.select("rep", "rep_place")).groupBy("ask_doc").agg(F.collect_set("place").alias("places"))
+    places = rows.join(asked, rows["doc_id"] == asked["ask_doc"]).select("doc_id", "text", "places").mapInArrow(_context_batches, AROUND)
+    around = stored(spark, places.dropDuplicates() if repeated else places, "around")
+    own = around.select(F.col("at_doc").alias("doc"), F.col("at_place").alias("place"), F.col("around").alias("own"))
+    other = around.select(F.col("at_doc").alias("rep"), F.col("at_place").alias("rep_place"), F.col("around").alias("other"))
+    sides = spots.join(own, ["doc", "place"]).join(other, ["rep", "rep_place"])
+    near = stored(spark, sides.select("doc", "rep", "place", "rep_place", "own", "other").mapInArrow(_verify_batches, FOUND), "near")
+    forget(spark, around)
+    return near
 
 
 PASSAGES = "doc_id long, start_word int, end_word int, rep_doc_id long, rep_start_word int, rep_end_word int, similarity double"
@@ -501,17 +598,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     links = stored(spark, windows.repartition("sign").sortWithinPartitions("sign").mapInArrow(_link_batches, LINKS), "links")
     pairs = links.filter("rep IS NOT NULL").repartition("doc", "rep").sortWithinPartitions("doc", "rep")
     spots = stored(spark, pairs.mapInArrow(_spot_batches, SPOTS), "spots")
-    asked = spots.select(F.col("doc").alias("ask_doc"), "place").union(spots.select("rep", "rep_place")).groupBy("ask_doc").agg(F.collect_set("place").alias("places"))
-    one = rows.join(asked, rows["doc_id"] == asked["ask_doc"]).select("doc_id", "text", "places")
-    places = one.mapInArrow(_context_batches, AROUND)
-    repeated = rows.groupBy("doc_id").count().filter("count > 1")
-    around = stored(spark, places if repeated.isEmpty() else places.dropDuplicates(), "around")
-    own = around.select(F.col("at_doc").alias("doc"), F.col("at_place").alias("place"), F.col("around").alias("own"))
-    other = around.select(F.col("at_doc").alias("rep"), F.col("at_place").alias("rep_place"), F.col("around").alias("other"))
-    sides = spots.join(own, ["doc", "place"]).join(other, ["rep", "rep_place"])
-    near = stored(spark, sides.select("doc", "rep", "place", "rep_place", "own", "other").mapInArrow(_verify_batches, FOUND), "near")
-    forget(spark, around, spots)
-    exact = _exact(spark, rows, links, near)
+    repeated = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    found = near = _verified(spark, rows, spots, repeated)
+    again = _by_runs(spark, rows, links, near)
     forget(spark, links)
-    found = near if exact is None else near.union(exact)
+    if again is not None:
+        equal, gapped = again
+        gapped = stored(spark, gapped.join(spots, ["doc", "rep", "place", "rep_place"], "left_anti"), "gapped")
+        found = near.union(equal).union(_verified(spark, rows, gapped, repeated))
+        forget(spark, gapped)
+    forget(spark, spots)
     return found.repartition("doc", "rep").sortWithinPartitions("doc", "rep").mapInArrow(_join_batches, PASSAGES)
