@@ -172,3 +172,40 @@ def test_prose_and_names_raise_no_alarm(spark):
     names = "getUserAccountInformation user_account_information_service https://example.com/articles/2024/how-to-write-good-code com.example.project.module.ClassName 192.168.100.200/24 1234567890123456789012 aaaaaaaaaaaaaaaaaaaaaaaa".split()
     docs = spark.createDataFrame([(0, LONG * 50), *[(i, f"see {n} there") for i, n in enumerate(names, 1)]], "doc_id long, text string")
     assert not [r for r in secrets.scan(docs).collect() if "random" in r.spans]
+
+
+PROSE = "<p>The keeper of the lighthouse was there for all of the winter, and the storms that came in from the sea were not what he had feared.</p><p>It was said that one of them had been as long as a week, but there is no record of it in the book.</p>"
+
+
+def test_containers_that_hold_the_page():
+    alone = html_text.main_text(PROSE)
+    assert alone.count("\n") == 1
+    menu = "<nav><a href=x>Home</a></nav>"
+    for page in (
+        f"<form id='aspnetForm'>{menu}<main>{PROSE}</main></form>",
+        f"<form id='aspnetForm'>{menu}<div>{PROSE}</div></form>",
+        f"<div class='news alerts'>{PROSE}</div>",
+        f"<form><div class='page-header'><div class='alerts'>{PROSE}</div></div></form>",
+        f"<form><article><header><h1>Storms</h1></header>{PROSE}</article><footer>All of the rights in the text are with the keeper of it</footer></form>",
+    ):
+        assert html_text.main_text(page).endswith(alone)
+    comment = "<p>I was there and it was not as you say, for the sea that day was as calm as it could be.</p>"
+    for name in ("comments", "user-feedback", "comment-list"):
+        assert html_text.main_text(f"<div>{PROSE}</div><div class='{name}'>{comment * 20}</div>") == alone
+        assert html_text.main_text(f"<form><div>{PROSE}</div><div class='{name}'>{comment * 20}</div></form>") == alone
+        assert html_text.main_text(f"<div class='{name}'>{comment}</div>") == ""
+    assert html_text.main_text(f"<div>{PROSE}</div><form>{comment}</form>") == alone
+    assert html_text.main_text("<form><label>Name</label><input><label>Street</label><input></form>") == ""
+    assert html_text.main_text(f"<div style='display:none'>{PROSE}</div>") == ""
+
+
+def test_deep_pages_take_linear_time():
+    page = "<div>" * 100_000 + PROSE + "</section>" * 100_000
+    assert html_text.main_text(page) == html_text.main_text(PROSE)
+
+
+def test_ties_of_neighbours():
+    """An undecided block as near to a good as to a bad one is good."""
+    good, bad = "<p>It was said that one of them had been as long as a week.</p>", "<p><a href=x>More of it</a></p>"
+    assert html_text.main_text(f"{good}<p>Brief</p>{bad}").endswith("Brief")
+    assert html_text.main_text(f"{bad}<p>Brief</p>{good}").startswith("Brief")
