@@ -11,7 +11,7 @@ undecided blocks the label of their nearest decided neighbours; of two neighbour
 near, and for headings, a good one wins. Boilerplate containers are no neighbours:
 they are cut out. A container that holds the page is none: a form with more than half
 of the page's longer text, or one that only its name marks with nine tenths of it and
-half of all text (reader comments, menus, footers and what is hidden stay cut,
+of all text (reader comments, menus, footers and what is hidden stay cut,
 whatever their size; none of these count as the page's text). If articles outside boilerplate hold at least as much good text as
 the rest of the page, nothing beside them is main text; otherwise the page is one
 region.
@@ -77,8 +77,8 @@ LAST_LATIN = "\u024f"
 #: Characters and share of stop words from which a block is good; shares of link text from which it is undecided and bad.
 LONG, STOP_SHARE, LINKED, LINK_SHARE = 40, 0.1, 0.5, 0.9
 #: Shares of the page's longer text from which a form, and a container marked by its name alone, are no
-#: boilerplate; the share of all text that the latter holds; what is boilerplate at every share.
-FORM_SHARE, NAME_SHARE, NAMED_OF_ALL, ALWAYS = 0.5, 0.9, 0.5, 2.0
+#: boilerplate (the latter's of all text too); what is boilerplate at every share.
+FORM_SHARE, NAME_SHARE, ALWAYS = 0.5, 0.9, 2.0
 #: A character of scripts without spaces between words says as much as so many others.
 DENSE, DENSE_WEIGHT = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"), 3
 HEADINGS = {f"h{i}" for i in range(1, 7)}
@@ -157,7 +157,7 @@ def cut(blocks: list[Block], boilers: list[tuple[int, float]], articles: list[tu
             full[boilers[i][0]] += full[i]
     shut: list[bool] = []
     for i, (outer, share) in enumerate(boilers):
-        holds = page and longer[i] > share * page and (share == FORM_SHARE or full[i] >= NAMED_OF_ALL * everything)
+        holds = page and longer[i] > share * page and (share == FORM_SHARE or full[i] > share * everything)
         shut.append(not holds or (outer >= 0 and shut[outer]))
     inside: list[bool] = []
     for outer, boiler in articles:
