@@ -22,8 +22,9 @@ their shingles, and linked to the first of the equal ones. Near runs are met by
 two runs of similarity 0.8 whose larger unbroken part holds the window differ by one
 word written, left out or put in, and so agree in all but one of ``len(GAPS)`` parts.
 The digests of a run without one part, its rest taken at once and one shingle later,
-are grouped; each run is linked to the first of its group and to those just before
-it, and these links are verified like the others.
+are grouped; of equal runs in a group only the first takes part, and each is linked to
+the first of its group and to those just before it. These links are verified like the
+others.
 
 Links are verified on the shingles (32-bit hashes) of both texts, a stretch of
 SPAN at a time. What is returned begins and ends with a shingle that both have, and
@@ -394,7 +395,7 @@ def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array((lo[keep].astype(np.int64) * 8 + mark[keep])), pa.array((reach <= lo)[keep])], ["doc", "mark", "open"])
 
 
-RUNS = "digest long, doc long, start int, rep long, rep_start int, gapped boolean"
+RUNS = "digest long, doc long, start int, rep long, rep_start int, gapped boolean, content int"
 #: Shingles of a run that a gap leaves out, and where gaps begin: an edited word breaks five
 #: shingles, which lie in the gap that begins at or before the first of them.
 GAP = 2 * SHINGLE
@@ -426,7 +427,7 @@ def _firsts(digest: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.
     return order, np.repeat(starts, np.diff(np.append(starts, len(order))))
 
 
-def _run_rows(digest, doc, start, rep, rep_start, gapped: bool) -> Iterator[pa.RecordBatch]:
+def _run_rows(digest, doc, start, rep, rep_start, gapped: bool, content: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of RUNS; of those that are their own representative no rep is given."""
     alone = (doc == rep) & (start == rep_start)
     for k in range(0, len(doc), 8 * BATCH_ROWS):
@@ -439,8 +440,9 @@ def _run_rows(digest, doc, start, rep, rep_start, gapped: bool) -> Iterator[pa.R
                 pa.array(rep[part], mask=alone[part]),
                 pa.array(rep_start[part].astype(np.int32), mask=alone[part]),
                 pa.array(np.full(len(doc[part]), gapped)),
+                pa.array((content[part] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
             ],
-            ["digest", "doc", "start", "rep", "rep_start", "gapped"],
+            ["digest", "doc", "start", "rep", "rep_start", "gapped", "content"],
         )
 
 
@@ -472,7 +474,8 @@ def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order, one = _firsts(digest(at, at + SPAN), docs[row_of[at]], at)
             at = at[order]
             place, doc = at - first[row_of[at]], docs[row_of[at]]
-            yield from _run_rows(digest(at, at + SPAN), doc, place, doc[one], place[one], False)
+            own = digest(at, at + SPAN)
+            yield from _run_rows(own, doc, place, doc[one], place[one], False, own)
         whole = running(values, SPAN, True) != 0
         for part, gaps in ((head, [g for g in GAPS if g + GAP - SHINGLE >= STRETCH]), (tail, [g for g in GAPS if g <= SPAN - STRETCH - SHINGLE])):
             at = np.flatnonzero(part & whole)
@@ -485,18 +488,25 @@ def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     fits = at[at + SPAN + late <= first[row_of[at]] + counts[row_of[at]]]
                     key = mixed(digest(fits, fits + gap) + mixed(digest(fits + gap + GAP + late, fits + SPAN + late), 3) + np.uint64(gap), 4)
                     place, doc = fits - first[row_of[fits]], docs[row_of[fits]]
-                    yield from _run_rows(key, doc, place, doc, place, True)
+                    yield from _run_rows(key, doc, place, doc, place, True, digest(fits, fits + SPAN))
 
 
 def _gapped_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests without a gap, sorted with document and start -> the stretches to verify of each run
-    with the first of its digest and with those just before it. Holds a batch at a time."""
-    last = None
+    """Digests without a gap, sorted with content, document and start -> the stretches to verify of
+    each content's first run with the first of its digest and with those just before it. Holds a batch at a time."""
+    last = seen = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        digest, doc, start = (batch.column(i).to_numpy() for i in range(3))
-        # Ahead go the first row of the digest that the last batch ended in, and its last rows.
+        digest, content, doc, start = (batch.column(i).to_numpy() for i in range(4))
+        new = np.concatenate([[seen != (digest[0], content[0])], (np.diff(digest) != 0) | (np.diff(content) != 0)])
+        seen = digest[-1], content[-1]
+        digest, doc, start = digest[new], doc[new], start[new]
+        if not len(doc):
+            continue
+        order = np.lexsort((start, doc, digest))
+        digest, doc, start = digest[order], doc[order], start[order]
+        # Ahead go the first run of the digest that the last batch ended in, and its last ones.
         ahead = 0 if last is None else len(last[0])
         if ahead:
             digest, doc, start = (np.concatenate([x, y]) for x, y in zip(last, (digest, doc, start), strict=True))
@@ -508,6 +518,8 @@ def _gapped_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, rep = np.tile(new, NEXT + 1), np.concatenate([one[new], *(np.maximum(new - lag, one[new]) for lag in range(1, NEXT + 1))])
         own = doc[rows] != doc[rep]
         rows, rep = rows[own], rep[own]
+        later = doc[rows] > doc[rep]
+        rows, rep = np.where(later, rows, rep), np.where(later, rep, rows)
         if not len(rows):
             continue
         offset, cell = start[rows] - start[rep], start[rep] // SPAN
@@ -550,8 +562,8 @@ def _by_runs(spark: SparkSession, rows: DataFrame, links: DataFrame, found: Data
     inside = runs.filter("rep IS NOT NULL AND doc <> rep")
     size = (F.col("start") - F.col("rep_start")).alias("offset")
     equal = inside.select("doc", "rep", size, F.col("start").alias("lo"), (F.col("start") + SPAN).alias("hi"), F.col("rep_start").alias("rep_lo"), (F.col("rep_start") + SPAN).alias("rep_hi"), F.lit(1.0).alias("similarity"))
-    sorted_runs = lambda gapped: runs.filter(F.col("rep").isNull() & (F.col("gapped") == gapped)).select("digest", "doc", "start").repartition("digest").sortWithinPartitions("digest", "doc", "start")
-    return equal.union(sorted_runs(False).mapInArrow(_equal_runs, FOUND)), sorted_runs(True).mapInArrow(_gapped_runs, SPOTS).dropDuplicates()
+    sorted_runs = lambda gapped, *names: runs.filter(F.col("rep").isNull() & (F.col("gapped") == gapped)).select(*names).repartition("digest").sortWithinPartitions(*names)
+    return equal.union(sorted_runs(False, "digest", "doc", "start").mapInArrow(_equal_runs, FOUND)), sorted_runs(True, "digest", "content", "doc", "start").mapInArrow(_gapped_runs, SPOTS).dropDuplicates()
 
 
 def _verified(spark: SparkSession, rows: DataFrame, spots: DataFrame, repeated: bool) -> DataFrame:
