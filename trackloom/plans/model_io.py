@@ -188,7 +188,7 @@ def s24_export_bundler(spark, d):
 def s28_sift_text(spark, d):
     """SIFT text written and read back, image by image."""
     x = view(spark, d, "descriptors")
-    features = x.select("image_id", "idx", (F.col("idx") * 0.25).alias("x"), F.lit(0.5).alias("y"), (1 + F.col("idx") % 3).cast("double").alias("scale"), (F.col("idx") * 0.1).alias("orientation"), F.transform("descriptor", lambda v: F.round(v.cast("double") * 1000).cast("int")).alias("descriptor"))
+    features = x.select("image_id", "idx", (F.col("idx") * 0.25).alias("x"), F.lit(0.5).alias("y"), (1 + F.col("idx") % 3).cast("double").alias("scale"), (F.col("idx") * 0.1).alias("orientation"), F.transform("descriptor", lambda v: F.round(v * F.lit(1000).cast("float")).cast("int")).alias("descriptor"))
     back = exports.read_sift(exports.sift_lines(features, 64), 64)
     total = F.aggregate(F.transform("descriptor", lambda v: v.cast("long")), F.lit(0).cast("long"), lambda a, v: a + v)
     return back.select("image_id", "idx", F.round("x", 6).alias("x"), (F.round("a11", 5) + 0.0).alias("a11"), (F.round("a12", 5) + 0.0).alias("a12"), total.alias("total"))
