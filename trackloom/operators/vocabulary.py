@@ -128,4 +128,4 @@ def remove_images(spark: SparkSession, folder: str, images: DataFrame) -> str:
 def query_index(index: dict[str, DataFrame], descriptors: DataFrame, top: int, beam: int = 1) -> DataFrame:
     """The images that score best for each image of descriptors: query_image, image_id, score, rank."""
     asked = postings(descriptors, index["nodes"], beam)
-    return matching.top_images(matching.image_scores(asked, index["postings"], index["weights"], index["norms"]), top)
+    return matching.top_images(matching.image_scores(asked, index["postings"], index["weights"], index["norms"], votes=True), top).drop("votes")
