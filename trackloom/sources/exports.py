@@ -7,6 +7,8 @@ lines are the same on every cluster.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,24 @@ from trackloom.functions.geometry import center, rotation
 NUMBER = "%.6f"
 
 
+def _printed(value: Column) -> Column:
+    """What Java has to format so that six decimals are those of C's printf (for values under 4e9).
+
+    Java rounds the shortest decimal text of a number, C the number itself; they part where that text ends in a
+    tie, which Java always rounds up. There the product with 1e6, which is exact for both halves of the number,
+    tells on which side of the tie it is; a true tie goes to the even digit."""
+    size = F.abs(value)
+    low = F.floor(size * 1e6).cast("double")
+    big = size * 134217729.0 - (size * 134217729.0 - size)
+    over = (big * 1e6 - (low + 0.5)) + (size - big) * 1e6
+    down = (size < 4e9) & (size == (low + 0.5) / 1e6) & ((over < 0) | ((over == 0) & (low % 2 == 0)))
+    return F.when(down, F.signum(value) * (low + 0.25) / 1e6).otherwise(value)
+
+
 def _format(pattern: str, *columns) -> Column:
-    return F.format_string(pattern.replace("%f", NUMBER), *columns)
+    cells = [F.col(c) if isinstance(c, str) else c for c in columns]
+    cells = [_printed(c) if kind == "f" else c for kind, c in zip(re.findall("%([a-z])", pattern), cells, strict=True)]
+    return F.format_string(pattern.replace("%f", NUMBER), *cells)
 
 
 def _line(df: DataFrame, part: int, at, value) -> DataFrame:
