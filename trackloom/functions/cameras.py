@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,10 +30,15 @@ ROUNDS = 15
 
 def named(model: str, params: list) -> dict[str, Column]:
     """Parameters by name, as columns; fx and fy are always there, and missing coefficients are zero."""
+    return _named(model, [p if isinstance(p, Column) else F.lit(float(p)) for p in params])
+
+
+def _named(model: str, params: list) -> dict:
+    """Parameters by name, whatever they are."""
     names = PARAMETERS[model].split()
     if len(names) != len(params):
         raise ValueError(f"{model} has {len(names)} parameters")
-    out = {n: p if isinstance(p, Column) else F.lit(float(p)) for n, p in zip(names, params, strict=True)}
+    out = dict(zip(names, params, strict=True))
     out.setdefault("fx", out.get("f"))
     out.setdefault("fy", out.get("f", out["fx"]))
     return out
@@ -56,7 +63,7 @@ def rescaled(model: str, params: list, sx, sy) -> list[Column]:
 
 
 def _radial(r2: Column, *k: Column) -> Column:
-    out = F.lit(0.0)
+    out = 0.0
     for x in reversed(k):
         out = (out + x) * r2
     return out
@@ -66,16 +73,34 @@ def _tangential(u: Column, v: Column, r2: Column, p1: Column, p2: Column) -> Pai
     return 2 * p1 * u * v + p2 * (r2 + 2 * u * u), 2 * p2 * u * v + p1 * (r2 + 2 * v * v)
 
 
-def distortion(model: str, params: list) -> Callable[[Column, Column], Pair]:
-    """What a model adds to a point of the normalised image plane."""
-    p = named(model, params)
-    none = lambda u, v: (F.lit(0.0), F.lit(0.0))
+class _Arrays:
+    """The few functions that ``distortion`` takes of Spark's columns, on arrays."""
+
+    sqrt, atan, tan, abs = np.sqrt, np.arctan, np.tan, np.abs
+    choose = staticmethod(np.where)
+    lit = float
+
+    @staticmethod
+    def over(a, b):
+        return a / np.where(b == 0, np.nan, b)
+
+
+class _Columns:
+    sqrt, atan, tan, abs, lit = F.sqrt, F.atan, F.tan, F.abs, F.lit
+    choose = staticmethod(lambda test, a, b: F.when(test, a).otherwise(b))
+    over = staticmethod(lambda a, b: a / F.nullif(b, F.lit(0.0)))
+
+
+def distortion(model: str, params: list, m: type = _Columns) -> Callable[[Column, Column], Pair]:
+    """What a model adds to a point of the normalised image plane: over columns, or (``m``) over arrays."""
+    p = named(model, params) if m is _Columns else _named(model, params)
+    none = lambda u, v: (m.lit(0.0), m.lit(0.0))
 
     def fisheye(u: Column, v: Column, *k: Column) -> Pair:
         """The point at the bent angle of its ray, less the point."""
-        r = F.sqrt(u * u + v * v)
-        theta = F.atan(r)
-        ratio = F.when(r > 1e-12, theta * (1 + _radial(theta * theta, *k)) / F.nullif(r, F.lit(0.0))).otherwise(1.0)
+        r = m.sqrt(u * u + v * v)
+        theta = m.atan(r)
+        ratio = m.choose(r > 1e-12, m.over(theta * (1 + _radial(theta * theta, *k)), r), 1.0)
         return u * ratio - u, v * ratio - v
 
     def opencv(u: Column, v: Column) -> Pair:
@@ -87,9 +112,9 @@ def distortion(model: str, params: list) -> Callable[[Column, Column], Pair]:
         return u * radial + du, v * radial + dv
 
     def field_of_view(u: Column, v: Column) -> Pair:
-        r = F.sqrt(u * u + v * v)
-        bent = F.atan(2 * r * F.tan(p["omega"] / 2)) / F.nullif(p["omega"] * r, F.lit(0.0))
-        ratio = F.when((r > 1e-12) & (F.abs(p["omega"]) > 1e-12), bent).otherwise(1.0)
+        r = m.sqrt(u * u + v * v)
+        bent = m.over(m.atan(2 * r * m.tan(p["omega"] / 2)), p["omega"] * r)
+        ratio = m.choose((r > 1e-12) & (m.abs(p["omega"]) > 1e-12), bent, 1.0)
         return u * ratio - u, v * ratio - v
 
     def thin_prism(u: Column, v: Column) -> Pair:
@@ -122,18 +147,28 @@ def world_to_image(model: str, params: list, u: Column, v: Column) -> Pair:
 
 
 def image_to_world(model: str, params: list, x: Column, y: Column, rounds: int = ROUNDS) -> Pair:
-    """Ray (u, v, 1) of a pixel; distortion is taken off by a fixed number of rounds."""
+    """Ray (u, v, 1) of a pixel; distortion is taken off by a fixed number of rounds, over arrays of pixels."""
     p = named(model, params)
     u0, v0 = (x - p["cx"]) / p["fx"], (y - p["cy"]) / p["fy"]
     if model in ("SIMPLE_PINHOLE", "PINHOLE"):
         return u0, v0
-    bend = distortion(model, params)
-
-    def step(at: Column) -> Column:
-        du, dv = bend(at["u"], at["v"])
-        return F.struct((u0 - du).alias("u"), (v0 - dv).alias("v"))
-
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(u0.alias("u"), v0.alias("v")), lambda at, _: step(at))
+    size = len(params)
+
+    @F.arrow_udf("u double, v double")
+    def ray(*given: pa.Array) -> pa.Array:
+        missing = np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in given])
+        rows = [c.to_numpy(zero_copy_only=False).astype(float) for c in given]
+        with np.errstate(all="ignore"):
+            own = _named(model, rows[:size])
+            start = u, v = (rows[size] - own["cx"]) / own["fx"], (rows[size + 1] - own["cy"]) / own["fy"]
+            bend = distortion(model, rows[:size], _Arrays)
+            for _ in range(rounds):
+                du, dv = bend(u, v)
+                u, v = start[0] - du, start[1] - dv
+        fields = [pa.array(c, mask=missing) for c in (u, v)]
+        return pa.StructArray.from_arrays(fields, ["u", "v"])
+
+    end = ray(*(c if isinstance(c, Column) else F.lit(float(c)) for c in params), x, y)
     return end["u"], end["v"]
 
 
