@@ -237,3 +237,45 @@ def test_words_put_in_and_left_out_of_crowded_passages(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
     found = {(r.doc_id, r.rep_doc_id) for r in passages.repeated_passages(spark, df).collect()}
     assert len({j for j, _ in found}) >= 85
+
+
+def test_runs_are_met_by_one_shuffle_and_shuffles_go(spark, tmp_path):
+    """Links of equal runs and the stretches of near ones come from one pass, whose state lasts from batch to batch;
+    texts that go packed come back; and stored tables leave no shuffle behind."""
+    import gc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from trackloom.llm import passages as op
+
+    texts = ["", "äöü " * 9, "word " * 5000]
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2, 3], pa.int64()), pa.array([*texts[:2], texts[2]], pa.string())], ["doc_id", "text"])
+    packed = list(op._packed([rows]))[0]
+    back = list(op._unpacked([pa.RecordBatch.from_arrays([packed.column(0), packed.column(1), pa.array([[], [1], [2]]), packed.column(2)], ["doc", "packed", "marks", "size"])]))
+    assert [x for b in back for x in b.column(1).to_pylist()] == texts
+
+    digest = np.array([2, 2, 2, 5, 5, 5], np.int64)
+    doc, start, content = np.array([7, 8, 9, 1, 2, 3], np.int64), np.array([0, 3, 4, 46, 46, 47], np.int32), np.array([1, 1, 1, 4, 5, 6], np.int32)
+    whole = pa.RecordBatch.from_arrays([pa.array(digest), pa.array(doc), pa.array(start), pa.nulls(6, pa.int64()), pa.nulls(6, pa.int32()), pa.array(content)], op.RUNS.replace(" long", "").replace(" int", "").split(", "))
+    found = {tuple(r.values()) for k in range(6) for b in op._met_runs([whole.slice(0, k), whole.slice(k)]) for r in b.to_pylist()}
+    assert {r[:2] for r in found if r[7] == 1.0} == {(8, 7), (9, 7)}
+    assert {(r[0], r[1], r[3], r[5]) for r in found if r[7] is None} == {(2, 1, 46, 46), (3, 1, 47, 46), (3, 2, 47, 46)}
+
+    before = {p for p in _shuffle_files(spark)}
+    op.stored(spark, spark.range(100000).repartition(4, "id"), "test")
+    gc.collect()
+    import time
+
+    for _ in range(50):
+        if not _shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+
+
+def _shuffle_files(spark):
+    import pathlib
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {str(p) for d in manager.localDirsString() for p in pathlib.Path(d).rglob("shuffle_*.data")}

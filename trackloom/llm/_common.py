@@ -45,7 +45,7 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut
     and a lost executor loses nothing."""
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -76,6 +76,14 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
         delete(spark, table.stored_at)
 
 
+def release(spark: SparkSession) -> None:
+    """Free the disk of shuffles that ended jobs have left: Spark deletes the files of a shuffle only
+    once the driver's collector has found that no plan holds it, which may be long after."""
+    spark.range(1).collect()  # listeners hold the plan of the query whose end they saw last
+    gc.collect()  # plans that Python holds
+    spark._jvm.System.gc()
+
+
 def text_rows(df: DataFrame) -> DataFrame:
     """The same table, once its session hands texts to Python in batches of a
     few megabytes: ten thousand long texts at once would fill an executor."""

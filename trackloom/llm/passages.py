@@ -48,7 +48,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BATCH_ROWS, forget, stored, text_rows, text_slices, whole_groups
+from ._common import BATCH_ROWS, SLICE_BYTES, forget, release, slices, text_rows, text_slices, utf8_of, whole_groups
+from ._common import stored as written
 
 SHINGLE, SPAN, STRETCH, FUNCTIONS = 5, 46, 21, 2
 SIMILARITY = 0.8
@@ -62,6 +63,13 @@ SIDE = STRETCH // 2
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder; the shuffles behind it, which hold as much as the input, go at once."""
+    out = written(spark, df, name)
+    release(spark)
+    return out
+
+
 def mixed(x: np.ndarray, k: int) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * MIX[k]
     return x ^ (x >> np.uint64(32))
@@ -351,6 +359,7 @@ def compared(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 FOUND = "doc long, rep long, offset int, lo int, hi int, rep_lo int, rep_hi int, similarity double"
+FOUND_NAMES = ["doc", "rep", "offset", "lo", "hi", "rep_lo", "rep_hi", "similarity"]
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,7 +384,7 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             lo, hi = place[r] - BEFORE + a, place[r] - BEFORE + b + 1
             rep_lo, rep_hi = rep_place[r] - BEFORE + a + shift[r, a], rep_place[r] - BEFORE + b + shift[r, b] + 1
             columns = [pa.array(doc[r]), pa.array(rep[r]), *(pa.array(x.astype(np.int32)) for x in (place[r] - rep_place[r], lo, hi, rep_lo, rep_hi)), pa.array(best)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "rep", "offset", "lo", "hi", "rep_lo", "rep_hi", "similarity"])
+            yield pa.RecordBatch.from_arrays(columns, FOUND_NAMES)
 
 
 # -- exact runs about windows whose partners were not all looked at -----------
@@ -395,7 +404,9 @@ def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array((lo[keep].astype(np.int64) * 8 + mark[keep])), pa.array((reach <= lo)[keep])], ["doc", "mark", "open"])
 
 
-RUNS = "digest long, doc long, start int, rep long, rep_start int, gapped boolean, content int"
+RUNS = "digest long, doc long, start int, rep long, rep_start int, content int"
+#: Lowest bit of a digest: that of a run without a gap.
+GAPPED = np.uint64(1)
 #: Shingles of a run that a gap leaves out, and where gaps begin: an edited word breaks five
 #: shingles, which lie in the gap that begins at or before the first of them.
 GAP = 2 * SHINGLE
@@ -428,8 +439,12 @@ def _firsts(digest: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.
 
 
 def _run_rows(digest, doc, start, rep, rep_start, gapped: bool, content: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of RUNS; of those that are their own representative no rep is given."""
+    """Rows of RUNS; of those that are their own representative no rep is given. Others of their representative's document are left out."""
     alone = (doc == rep) & (start == rep_start)
+    if not gapped:
+        kept = alone | (doc != rep)
+        digest, doc, start, rep, rep_start, content, alone = (x[kept] for x in (digest, doc, start, rep, rep_start, content, alone))
+    digest = digest | GAPPED if gapped else digest & ~GAPPED
     for k in range(0, len(doc), 8 * BATCH_ROWS):
         part = slice(k, k + 8 * BATCH_ROWS)
         yield pa.RecordBatch.from_arrays(
@@ -439,19 +454,41 @@ def _run_rows(digest, doc, start, rep, rep_start, gapped: bool, content: np.ndar
                 pa.array(start[part].astype(np.int32)),
                 pa.array(rep[part], mask=alone[part]),
                 pa.array(rep_start[part].astype(np.int32), mask=alone[part]),
-                pa.array(np.full(len(doc[part]), gapped)),
                 pa.array((content[part] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
             ],
-            ["digest", "doc", "start", "rep", "rep_start", "gapped", "content"],
+            ["digest", "doc", "start", "rep", "rep_start", "content"],
         )
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, text) -> the text compressed, and its size."""
+    codec = pa.Codec("zstd", 1)
+    for batch in slices(batches):
+        texts = utf8_of(batch.column(1))
+        packed = pa.array([codec.compress(x, asbytes=True) for x in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array([len(x) for x in texts], pa.int32())], ["doc_id", "packed", "size"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, packed, other columns, size) -> the text in the place of the packed one, a few megabytes at once."""
+    codec = pa.Codec("zstd", 1)
+    for batch in batches:
+        sizes = batch.column(batch.num_columns - 1).to_numpy()
+        at = 0
+        while at < len(sizes):
+            to = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), SLICE_BYTES, "right")))
+            part = batch.slice(at, to - at)
+            texts = pa.array([codec.decompress(x, n, asbytes=True) if n else b"" for x, n in zip(part.column(1).to_pylist(), sizes[at:to].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), texts.cast(pa.string()), *part.columns[2:-1]], ["doc", "text", *part.schema.names[2:-1]])
+            at = to
+
+
 def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text, open marks, all marks) -> a digest of each run of SPAN shingles whose least one is
+    """(doc, packed text, open marks, all marks, size) -> a digest of each run of SPAN shingles whose least one is
     an open mark; equal runs of a slice are linked to its first, which alone goes on (without rep).
     Then, of the different runs of a slice whose first or last stretch has a marked shingle as its
     least, the digests without each gap of the other part."""
-    for batch in text_slices(batches):
+    for batch in text_slices(_unpacked(batches)):
         hashes, counts = shingles(batch.column(1))
         row_of, first, body = _laid_out(counts)
         if len(row_of) < SPAN:
@@ -491,79 +528,101 @@ def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from _run_rows(key, doc, place, doc, place, True, digest(fits, fits + SPAN))
 
 
-def _gapped_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _GappedRuns:
     """Digests without a gap, sorted with content, document and start -> the stretches to verify of
-    each content's first run with the first of its digest and with those just before it. Holds a batch at a time."""
-    last = seen = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        digest, content, doc, start = (batch.column(i).to_numpy() for i in range(4))
-        new = np.concatenate([[seen != (digest[0], content[0])], (np.diff(digest) != 0) | (np.diff(content) != 0)])
-        seen = digest[-1], content[-1]
+    each content's first run with the first of its digest and with those just before it. Keeps a few rows between batches."""
+
+    def __init__(self):
+        self.last = self.seen = None
+
+    def __call__(self, digest, content, doc, start) -> Iterator[pa.RecordBatch]:
+        new = np.concatenate([[self.seen != (digest[0], content[0])], (np.diff(digest) != 0) | (np.diff(content) != 0)])
+        self.seen = digest[-1], content[-1]
         digest, doc, start = digest[new], doc[new], start[new]
         if not len(doc):
-            continue
+            return
         order = np.lexsort((start, doc, digest))
         digest, doc, start = digest[order], doc[order], start[order]
         # Ahead go the first run of the digest that the last batch ended in, and its last ones.
-        ahead = 0 if last is None else len(last[0])
+        ahead = 0 if self.last is None else len(self.last[0])
         if ahead:
-            digest, doc, start = (np.concatenate([x, y]) for x, y in zip(last, (digest, doc, start), strict=True))
+            digest, doc, start = (np.concatenate([x, y]) for x, y in zip(self.last, (digest, doc, start), strict=True))
         starts = np.flatnonzero(np.concatenate([[True], np.diff(digest) != 0]))
         one = np.repeat(starts, np.diff(np.append(starts, len(digest))))
         carried = np.unique(np.concatenate([one[-1:], np.arange(max(one[-1], len(digest) - NEXT), len(digest))]))
-        last = tuple(x[carried] for x in (digest, doc, start))
+        self.last = tuple(x[carried] for x in (digest, doc, start))
         new = np.arange(ahead, len(digest))
+        new = new[one[new] != new]  # the first of a digest has none before it
+        if not len(new):
+            return
         rows, rep = np.tile(new, NEXT + 1), np.concatenate([one[new], *(np.maximum(new - lag, one[new]) for lag in range(1, NEXT + 1))])
         own = doc[rows] != doc[rep]
         rows, rep = rows[own], rep[own]
         later = doc[rows] > doc[rep]
         rows, rep = np.where(later, rows, rep), np.where(later, rep, rows)
         if not len(rows):
-            continue
+            return
         offset, cell = start[rows] - start[rep], start[rep] // SPAN
         asked = np.unique(np.stack([doc[rows], doc[rep], cell * SPAN + offset, cell * SPAN]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(asked[0]), pa.array(asked[1]), *(pa.array(x.astype(np.int32)) for x in asked[2:])], ["doc", "rep", "place", "rep_place"])
+        none = pa.nulls(asked.shape[1], pa.int32())
+        places = [pa.array(x.astype(np.int32)) for x in asked[2:]]
+        yield pa.RecordBatch.from_arrays([pa.array(asked[0]), pa.array(asked[1]), none, places[0], none, places[1], none, pa.nulls(asked.shape[1], pa.float64())], FOUND_NAMES)
 
 
-def _equal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by digest, document and start -> each one's link to the first with the same digest. Holds a batch at a time."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        digest, doc, start = (batch.column(i).to_numpy() for i in range(3))
+class _EqualRuns:
+    """Runs sorted by digest, document and start -> each one's link to the first with the same digest. Keeps a row between batches."""
+
+    def __init__(self):
+        self.last = None
+
+    def __call__(self, digest, doc, start) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate([[True], np.diff(digest) != 0]))
         one = np.repeat(starts, np.diff(np.append(starts, len(digest))))
         rep, rep_start = doc[one], start[one]
-        if last is not None and last[0] == digest[0]:
-            rep[one == 0], rep_start[one == 0] = last[1:]
-        last = digest[-1], rep[-1], rep_start[-1]
+        if self.last is not None and self.last[0] == digest[0]:
+            rep[one == 0], rep_start[one == 0] = self.last[1:]
+        self.last = digest[-1], rep[-1], rep_start[-1]
         own = doc != rep
         yield _exact_batch(doc[own], start[own], rep[own], rep_start[own])
 
 
+def _met_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of RUNS sorted by digest, content, document and start -> links of equal runs, and (without a
+    similarity) the stretches to verify of runs that agree but for a gap. Holds a batch at a time."""
+    equal, gapped = _EqualRuns(), _GappedRuns()
+    for batch in batches:
+        linked = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+        if linked.any():
+            doc, start, rep, rep_start = (batch.column(i).filter(pa.array(linked)).to_numpy() for i in range(1, 5))
+            yield _exact_batch(doc, start, rep, rep_start)
+        digest, doc, start, content = (batch.column(i).to_numpy()[~linked] for i in (0, 1, 2, 5))
+        own = digest & 1 == 1
+        if not own.all():
+            yield from equal(digest[~own], doc[~own], start[~own])
+        if own.any():
+            yield from gapped(digest[own], content[own], doc[own], start[own])
+
+
 def _exact_batch(doc, start, rep, rep_start) -> pa.RecordBatch:
     columns = [pa.array(doc), pa.array(rep), *(pa.array(x.astype(np.int32)) for x in (start - rep_start, start, start + SPAN, rep_start, rep_start + SPAN)), pa.array(np.ones(len(doc)))]
-    return pa.RecordBatch.from_arrays(columns, ["doc", "rep", "offset", "lo", "hi", "rep_lo", "rep_hi", "similarity"])
+    return pa.RecordBatch.from_arrays(columns, FOUND_NAMES)
 
 
-def _by_runs(spark: SparkSession, rows: DataFrame, links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+def _by_runs(spark: SparkSession, rows: DataFrame, marks: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """Links of equal runs about the marked windows that lie in no passage found; and the stretches
     to verify of runs about all marked windows that agree but for a gap."""
-    marks = links.filter("rep IS NULL").select("doc", F.col("mid").alias("lo"), F.col("mid").alias("hi"), F.col("function").alias("mark"))
+    marks = marks.select("doc", F.col("mid").alias("lo"), F.col("mid").alias("hi"), F.col("function").alias("mark"))
     own = found.select("doc", "lo", "hi", F.lit(-1).alias("mark")).join(marks.select("doc").distinct(), "doc", "left_semi")
     open_marks = own.union(marks).repartition("doc").sortWithinPartitions("doc").mapInArrow(_uncovered, "doc long, mark long, open boolean")
     wanted = stored(spark, open_marks.groupBy("doc").agg(F.collect_set(F.expr("CASE WHEN open THEN mark END")).alias("open"), F.collect_set("mark").alias("marks")), "marks")
     if wanted.isEmpty():
         return None
-    runs = stored(spark, rows.join(wanted, rows["doc_id"] == wanted["doc"]).select("doc_id", "text", "open", "marks").mapInArrow(_run_batches, RUNS), "runs")
-    inside = runs.filter("rep IS NOT NULL AND doc <> rep")
-    size = (F.col("start") - F.col("rep_start")).alias("offset")
-    equal = inside.select("doc", "rep", size, F.col("start").alias("lo"), (F.col("start") + SPAN).alias("hi"), F.col("rep_start").alias("rep_lo"), (F.col("rep_start") + SPAN).alias("rep_hi"), F.lit(1.0).alias("similarity"))
-    sorted_runs = lambda gapped, *names: runs.filter(F.col("rep").isNull() & (F.col("gapped") == gapped)).select(*names).repartition("digest").sortWithinPartitions(*names)
-    return equal.union(sorted_runs(False, "digest", "doc", "start").mapInArrow(_equal_runs, FOUND)), sorted_runs(True, "digest", "content", "doc", "start").mapInArrow(_gapped_runs, SPOTS).dropDuplicates()
+    # Runs meet by one shuffle, and are not written before it; texts, whose shuffle is there beside it, go packed.
+    packed = rows.mapInArrow(_packed, "doc_id long, packed binary, size int")
+    runs = packed.join(wanted, packed["doc_id"] == wanted["doc"]).select("doc_id", "packed", "open", "marks", "size").mapInArrow(_run_batches, RUNS)
+    met = stored(spark, runs.repartition("digest").sortWithinPartitions("digest", "content", "doc", "start").mapInArrow(_met_runs, FOUND), "met")
+    forget(spark, wanted)
+    return met.filter("similarity IS NOT NULL"), met.filter("similarity IS NULL").select("doc", "rep", F.col("lo").alias("place"), F.col("rep_lo").alias("rep_place")).dropDuplicates()
 
 
 def _verified(spark: SparkSession, rows: DataFrame, spots: DataFrame, repeated: bool) -> DataFrame:
@@ -610,10 +669,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     links = stored(spark, windows.repartition("sign").sortWithinPartitions("sign").mapInArrow(_link_batches, LINKS), "links")
     pairs = links.filter("rep IS NOT NULL").repartition("doc", "rep").sortWithinPartitions("doc", "rep")
     spots = stored(spark, pairs.mapInArrow(_spot_batches, SPOTS), "spots")
+    marks = stored(spark, links.filter("rep IS NULL").select("doc", "mid", "function"), "marked")
+    forget(spark, links)
     repeated = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
     found = near = _verified(spark, rows, spots, repeated)
-    again = _by_runs(spark, rows, links, near)
-    forget(spark, links)
+    again = _by_runs(spark, rows, marks, near)
+    forget(spark, marks)
     if again is not None:
         equal, gapped = again
         gapped = stored(spark, gapped.join(spots, ["doc", "rep", "place", "rep_place"], "left_anti"), "gapped")
