@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as geo
+from trackloom.functions import libm
 from trackloom.functions import scalars as sc
 from trackloom.plans.adapters import view
 from trackloom.plans.base import cols, query, round_to, rounded
@@ -78,8 +79,11 @@ def f42_rotation(spark, d):
 
 @query("SELECT point3d_id, image_id, CASE WHEN depth < 2.220446049250313e-16 THEN 1.7976931348623157e308 ELSE round(power(px-1, 2)+power(py+2, 2), 6) END AS e2 FROM observed", "observed")
 def f49_squared_error(spark, d):
-    e2 = geo.squared_error(cols("px", "py"), (F.lit(1.0), F.lit(-2.0)), F.col("depth"))
-    return view(spark, d, "observed").select("point3d_id", "image_id", round_to(e2).alias("e2"))
+    """Its sines, cosines and squares are the C library's, as the SQL's are: no last bit decides a rounding otherwise."""
+    turn = (F.col("image_id") - 1) * 0.05
+    images = view(spark, d, "images").withColumns({"qw": libm.cos(turn), "qz": libm.sin(turn)})
+    e2 = geo.squared_error(cols("px", "py"), (F.lit(1.0), F.lit(-2.0)), F.col("depth"), libm.square)
+    return view(spark, d, "observed", images=images).select("point3d_id", "image_id", round_to(e2).alias("e2"))
 
 
 @query("SELECT point3d_id, round(x/10+x/10*(0.1e0*(x*x+y*y)/100+0.01e0*power((x*x+y*y)/100, 2))+2*0.001e0*x*y/100+0.002e0*((x*x+y*y)/100+2*x*x/100), 6) AS u FROM points3d", "points3d")
