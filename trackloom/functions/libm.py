@@ -14,19 +14,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _of(function, value: Column) -> Column:
+def _of(function, value: Column, far: float) -> Column:
+    """``far`` is the function's value at infinity; null and NaN stay."""
+
     def kernel(x: pd.Series) -> pd.Series:
-        return pd.Series([function(v) if v == v and abs(v) != math.inf else math.nan for v in x.tolist()], index=x.index, dtype=float)
+        return pd.Series([function(v) if math.isfinite(v) else 0.0 for v in x.tolist()], dtype=float)
 
-    return F.when(value.isNotNull(), F.pandas_udf(kernel, "double")(value))
+    return F.when(value.isNull() | F.isnan(value), value).when(F.abs(value) == math.inf, far).otherwise(F.pandas_udf(kernel, "double")(value))
 
 
 def cos(value: Column) -> Column:
-    return _of(math.cos, value)
+    return _of(math.cos, value, math.nan)
 
 
 def sin(value: Column) -> Column:
-    return _of(math.sin, value)
+    return _of(math.sin, value, math.nan)
 
 
 def _square(v: float) -> float:
@@ -37,4 +39,4 @@ def _square(v: float) -> float:
 
 
 def square(value: Column) -> Column:
-    return F.when(F.abs(value) == math.inf, math.inf).otherwise(_of(_square, value))
+    return _of(_square, value, math.inf)
